@@ -32,7 +32,10 @@ from plumbline.operators.scaling import (
 )
 
 MAX_DEPTH = 30  # the deepest tree Spark grows
+DEEP = 10  # beyond this, remembering each row's node beats walking the trees again
 CONCURRENT_FITS = 5
+# A fit is many short jobs; below this many rows a task costs more to start than to run.
+ROWS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +67,6 @@ def logistic_model(params: Mapping[str, Any], name: str = LOGISTIC) -> Model:
             elasticNetParam=1.0 if params["penalty"] == "l1" else 0.0,
             standardization=False,
             maxIter=1000,
-            tol=1e-8,
         )
 
     return Model(
@@ -88,6 +90,7 @@ def forest_model(params: Mapping[str, Any], seed: int = 0, name: str = FOREST) -
             featureSubsetStrategy=params["max_features"],
             seed=seed,
             maxMemoryInMB=512,
+            cacheNodeIds=params["max_depth"] > DEEP,
         )
 
     return Model(
@@ -152,6 +155,7 @@ class Evaluation:
         self._statistics: dict[int, Row] = {
             row["scaler_fold"]: row for row in statistics.collect()
         }
+        self._tasks = max(1, self._statistics[WHOLE_SEARCH]["fit_rows"] // ROWS_PER_TASK)
 
     def __enter__(self) -> Evaluation:
         return self
@@ -179,7 +183,7 @@ class Evaluation:
             ready = ready.withColumn("weight", F.lit(1.0))
         return VectorAssembler(
             inputCols=used, outputCol="features", handleInvalid="error"
-        ).transform(ready.select(*used, self.target, "weight"))
+        ).transform(ready.select(*used, self.target, "weight").coalesce(self._tasks))
 
     def _scored(
         self, model: Model, fit_part: DataFrame, score_part: DataFrame, scaler_fold: int

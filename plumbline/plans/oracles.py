@@ -156,7 +156,7 @@ _TRIALS = """
                  value AS mean_score,
                  CASE WHEN user_id % 3 <> 0 THEN value / 2 END AS holdout_ap,
                  (json_extract_string(props, '$.k')::INTEGER + 1) / 10.0::DOUBLE AS tenth,
-                 epoch_us(ts) / 1e6::DOUBLE - epoch_us(TIMESTAMP '2024-01-01') / 1e6::DOUBLE AS cumulative_s
+                 (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6::DOUBLE AS cumulative_s
           FROM events)"""
 _BEST = f"""
     SELECT log, trial_index, mean_score, cumulative_s,

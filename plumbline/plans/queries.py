@@ -541,9 +541,9 @@ def forest_cv(spark, folder):
 
 
 def candidate_eval(spark, folder):
-    """Configurations drawn for every nation, the logistic ones cross-validated."""
-    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("config_id"))
-    configs = sample_configs(nations, "config_id").where(F.col("estimator") == "logistic")
+    """A configuration drawn for every region, cross-validated."""
+    regions = table(spark, folder, "region").select(F.col("r_regionkey").alias("config_id"))
+    configs = sample_configs(regions, "config_id")
     with _evaluation(spark, folder) as evaluation:
         records = reports.evaluate_configs(evaluation, configs, "config_id", "optuna_seed0")
     return records.select(
