@@ -25,11 +25,12 @@ from plumbline.functions.params import CLASS_WEIGHTS, FOREST, LOGISTIC
 from plumbline.operators.ranking import average_precision
 from plumbline.operators.scaling import (
     WHOLE_SEARCH,
+    balanced_weight,
     fit_statistics,
-    scale,
-    with_fit_weights,
+    standardised,
     with_interactions,
 )
+from plumbline.session import cut_lineage
 
 MAX_DEPTH = 30  # the deepest tree Spark grows
 DEEP = 10  # beyond this, remembering each row's node beats walking the trees again
@@ -133,8 +134,9 @@ def default_forest(seed: int = 0) -> Model:
 class Evaluation:
     """A split table prepared once and scored by many models.
 
-    Keeps only the needed columns, in memory with spill to disk; a lost part is recomputed.
-    The fit statistics of all folds, ``folds + 1`` rows, are the only data on the driver.
+    Keeps only the needed columns, written to the checkpoint folder and held in memory with
+    spill to disk: a lost part is read again rather than computed again, and the many short
+    jobs of a fit do not carry the plan of the split. The fit statistics of all folds, ``folds + 1`` rows, are the only data on the driver.
     Use as a context manager to release the memory.
     """
 
@@ -147,11 +149,11 @@ class Evaluation:
         keep: Sequence[str] = (),
     ) -> None:
         self.features, self.target, self.folds = list(features), target, folds
-        self.table = df.select(
+        needed = df.select(
             *self.features, F.col(target).cast("int").alias(target), "is_holdout", "fold", *keep
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        )
+        self.table = cut_lineage(needed).persist(StorageLevel.MEMORY_AND_DISK)
         statistics = fit_statistics(self.table, self.features, target, folds)
-        self._schema = statistics.schema
         self._statistics: dict[int, Row] = {
             row["scaler_fold"]: row for row in statistics.collect()
         }
@@ -164,23 +166,23 @@ class Evaluation:
         self.table.unpersist()
 
     def _prepared(self, model: Model, rows: DataFrame, scaler_fold: int) -> DataFrame:
-        spark = rows.sparkSession
-        statistics = spark.createDataFrame([self._statistics[scaler_fold]], self._schema)
-        tagged = rows.withColumn("scaler_fold", F.lit(scaler_fold))
-        used = self.features
+        """Features as a vector, scaled and weighted by the statistics of one fit part."""
+        fit, used = self._statistics[scaler_fold], self.features
+        weight = F.lit(1.0)
+        if model.balanced:
+            weight = balanced_weight(
+                F.col(self.target), F.lit(fit["fit_rows"]), F.lit(fit["fit_ones"])
+            )
+        ready = rows.withColumn("weight", weight)
         if model.scaled:
-            ready = scale(tagged, statistics, used)
-        else:
-            ready = tagged.join(
-                F.broadcast(statistics.select("scaler_fold", "fit_rows", "fit_ones")),
-                "scaler_fold",
+            ready = ready.withColumns(
+                {
+                    x: standardised(F.col(x), F.lit(fit[f"mu_{x}"]), F.lit(fit[f"sd_{x}"]))
+                    for x in used
+                }
             )
         if model.interactions:
             ready, used = with_interactions(ready, used)
-        if model.balanced:
-            ready = with_fit_weights(ready, self.target)
-        else:
-            ready = ready.withColumn("weight", F.lit(1.0))
         return VectorAssembler(
             inputCols=used, outputCol="features", handleInvalid="error"
         ).transform(ready.select(*used, self.target, "weight").coalesce(self._tasks))

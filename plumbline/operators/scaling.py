@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The statistics row that uses the whole search part, for the final fit before the holdout.
@@ -82,26 +82,30 @@ def views(df: DataFrame, part: str, folds: int, fold: str = "fold") -> DataFrame
     raise ValueError(f"unknown part {part!r}")
 
 
+def standardised(value: Column, mean: Column, deviation: Column) -> Column:
+    """``(x - mean) / deviation``; a zero deviation divides by one."""
+    return (value - mean) / F.when(deviation == 0, F.lit(1.0)).otherwise(deviation)
+
+
+def balanced_weight(target: Column, fit_rows: Column, fit_ones: Column) -> Column:
+    """Class weight over a fit part with the given counts."""
+    return fit_rows / (2.0 * F.when(target == 1, fit_ones).otherwise(fit_rows - fit_ones))
+
+
 def scale(df: DataFrame, statistics: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Replace features by ``(x - mean) / deviation``; a zero deviation divides by one.
+    """Standardise features with the statistics of each row's ``scaler_fold``.
 
     The statistics have one row per fold, so sending them to every task is safe.
     """
-    scaled = {
-        x: (F.col(x) - F.col(f"mu_{x}"))
-        / F.when(F.col(f"sd_{x}") == 0, F.lit(1.0)).otherwise(F.col(f"sd_{x}"))
-        for x in features
-    }
+    scaled = {x: standardised(F.col(x), F.col(f"mu_{x}"), F.col(f"sd_{x}")) for x in features}
     used = [c for x in features for c in (f"mu_{x}", f"sd_{x}")]
     return df.join(F.broadcast(statistics), "scaler_fold").withColumns(scaled).drop(*used)
 
 
 def with_fit_weights(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
     """Balanced class weight over the fit part, from the counts that :func:`scale` attached."""
-    of_class = F.when(F.col(target) == 1, F.col("fit_ones")).otherwise(
-        F.col("fit_rows") - F.col("fit_ones")
-    )
-    return df.withColumn(name, F.col("fit_rows") / (2.0 * of_class))
+    weight = balanced_weight(F.col(target), F.col("fit_rows"), F.col("fit_ones"))
+    return df.withColumn(name, weight)
 
 
 def with_interactions(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
