@@ -36,6 +36,7 @@ from plumbline.plans.tables import (
     labelled_documents,
     table,
 )
+from plumbline.session import cut_lineage
 
 SEEDS = "optuna_seed"
 
@@ -200,6 +201,11 @@ def _split_documents(spark, folder) -> tuple[DataFrame, list[str]]:
     return splits.assign_splits(features, "doc_id", "toxic"), names
 
 
+def _written_documents(spark, folder) -> DataFrame:
+    """The split feature table, written once because several branches of a job read it."""
+    return cut_lineage(_split_documents(spark, folder)[0])
+
+
 def features_onehot(spark, folder):
     return document_features(spark, folder)[0]
 
@@ -249,7 +255,7 @@ def fold_statistics(spark, folder):
 
 
 def _scaled_validation(spark, folder) -> DataFrame:
-    documents, _ = _split_documents(spark, folder)
+    documents = _written_documents(spark, folder)
     statistics = scaling.fit_statistics(documents, DOCUMENT_FEATURES, "toxic", 5)
     rows = scaling.views(documents, "validation", 5)
     return scaling.scale(rows, statistics, DOCUMENT_FEATURES)
@@ -262,7 +268,7 @@ def fold_scaling(spark, folder):
 
 def fold_weights(spark, folder):
     """Balanced weights of each fold's fit part."""
-    documents, _ = _split_documents(spark, folder)
+    documents = _written_documents(spark, folder)
     statistics = scaling.fit_statistics(documents, ["n_chars"], "toxic", 5)
     rows = scaling.scale(scaling.views(documents, "fit", 5), statistics, ["n_chars"])
     weighted = scaling.with_fit_weights(rows, "toxic")
@@ -276,19 +282,19 @@ def interactions(spark, folder):
 
 
 def expression_scores(spark, folder):
-    documents, _ = _split_documents(spark, folder)
+    documents = _written_documents(spark, folder)
     scores = expressions.score_candidates(documents, CANDIDATES, DOCUMENT_FEATURES, "toxic")
     return rounded(scores, 9, "ap", "holdout_ap")
 
 
 def expression_losses(spark, folder):
-    documents, _ = _split_documents(spark, folder)
+    documents = _written_documents(spark, folder)
     losses = expressions.candidate_losses(documents, CANDIDATES, DOCUMENT_FEATURES, "toxic")
     return rounded(losses, 6, "loss")
 
 
 def expression_logistic_losses(spark, folder):
-    documents, _ = _split_documents(spark, folder)
+    documents = _written_documents(spark, folder)
     losses = expressions.candidate_losses(
         documents, CANDIDATES, DOCUMENT_FEATURES, "toxic", loss=logistic_loss
     )

@@ -20,7 +20,9 @@ EXPRESSION_LOG = "pysr"
 
 
 def _with_defaults(trials: DataFrame) -> DataFrame:
-    return trials.withColumn("payload", F.coalesce("payload", F.parse_json(F.lit("{}"))))
+    absent = F.col("payload").isNull() | F.is_variant_null("payload")
+    empty = F.parse_json(F.lit("{}"))
+    return trials.withColumn("payload", F.when(absent, empty).otherwise(F.col("payload")))
 
 
 def read_log_files(spark: SparkSession, pattern: str, baselines: bool = False) -> DataFrame:
@@ -62,11 +64,16 @@ def log_kind(log: Column) -> Column:
     )
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Read summary rows from a JSON array or from the files of :func:`write_summary`."""
+def read_summary_array(spark: SparkSession, path: str) -> DataFrame:
+    """Read summary rows from a file holding one JSON array."""
     return spark.read.schema(SUMMARY).option("multiLine", True).json(path)
 
 
+def read_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Read summary rows written by :func:`write_summary`."""
+    return spark.read.schema(SUMMARY).json(folder)
+
+
 def write_summary(summary: DataFrame, folder: str) -> None:
     """Write the summary, one object per row."""
     summary.write.mode("overwrite").json(folder)
