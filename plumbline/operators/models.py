@@ -18,7 +18,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.params import CLASS_WEIGHTS, FOREST, LOGISTIC
@@ -149,6 +149,7 @@ class Evaluation:
         keep: Sequence[str] = (),
     ) -> None:
         self.features, self.target, self.folds = list(features), target, folds
+        self.spark = df.sparkSession
         needed = df.select(
             *self.features, F.col(target).cast("int").alias(target), "is_holdout", "fold", *keep
         )
@@ -222,7 +223,7 @@ class Evaluation:
         tasks = [lambda m=m: self.holdout_scores(m) for m in models]
         scored = [
             s.withColumn("arm", F.lit(m.name))
-            for m, (s, _) in zip(models, run_all(tasks, parallelism))
+            for m, (s, _, _) in zip(models, run_all(self.spark, tasks, parallelism))
         ]
         union = reduce(DataFrame.unionByName, scored)
         return settled(
@@ -237,19 +238,21 @@ class Evaluation:
         """One trial record per model over the shared folds.
 
         All fits run first; the average precision of every model and fold is then one query.
-        ``wall_clock_s`` is the time spent in a model's fits.
+        ``wall_clock_s`` is the time from the start of a model's first fit to the end of its last.
         """
         jobs = [(i, k) for i in range(len(models)) for k in range(self.folds)]
         tasks = [lambda i=i, k=k: self.fold_scores(models[i], k) for i, k in jobs]
-        results = run_all(tasks, parallelism)
-        seconds = [0.0] * len(models)
-        for (i, _), (_, took) in zip(jobs, results):
-            seconds[i] += took
+        results = run_all(self.spark, tasks, parallelism)
+        seconds = [
+            max(end for (j, _), (_, _, end) in zip(jobs, results) if j == i)
+            - min(start for (j, _), (_, start, _) in zip(jobs, results) if j == i)
+            for i in range(len(models))
+        ]
         union = reduce(
             DataFrame.unionByName,
             [
                 scores.withColumns({"trial_index": F.lit(i).cast("long"), "fold": F.lit(k)})
-                for (i, k), (scores, _) in zip(jobs, results)
+                for (i, k), (scores, _, _) in zip(jobs, results)
             ],
         )
         names = F.create_map(*[F.lit(v) for i, m in enumerate(models) for v in (i, m.name)])
@@ -280,13 +283,15 @@ def as_records(by_fold: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def run_all(tasks: Sequence[Callable[[], Any]], parallelism: int) -> list[tuple[Any, float]]:
-    """Run driver-side calls a few at a time; results in order, with seconds taken."""
+def run_all(
+    spark: SparkSession, tasks: Sequence[Callable[[], Any]], parallelism: int
+) -> list[tuple[Any, float, float]]:
+    """Run driver-side calls a few at a time; results in order, with start and end times."""
 
-    @inheritable_thread_target
-    def timed(task: Callable[[], Any]) -> tuple[Any, float]:
+    @inheritable_thread_target(spark)
+    def timed(task: Callable[[], Any]) -> tuple[Any, float, float]:
         start = time.perf_counter()
-        return task(), time.perf_counter() - start
+        return task(), start, time.perf_counter()
 
     if not tasks:
         return []

@@ -20,8 +20,11 @@ _IS_ROW = "_is_row"
 
 
 def default_buckets(df: DataFrame) -> int:
-    """A power of two, at least twice the session's shuffle parallelism."""
-    wanted = max(32, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """A power of two, at least sixteen times the session's shuffle parallelism.
+
+    Several buckets per task even out what hashing buckets to tasks leaves uneven.
+    """
+    wanted = max(128, 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return 1 << (wanted - 1).bit_length()
 
 
@@ -34,21 +37,26 @@ def with_range_bucket(
 ) -> DataFrame:
     """Tag rows with a bucket number that ascends with ``order``.
 
-    Edges are the order values of the rows with the smallest hashes: an unbiased sample of
-    fixed size that a recomputed task finds again, unlike a random one. Only that sample,
-    at most ``buckets`` rows, is brought together.
+    Edges are the order values of the rows whose hash falls below a threshold set by the
+    row count: an unbiased sample of about ``buckets`` rows that a recomputed task finds
+    again, unlike a random one. Only that sample is brought together.
     """
     size = buckets or default_buckets(df)
     value = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    positive = F.shiftrightunsigned(F.xxhash64(*sample_by), 1)
+    # Asking for the largest hash as well keeps this use of the frame the same as the others.
+    extent = df.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.max(positive))).scalar()
+    limit = F.try_divide(F.lit(2.0**63 * size), extent["rows"])
     edges = (
-        df.select(value.alias("_edge"), F.xxhash64(*sample_by).alias("_hash"))
+        df.select(value.alias("_edge"), positive.alias("_hash"))
+        .where(F.col("_hash") < limit)
         .orderBy("_hash", "_edge")
-        .limit(size)
+        .limit(2 * size)
         .agg(F.sort_array(F.collect_list("_edge")).alias("_edges"))
         .scalar()
     )
     tagged = df.withColumns({"_value": value, "_edges": edges, name: F.lit(0)})
-    step = size
+    step = 2 * size
     while step:
         passed = F.get("_edges", F.col(name) + F.lit(step - 1)) <= F.col("_value")
         tagged = tagged.withColumn(name, F.col(name) + F.when(passed, step).otherwise(0))

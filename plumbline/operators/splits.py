@@ -8,33 +8,41 @@ part on any cluster, in any file order. Ids must be unique and not null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import salted_digest
 from plumbline.operators.running import default_buckets, running
 
+# The digest's first 60 bits as a number sort faster than its text; the id settles ties.
+DIGEST_DIGITS = 15
 
-def _numbered(df: DataFrame, row_id: str, classes: list[str], salt: str, name: str) -> DataFrame:
-    """Number rows from zero in the order of classes, digest and id.
 
-    Leading digest characters are the buckets: uniform by construction, so no class is one
-    task's work however large it is.
+def _numbered(df: DataFrame, row_id: str, target: str, salt: str) -> DataFrame:
+    """Add ``_g``, numbering rows from zero in the order of class, digest and id.
+
+    The leading bits of the digest are the buckets: uniform by construction, so no class is
+    one task's work however large it is.
     """
-    digits = max(2, (default_buckets(df).bit_length() + 3) // 4)
-    digest = df.withColumn("_digest", salted_digest(salt, F.col(row_id)))
+    bits = default_buckets(df).bit_length() + 1
+    head = F.substring(salted_digest(salt, F.col(row_id)), 1, DIGEST_DIGITS)
+    digest = df.withColumn("_digest", F.conv(head, 16, 10).cast("long"))
     return (
         running(
-            digest.withColumn("_prefix", F.substring("_digest", 1, digits)),
+            digest.withColumn("_lead", F.shiftright("_digest", 4 * DIGEST_DIGITS - bits)),
             order=["_digest", row_id],
-            sums={name: F.lit(1)},
-            bucket=[*classes, "_prefix"],
+            sums={"_g": F.lit(1)},
+            bucket=[target, "_lead"],
         )
-        .withColumn(name, F.col(name) - 1)
-        .drop("_digest", "_prefix")
+        .withColumn("_g", F.col("_g") - 1)
+        .drop("_digest", "_lead")
     )
 
 
+def _held(numerator: int, denominator: int) -> Column:
+    return F.col("_g") * numerator % denominator < numerator
+
+
 def _attach(df: DataFrame, parts: DataFrame, row_id: str, target: str) -> DataFrame:
     """Bring split columns to the other columns of the frame, which were not shuffled so far."""
     if set(df.columns) <= {row_id, target}:
@@ -51,31 +59,41 @@ def stratified_holdout(
     seed: int = 0,
 ) -> DataFrame:
     """Add ``is_holdout``; by default one row in five."""
-    number = _numbered(df.select(row_id, target), row_id, [target], f"holdout{seed}", "_g")
-    held = F.col("_g") * numerator % denominator < numerator
-    return _attach(df, number.select(row_id, target, held.alias("is_holdout")), row_id, target)
+    number = _numbered(df.select(row_id, target), row_id, target, str(seed))
+    held = _held(numerator, denominator).alias("is_holdout")
+    return _attach(df, number.select(row_id, target, held), row_id, target)
 
 
 def stratified_folds(
     df: DataFrame, row_id: str, target: str, folds: int = 5, seed: int = 0
 ) -> DataFrame:
     """Add ``fold`` from 0 to ``folds - 1``."""
-    number = _numbered(df.select(row_id, target), row_id, [target], str(seed), "_g")
+    number = _numbered(df.select(row_id, target), row_id, target, str(seed))
     fold = (F.col("_g") % folds).cast("int").alias("fold")
     return _attach(df, number.select(row_id, target, fold), row_id, target)
 
 
 def assign_splits(
-    df: DataFrame, row_id: str, target: str, folds: int = 5, seed: int = 0
+    df: DataFrame,
+    row_id: str,
+    target: str,
+    folds: int = 5,
+    numerator: int = 1,
+    denominator: int = 5,
+    seed: int = 0,
 ) -> DataFrame:
     """Add ``is_holdout`` and, on the remaining rows, ``fold``.
 
-    Search rows sort before holdout rows, so their numbers start at zero and run without gaps.
+    Both come from one numbering: a search row's number, less the holdout rows up to it,
+    counts the search rows without gaps. For folds with a seed of their own, call
+    :func:`stratified_folds` on the search part.
     """
-    parts = stratified_holdout(df.select(row_id, target), row_id, target, seed=seed)
-    number = _numbered(parts, row_id, ["is_holdout", target], str(seed), "_g")
-    fold = F.when(~F.col("is_holdout"), (F.col("_g") % folds).cast("int")).alias("fold")
-    return _attach(df, number.select(row_id, target, "is_holdout", fold), row_id, target)
+    number = _numbered(df.select(row_id, target), row_id, target, str(seed))
+    held = _held(numerator, denominator)
+    held_so_far = F.floor(F.col("_g") * numerator / denominator) + 1
+    fold = F.when(~held, ((F.col("_g") - held_so_far) % folds).cast("int"))
+    parts = number.select(row_id, target, held.alias("is_holdout"), fold.alias("fold"))
+    return _attach(df, parts, row_id, target)
 
 
 def stratified_sample(
@@ -83,7 +101,7 @@ def stratified_sample(
 ) -> DataFrame:
     """Keep exactly ``size`` rows (or all, if fewer), spread evenly over the numbered order."""
     narrow = df.select(row_id, target)
-    number = _numbered(narrow, row_id, [target], f"sample{seed}", "_g")
+    number = _numbered(narrow, row_id, target, str(seed))
     total = narrow.agg(F.count(F.lit(1))).scalar()
     share = F.least(F.lit(size).cast("long"), total)
     taken = number.where(F.col("_g") * share % total < share)

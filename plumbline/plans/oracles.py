@@ -25,25 +25,18 @@ def _ap(source: str, keys: list[str], digits: int = 9) -> str:
     {group}"""
 
 
-def _numbered(source: str, row_id: str, classes: str, salt: str) -> str:
-    return (
-        f"row_number() OVER (ORDER BY {classes}, md5(concat_ws(':', '{salt}', {row_id})), "
-        f"{row_id}) - 1"
-    )
-
-
-def _holdout(source: str, row_id: str, target: str) -> str:
-    number = _numbered(source, row_id, target, "holdout0")
-    return f"SELECT *, ({number}) % 5 < 1 AS is_holdout FROM ({source})"
+def _numbered(row_id: str, target: str) -> str:
+    """Number of a row in the order of class, digest and id."""
+    digest = f"substr(md5(concat_ws(':', '0', {row_id})), 1, 15)"
+    return f"(row_number() OVER (ORDER BY {target}, {digest}, {row_id}) - 1)"
 
 
 def _splits(source: str, row_id: str, target: str) -> str:
     """Rows of ``source`` with ``is_holdout`` and ``fold``."""
-    held = _holdout(source, row_id, target)
-    number = _numbered(held, row_id, f"is_holdout, {target}", "0")
     return f"""
-    SELECT *, CASE WHEN NOT is_holdout THEN (({number}) % {FOLDS})::INTEGER END AS fold
-    FROM ({held})"""
+    SELECT * EXCLUDE (g), g % 5 < 1 AS is_holdout,
+           CASE WHEN g % 5 >= 1 THEN ((g - (g // 5 + 1)) % {FOLDS})::INTEGER END AS fold
+    FROM (SELECT *, {_numbered(row_id, target)} AS g FROM ({source}))"""
 
 
 # lineitem read as sensor rows.
@@ -280,9 +273,10 @@ ORACLES: dict[str, str] = {
     ),
     "event_average_precision": _ap(_EVENTS, []),
     "ap_by_event_hour": _ap(_EVENTS, ["hour"]),
-    "stratified_holdout": _holdout(_LABELS, "doc_id", "toxic"),
+    "stratified_holdout": f"""
+        SELECT doc_id, toxic, {_numbered("doc_id", "toxic")} % 5 < 1 AS is_holdout FROM labels""",
     "stratified_folds": f"""
-        SELECT doc_id, toxic, (({_numbered(_LABELS, "doc_id", "toxic", "0")}) % 5)::INTEGER AS fold
+        SELECT doc_id, toxic, ({_numbered("doc_id", "toxic")} % 5)::INTEGER AS fold
         FROM labels""",
     "split_assignment": _splits(_LABELS, "doc_id", "toxic"),
     "split_sizes": f"""
@@ -291,11 +285,11 @@ ORACLES: dict[str, str] = {
         FROM ({_splits(_EVENT_TARGETS, "event_id", "target")}) GROUP BY 1, 2""",
     "two_fold_sizes": f"""
         SELECT (g % 2)::INTEGER AS fold, count(*) AS n, sum(toxic)::BIGINT AS positives
-        FROM (SELECT toxic, {_numbered(_LABELS, "doc_id", "toxic", "0")} AS g FROM labels)
+        FROM (SELECT toxic, {_numbered("doc_id", "toxic")} AS g FROM labels)
         GROUP BY 1""",
     "stratified_sample": f"""
         SELECT event_id, target
-        FROM (SELECT *, {_numbered(_EVENT_TARGETS, "event_id", "target", "sample0")} AS g,
+        FROM (SELECT *, {_numbered("event_id", "target")} AS g,
                      count(*) OVER () AS total, least(600, count(*) OVER ()) AS share
               FROM ({_EVENT_TARGETS}))
         WHERE g * share % total < share""",
