@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import compile_expression, squared_loss
 from plumbline.operators.ranking import average_precision
 from plumbline.operators.scaling import fit_statistics, scale, views, with_fit_weights
+from plumbline.sources.trial_logs import EXPRESSION_LOG
 
 # Expressions compiled into one projection; more are scanned in further blocks, because one
 # generated method per projection can only grow so far.
@@ -122,19 +123,43 @@ def candidate_losses(
     return reduce(DataFrame.unionByName, [block_losses(b) for b in _blocks(candidates)])
 
 
-def candidate_records(scores: DataFrame, losses: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Trial records of scored candidates: ``candidates`` has ``candidate, complexity, expression``.
+def candidate_trials(
+    df: DataFrame,
+    candidates: Sequence[Candidate],
+    features: Sequence[str],
+    target: str,
+    folds: int = 5,
+    loss: Callable[[Column, Column], Column] = squared_loss,
+    log: str = EXPRESSION_LOG,
+) -> DataFrame:
+    """One trial record per candidate and fold, counted by fold and then complexity.
 
-    All three inputs hold one row per candidate and fold at most.
+    The score is the validation fold's; training loss and holdout score are in the payload.
+    Counting in one window is safe: rows are no more than the given list times the folds.
     """
-    joined = scores.join(losses, ["candidate", "fold"], "left").join(candidates, "candidate")
-    return joined.select(
-        F.lit("pysr").alias("arm"),
-        "candidate",
-        "fold",
-        F.struct("complexity", "expression").alias("params"),
+    scores = score_candidates(df, candidates, features, target, folds)
+    losses = candidate_losses(df, candidates, features, target, folds, loss)
+    texts = df.sparkSession.createDataFrame(
+        [(c.name, c.complexity, c.expression) for c in candidates],
+        "candidate string, complexity int, expression string",
+    )
+    joined = (
+        scores.join(losses, ["candidate", "fold"], "left")
+        .join(texts, "candidate")
+        .withColumn("log", F.lit(log))
+    )
+    in_order = Window.partitionBy("log").orderBy("fold", "complexity", "candidate")
+    counted = joined.withColumn(
+        "trial_index", (F.row_number().over(in_order) - 1).cast("long")
+    )
+    return counted.select(
+        "log",
+        F.col("log").alias("arm"),
+        "trial_index",
+        F.parse_json(F.to_json(F.struct("complexity", "expression"))).alias("params"),
         F.array("ap").alias("fold_scores"),
         F.col("ap").alias("mean_score"),
         F.lit(0.0).alias("std_score"),
-        F.struct("fold", "loss", "holdout_ap").alias("payload"),
+        F.parse_json(F.to_json(F.struct("fold", "loss", "holdout_ap"))).alias("payload"),
+        F.current_timestamp().alias("timestamp"),
     )

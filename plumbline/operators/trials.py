@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import display, known
-from plumbline.functions.params import param, params_text, usage
+from plumbline.functions.params import param, params_text, repaired, usage
 from plumbline.operators.running import running
 
 # Records of one log handled by one task in running totals. Indices are dense, so blocks of
@@ -38,6 +38,13 @@ def _by_index(trials: DataFrame, block: int, **running_args) -> DataFrame:
     ).drop("_block")
 
 
+def repair_params(trials: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decode parameters stored as JSON text; records whose text does not parse come second."""
+    decoded = trials.withColumn("_decoded", repaired(F.col("params")))
+    good = decoded.where(F.col("_decoded").isNotNull()).withColumn("params", F.col("_decoded"))
+    return good.drop("_decoded"), decoded.where(F.col("_decoded").isNull()).drop("_decoded")
+
+
 def log_summary(trials: DataFrame) -> DataFrame:
     """Records, best score and elapsed minutes per log."""
     return trials.groupBy("log").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from plumbline.plans.tables import DOCUMENT_FEATURES
+from plumbline.plans.tables import CANDIDATES, DOCUMENT_FEATURES
 
 LANGUAGES = ["de", "en", "es", "fr"]
 FOLDS = 5
@@ -246,6 +246,19 @@ _COMPARISON = f"""
     UNION ALL SELECT trial_index, round(best_score, 6), log FROM ({_BEST})
     WHERE log IN ('agent', 'pysr')"""
 
+_SCORED = f"""
+    SELECT candidate, scaler_fold AS fold, max(ap) FILTER (NOT held) AS ap,
+           max(ap) FILTER (held) AS holdout_ap
+    FROM ({_ap(f"SELECT * FROM ({_long_scores('validation')}) UNION ALL "
+               f"SELECT * FROM ({_long_scores('holdout')})",
+               ["candidate", "scaler_fold", "held"], 15)})
+    GROUP BY 1, 2"""
+_TEXTS = ", ".join(f"('{c.name}', {c.complexity}, '{c.expression}')" for c in CANDIDATES)
+_CANDIDATE_TRIALS = f"""
+    SELECT 'pysr' AS log, row_number() OVER (ORDER BY fold, complexity, candidate) - 1 AS trial_index,
+           ap, complexity::INTEGER AS complexity, expression, fold, holdout_ap
+    FROM ({_SCORED}) JOIN (VALUES {_TEXTS}) t(candidate, complexity, expression) USING (candidate)"""
+
 ORACLES: dict[str, str] = {
     "rule_flags": f"""
         SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, variant, target, heat, power,
@@ -334,12 +347,17 @@ ORACLES: dict[str, str] = {
     )
     + f" FROM ({_scaled('validation', DOCUMENT_FEATURES)})",
     "expression_scores": f"""
-        SELECT candidate, scaler_fold AS fold, max(ap) FILTER (NOT held) AS ap,
-               max(ap) FILTER (held) AS holdout_ap
-        FROM ({_ap(f"SELECT * FROM ({_long_scores('validation')}) UNION ALL "
-                   f"SELECT * FROM ({_long_scores('holdout')})",
-                   ["candidate", "scaler_fold", "held"])})
-        GROUP BY 1, 2""",
+        SELECT candidate, fold, round(ap, 9) AS ap, round(holdout_ap, 9) AS holdout_ap
+        FROM ({_SCORED})""",
+    "expression_trials": f"""
+        SELECT log, trial_index, round(ap, 9) AS ap, complexity, expression, fold,
+               round(holdout_ap, 9) AS holdout_ap FROM ({_CANDIDATE_TRIALS})""",
+    "expression_selection": f"""
+        SELECT complexity, arg_max(expression, trial_index) AS expression,
+               round(avg(ap), 9) AS cv_mean, round(avg(holdout_ap), 9) AS holdout_ap,
+               count(*) AS folds_present
+        FROM ({_CANDIDATE_TRIALS}) GROUP BY complexity
+        ORDER BY folds_present DESC, avg(ap) DESC, min(trial_index) LIMIT 1""",
     "expression_losses": _losses("pow({p} - toxic, 2)"),
     "expression_logistic_losses": _losses(_LOGISTIC_LOSS),
     "trial_log_summary": f"""

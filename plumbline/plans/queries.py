@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import logistic_loss
-from plumbline.functions.params import repaired, typed_params
+from plumbline.functions.params import typed_params
 from plumbline.functions.rules import any_rule, heat_rule, power_rule, process_power, strain_rule
 from plumbline.operators import candidates as expressions
 from plumbline.operators import scaling, splits, trials
@@ -301,6 +301,22 @@ def expression_logistic_losses(spark, folder):
     return rounded(losses, 6, "loss")
 
 
+def expression_trials(spark, folder):
+    """Every candidate and fold as a trial record, flattened."""
+    documents = _written_documents(spark, folder)
+    records = expressions.candidate_trials(documents, CANDIDATES, DOCUMENT_FEATURES, "toxic")
+    flat = trials.expression_records(records).withColumnRenamed("mean_score", "ap")
+    return rounded(flat, 9, "ap", "holdout_ap")
+
+
+def expression_selection(spark, folder):
+    """The candidates' own trial records, selected by full coverage."""
+    documents = _written_documents(spark, folder)
+    records = expressions.candidate_trials(documents, CANDIDATES, DOCUMENT_FEATURES, "toxic")
+    best = trials.full_coverage(trials.expression_records(records))
+    return rounded(best, 9, "cv_mean", "holdout_ap")
+
+
 # Trial logs.
 
 
@@ -491,18 +507,19 @@ def config_validate(spark, folder):
 
 
 def params_repair(spark, folder):
-    """Event properties, a third of them stored as a JSON string that holds the object."""
+    """Event properties, some stored as a JSON string that holds the object, some broken."""
     props = F.col("props")
     twice = F.concat(F.lit('"'), F.replace(props, F.lit('"'), F.lit('\\"')), F.lit('"'))
-    broken = F.lit('"{not json"')
     stored = (
         F.when(F.col("event_id") % 3 == 0, twice)
         .when(F.col("event_id") % 3 == 1, props)
-        .otherwise(broken)
+        .otherwise(F.lit('"{not json"'))
     )
-    fixed = repaired(F.parse_json(stored))
-    return table(spark, folder, "events").select(
-        "event_id", F.try_variant_get(fixed, "$.k", "int").alias("k"), fixed.isNull().alias("rejected")
+    records = table(spark, folder, "events").select("event_id", F.parse_json(stored).alias("params"))
+    good, rejects = trials.repair_params(records)
+    k = F.try_variant_get("params", "$.k", "int").alias("k")
+    return good.select("event_id", k, F.lit(False).alias("rejected")).unionByName(
+        rejects.select("event_id", k, F.lit(True).alias("rejected"))
     )
 
 
@@ -597,6 +614,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         expression_scores,
         expression_losses,
         expression_logistic_losses,
+        expression_trials,
+        expression_selection,
         trial_log_summary,
         best_so_far,
         best_by_time,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.rules import Limits, Sensors
@@ -53,8 +53,10 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """
     text = F.col("text")
 
-    def count_of(character: str):
-        return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
+    def count_of(character: str) -> Column:
+        """Occurrences of an ASCII character: one byte each, so no characters are counted."""
+        without = F.replace(text, F.lit(character), F.lit(""))
+        return F.octet_length(text) - F.octet_length(without)
 
     counts = table(spark, folder, "documents").select(
         "doc_id",
@@ -62,7 +64,7 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
         "n_chars",
         (count_of(" ") + 1).alias("n_words"),
         (count_of("\n") + 1).alias("n_lines"),
-        (F.length(text) - F.length(F.translate(text, "0123456789", ""))).alias("n_digits"),
+        F.regexp_count(text, F.lit("[0-9]")).alias("n_digits"),
         count_of(",").alias("n_commas"),
     )
     labels = make_target(table(spark, folder, "labels").select("doc_id", "toxic"), "toxic")
@@ -104,6 +106,8 @@ def events_as_trials(spark: SparkSession, folder: str) -> DataFrame:
     counted = running(
         records, keys=["log"], order=["ts", "event_id"], sums={"trial_index": F.lit(1)}
     )
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    elapsed = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(start)
     is_expression = F.col("log") == "pysr"
     is_logistic = F.col("k") % 2 == 0
     tenth = (F.col("k") + 1) / 10
@@ -158,10 +162,7 @@ def events_as_trials(spark: SparkSession, folder: str) -> DataFrame:
         "mean_score",
         (F.col("k") / 1000).alias("std_score"),
         tenth.alias("wall_clock_s"),
-        (
-            F.unix_micros(F.col("ts").cast("timestamp"))
-            - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-        ).cast("double").__truediv__(1e6).alias("cumulative_s"),
+        (elapsed / 1e6).alias("cumulative_s"),
         F.parse_json(payload).alias("payload"),
         "user_id",
         "k",

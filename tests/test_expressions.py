@@ -8,7 +8,7 @@ from plumbline.operators.candidates import (
     BLOCK,
     Candidate,
     candidate_losses,
-    candidate_records,
+    candidate_trials,
     score_candidates,
 )
 from plumbline.operators.ranking import average_precision
@@ -106,14 +106,17 @@ def test_candidates_of_one_fold_and_more_than_one_block(split):
     losses = candidate_losses(split, many, ["a", "b"], "y", loss=logistic_loss)
     for df in (scores, losses):
         assert {(r["candidate"], r["fold"]) for r in df.collect()} == {(c.name, c.fold) for c in many}
-    spark = split.sparkSession
-    texts = spark.createDataFrame(
-        [(c.name, c.complexity, c.expression) for c in many],
-        "candidate string, complexity int, expression string",
-    )
-    records = candidate_records(scores, losses, texts).collect()
-    assert len(records) == len(many)
-    assert all(r["fold_scores"] == [r["mean_score"]] and r["payload"]["loss"] > 0 for r in records)
+    rows = candidate_trials(split, many, ["a", "b"], "y").withColumns(
+        {
+            "fold": F.try_variant_get("payload", "$.fold", "int"),
+            "loss": F.try_variant_get("payload", "$.loss", "double"),
+            "held": F.try_variant_get("payload", "$.holdout_ap", "double"),
+        }
+    ).drop("params", "payload").orderBy("trial_index").collect()
+    assert [r["trial_index"] for r in rows] == list(range(len(many)))
+    assert [r["fold"] for r in rows] == sorted(c.fold for c in many)
+    assert all(r["fold_scores"] == [r["mean_score"]] and r["std_score"] == 0.0 for r in rows)
+    assert all(r["loss"] > 0 and 0 <= r["held"] <= 1 for r in rows)
 
 
 def test_empty_candidate_list_is_an_error(split):
