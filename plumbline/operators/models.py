@@ -10,7 +10,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
@@ -220,16 +219,11 @@ class Evaluation:
 
     def holdout_ap(self, models: Sequence[Model], parallelism: int = CONCURRENT_FITS) -> DataFrame:
         """Holdout average precision per model: ``arm, holdout_ap``."""
-        tasks = [lambda m=m: self.holdout_scores(m) for m in models]
-        scored = [
-            s.withColumn("arm", F.lit(m.name))
-            for m, (s, _, _) in zip(models, run_all(self.spark, tasks, parallelism))
-        ]
-        union = reduce(DataFrame.unionByName, scored)
-        return settled(
-            average_precision(union, "_y", "score", ["arm"]).select(
-                "arm", F.col("ap").alias("holdout_ap")
-            )
+        tasks = [lambda m=m: _ap(self.holdout_scores(m)) for m in models]
+        results = run_all(self.spark, tasks, parallelism)
+        return self.spark.createDataFrame(
+            [(m.name, ap) for m, (ap, _, _) in zip(models, results)],
+            "arm string, holdout_ap double",
         )
 
     def cross_validate(
@@ -237,39 +231,29 @@ class Evaluation:
     ) -> DataFrame:
         """One trial record per model over the shared folds.
 
-        All fits run first; the average precision of every model and fold is then one query.
-        ``wall_clock_s`` is the time from the start of a model's first fit to the end of its last.
+        ``wall_clock_s`` is the time from the start of a model's first fit to its last score.
         """
         jobs = [(i, k) for i in range(len(models)) for k in range(self.folds)]
-        tasks = [lambda i=i, k=k: self.fold_scores(models[i], k) for i, k in jobs]
-        results = run_all(self.spark, tasks, parallelism)
-        seconds = [
-            max(end for (j, _), (_, _, end) in zip(jobs, results) if j == i)
-            - min(start for (j, _), (_, start, _) in zip(jobs, results) if j == i)
-            for i in range(len(models))
-        ]
-        union = reduce(
-            DataFrame.unionByName,
-            [
-                scores.withColumns({"trial_index": F.lit(i).cast("long"), "fold": F.lit(k)})
-                for (i, k), (scores, _, _) in zip(jobs, results)
-            ],
-        )
-        names = F.create_map(*[F.lit(v) for i, m in enumerate(models) for v in (i, m.name)])
-        clock = F.create_map(*[F.lit(v) for i, s in enumerate(seconds) for v in (i, s)])
-        by_fold = average_precision(union, "_y", "score", ["trial_index", "fold"])
-        return settled(
-            as_records(by_fold, ["trial_index"]).withColumns(
-                {
-                    "arm": names[F.col("trial_index").cast("int")],
-                    "wall_clock_s": clock[F.col("trial_index").cast("int")],
-                }
-            )
+        tasks = [lambda i=i, k=k: _ap(self.fold_scores(models[i], k)) for i, k in jobs]
+        by_fold, first, last = [], {}, {}
+        for (i, k), (ap, start, end) in zip(jobs, run_all(self.spark, tasks, parallelism)):
+            by_fold.append((i, k, ap))
+            first[i], last[i] = min(start, first.get(i, start)), max(end, last.get(i, end))
+        clock = [(i, m.name, last[i] - first[i]) for i, m in enumerate(models)]
+        spark = self.spark
+        scores = spark.createDataFrame(by_fold, "trial_index long, fold int, ap double")
+        return as_records(scores, ["trial_index"]).join(
+            spark.createDataFrame(clock, "trial_index long, arm string, wall_clock_s double"),
+            "trial_index",
         )
 
 
+def _ap(scored: DataFrame) -> float | None:
+    return average_precision(scored, "_y", "score").first()["ap"]
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Compute a frame with a row per fitted model now, so that it outlives the cached table."""
+    """Compute a frame with a row per arm now, so that it outlives the cached table."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 _BUCKET = "_bucket"
 _IS_ROW = "_is_row"
+_REPEATED = "_repeated"
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -75,6 +76,7 @@ def running(
     bucket: Sequence[str] | None = None,
     sample_by: Sequence[str] | None = None,
     buckets: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add running sums and maxima per key, up to and including each row.
 
@@ -84,6 +86,7 @@ def running(
         totals: Output name to the name of a running sum whose whole-key total is wanted.
         bucket: Existing columns that ascend with the order; by default buckets are sampled.
         sample_by: Columns hashed for the sample, by default the keys and the order.
+        unique: Fail the job if two rows of a bucket have the same order values.
     """
     sums, maxima, totals = dict(sums or {}), dict(maxima or {}), dict(totals or {})
     keys, order, columns = list(keys), list(order), df.columns
@@ -110,21 +113,26 @@ def running(
         *[F.max(f"_in_{n}").over(earlier).alias(f"_in_{n}") for n in maxima],
         *[F.sum(f"_in_{source}").over(whole).alias(n) for n, source in totals.items()],
     )
-    so_far = (
-        Window.partitionBy(*keys, *bucket)
-        .orderBy(_IS_ROW, *order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    in_order = Window.partitionBy(*keys, *bucket).orderBy(_IS_ROW, *order)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    repeated = F.lit(False)
+    if unique:
+        place = F.struct(_IS_ROW, *order)
+        repeated = F.coalesce(F.lag(place).over(in_order) == place, F.lit(False))
     return (
         df.withColumn(_IS_ROW, F.lit(True))
         .unionByName(carry, allowMissingColumns=True)
         .select(
             *columns,
             _IS_ROW,
+            repeated.alias(_REPEATED),
             *[F.sum(f"_in_{n}").over(so_far).alias(n) for n in sums],
             *[F.max(f"_in_{n}").over(so_far).alias(n) for n in maxima],
             *[F.max(n).over(so_far).alias(n) for n in totals],
         )
-        .where(_IS_ROW)
-        .drop(_IS_ROW)
+        .where(
+            F.when(F.col(_REPEATED), F.raise_error(F.lit(f"{order} is not unique")).cast("boolean"))
+            .otherwise(F.col(_IS_ROW))
+        )
+        .drop(_IS_ROW, _REPEATED)
     )

@@ -3,7 +3,8 @@
 Rows are ordered by class, then by a salted digest of their id, and numbered from zero
 across classes. Taking every d-th number gives parts whose sizes, in total and per class,
 differ by at most one. The digest depends on nothing but the id, so a row lands in the same
-part on any cluster, in any file order. Ids must be unique and not null.
+part on any cluster, in any file order. Ids must be unique and not null; a repeated id fails
+the job, since its copies could land in different parts.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ def _numbered(df: DataFrame, row_id: str, target: str, salt: str) -> DataFrame:
             order=["_digest", row_id],
             sums={"_g": F.lit(1)},
             bucket=[target, "_lead"],
+            unique=True,
         )
         .withColumn("_g", F.col("_g") - 1)
         .drop("_digest", "_lead")

@@ -104,9 +104,9 @@ _WEIGHT = "fit_rows / (2.0::DOUBLE * CASE toxic WHEN 1 THEN fit_ones ELSE fit_ro
 _SCORES = {
     "constant": "0.5::DOUBLE",
     "length": "n_chars",
-    "bounded": "greatest(0.26162457::DOUBLE, n_words * -0.6672919::DOUBLE)",
-    "squeezed": "least(least(0.13644107::DOUBLE, n_digits) * n_digits, 0.8494885::DOUBLE)",
-    "additive": "(n_lines + greatest(n_chars, greatest(n_words, n_commas))) * 0.27716792::DOUBLE",
+    "bounded": "greatest(0.25::DOUBLE, n_words * -0.65::DOUBLE)",
+    "squeezed": "least(least(0.15::DOUBLE, n_digits) * n_digits, 0.85::DOUBLE)",
+    "additive": "(n_lines + greatest(n_chars, greatest(n_words, n_commas))) * 0.3::DOUBLE",
     "ratio": "n_chars / nullif(n_words - -3.0::DOUBLE, 0)",
     "any_of": "greatest((n_chars > 1.0)::INTEGER, (n_lines < -0.25)::INTEGER)::DOUBLE",
     "all_of": "least((n_words > 0.0)::INTEGER, (n_digits < 0.5)::INTEGER)::DOUBLE - n_commas",

@@ -29,6 +29,7 @@ from plumbline.operators.trials import (
 )
 from plumbline.sources.trial_logs import BASELINE_LOG, log_kind
 
+# How the rules are named in records.
 RULES_ARM = "ground_truth_rules"
 RULES_EXPRESSION = "hdf | pwf | osf"
 

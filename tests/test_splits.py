@@ -81,3 +81,8 @@ def test_golden_folds_of_the_label_table(spark):
     assert [r["n"] for r in rows] == [80, 80, 80, 80, 79]
     assert [r["p"] for r in rows] == [10, 10, 10, 11, 10]
     assert [r["ids"] for r in rows] == [40294, 39429, 41633, 38044, 37055]
+
+
+def test_repeated_ids_fail(spark, table):
+    with pytest.raises(Exception, match="not unique"):
+        stratified_folds(table.union(table.where("id = 7")), "id", "target").collect()
