@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 _BUCKET = "_bucket"
 _IS_ROW = "_is_row"
 _REPEATED = "_repeated"
+_OTHERS = "_others"
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -104,17 +105,24 @@ def running(
         .orderBy(*bucket)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    # A key's first bucket has nothing to carry, and a key's only bucket holds its total.
     whole = Window.partitionBy(*keys)
-    carry = per_bucket.select(
-        *keys,
-        *bucket,
-        F.lit(False).alias(_IS_ROW),
-        *[F.coalesce(F.sum(f"_in_{n}").over(earlier), F.lit(0)).alias(f"_in_{n}") for n in sums],
-        *[F.max(f"_in_{n}").over(earlier).alias(f"_in_{n}") for n in maxima],
-        *[F.sum(f"_in_{source}").over(whole).alias(n) for n, source in totals.items()],
+    carry = (
+        per_bucket.select(
+            *keys,
+            *bucket,
+            F.lit(False).alias(_IS_ROW),
+            *[F.coalesce(F.sum(f"_in_{n}").over(earlier), F.lit(0)).alias(f"_in_{n}") for n in sums],
+            *[F.max(f"_in_{n}").over(earlier).alias(f"_in_{n}") for n in maxima],
+            *[F.sum(f"_in_{source}").over(whole).alias(n) for n, source in totals.items()],
+            F.count(F.lit(1)).over(whole if totals else earlier).alias(_OTHERS),
+        )
+        .where(F.col(_OTHERS) > (1 if totals else 0))
+        .drop(_OTHERS)
     )
     in_order = Window.partitionBy(*keys, *bucket).orderBy(_IS_ROW, *order)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_bucket = Window.partitionBy(*keys, *bucket)
     repeated = F.lit(False)
     if unique:
         place = F.struct(_IS_ROW, *order)
@@ -128,7 +136,10 @@ def running(
             repeated.alias(_REPEATED),
             *[F.sum(f"_in_{n}").over(so_far).alias(n) for n in sums],
             *[F.max(f"_in_{n}").over(so_far).alias(n) for n in maxima],
-            *[F.max(n).over(so_far).alias(n) for n in totals],
+            *[
+                F.coalesce(F.max(n).over(so_far), F.sum(f"_in_{source}").over(in_bucket)).alias(n)
+                for n, source in totals.items()
+            ],
         )
         .where(
             F.when(F.col(_REPEATED), F.raise_error(F.lit(f"{order} is not unique")).cast("boolean"))
