@@ -33,7 +33,8 @@ from plumbline.session import cut_lineage
 
 MAX_DEPTH = 30  # the deepest tree Spark grows
 DEEP = 10  # beyond this, remembering each row's node beats walking the trees again
-CONCURRENT_FITS = 5
+# Fits at a time: a few when each one fills the cluster, more when each is a single task.
+CONCURRENT_FITS = (5, 16)
 # A fit is many short jobs; below this many rows a task costs more to start than to run.
 ROWS_PER_TASK = 50_000
 
@@ -135,8 +136,9 @@ class Evaluation:
 
     Keeps only the needed columns, written to the checkpoint folder and held in memory with
     spill to disk: a lost part is read again rather than computed again, and the many short
-    jobs of a fit do not carry the plan of the split. The fit statistics of all folds, ``folds + 1`` rows, are the only data on the driver.
-    Use as a context manager to release the memory.
+    jobs of a fit do not carry the plan of the split. The fit statistics of all folds,
+    ``folds + 1`` rows, are the only data on the driver. Use as a context manager to release
+    the memory.
     """
 
     def __init__(
@@ -158,6 +160,9 @@ class Evaluation:
             row["scaler_fold"]: row for row in statistics.collect()
         }
         self._tasks = max(1, self._statistics[WHOLE_SEARCH]["fit_rows"] // ROWS_PER_TASK)
+        few, many = CONCURRENT_FITS
+        room = self.spark.sparkContext.defaultParallelism // self._tasks
+        self._concurrent = min(many, max(few, room))
 
     def __enter__(self) -> Evaluation:
         return self
@@ -217,26 +222,25 @@ class Evaluation:
             model, self.table.where(~held), self.table.where(held), WHOLE_SEARCH
         )
 
-    def holdout_ap(self, models: Sequence[Model], parallelism: int = CONCURRENT_FITS) -> DataFrame:
+    def holdout_ap(self, models: Sequence[Model]) -> DataFrame:
         """Holdout average precision per model: ``arm, holdout_ap``."""
         tasks = [lambda m=m: _ap(self.holdout_scores(m)) for m in models]
-        results = run_all(self.spark, tasks, parallelism)
+        results = run_all(self.spark, tasks, self._concurrent)
         return self.spark.createDataFrame(
             [(m.name, ap) for m, (ap, _, _) in zip(models, results)],
             "arm string, holdout_ap double",
         )
 
-    def cross_validate(
-        self, models: Sequence[Model], parallelism: int = CONCURRENT_FITS
-    ) -> DataFrame:
+    def cross_validate(self, models: Sequence[Model]) -> DataFrame:
         """One trial record per model over the shared folds.
 
         ``wall_clock_s`` is the time from the start of a model's first fit to its last score.
         """
         jobs = [(i, k) for i in range(len(models)) for k in range(self.folds)]
         tasks = [lambda i=i, k=k: _ap(self.fold_scores(models[i], k)) for i, k in jobs]
+        results = run_all(self.spark, tasks, self._concurrent)
         by_fold, first, last = [], {}, {}
-        for (i, k), (ap, start, end) in zip(jobs, run_all(self.spark, tasks, parallelism)):
+        for (i, k), (ap, start, end) in zip(jobs, results):
             by_fold.append((i, k, ap))
             first[i], last[i] = min(start, first.get(i, start)), max(end, last.get(i, end))
         clock = [(i, m.name, last[i] - first[i]) for i, m in enumerate(models)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.rules import Limits, Sensors
 from plumbline.operators.candidates import Candidate
 from plumbline.operators.features import category_values, make_features, make_target
-from plumbline.operators.running import running
+from plumbline.operators.trials import numbered
 
 DOCUMENT_FEATURES = ["n_chars", "n_words", "n_lines", "n_digits", "n_commas"]
 
@@ -101,11 +101,14 @@ def events_as_trials(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("pysr")
     )
     records = table(spark, folder, "events").select(
-        log.alias("log"), "ts", "event_id", "user_id", k.alias("k"), F.col("value").alias("mean_score")
-    )
-    counted = running(
-        records, keys=["log"], order=["ts", "event_id"], sums={"trial_index": F.lit(1)}
+        log.alias("log"),
+        "ts",
+        "event_id",
+        "user_id",
+        k.alias("k"),
+        F.col("value").alias("mean_score"),
     )
+    counted = numbered(records, ["ts", "event_id"])
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     elapsed = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(start)
     is_expression = F.col("log") == "pysr"
@@ -153,7 +156,7 @@ def events_as_trials(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select(
         "log",
         F.col("log").alias("arm"),
-        (F.col("trial_index") - 1).alias("trial_index"),
+        "trial_index",
         F.parse_json(
             F.when(is_expression, F.to_json(expression))
             .when(is_logistic, F.to_json(logistic))
