@@ -46,8 +46,10 @@ def with_range_bucket(
     size = buckets or default_buckets(df)
     value = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     positive = F.shiftrightunsigned(F.xxhash64(*sample_by), 1)
-    # Asking for the largest hash as well keeps this use of the frame the same as the others.
-    extent = df.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.max(positive))).scalar()
+    # Counting alone reads no columns. But where all of them are hashed, a shuffle lies below
+    # that the other uses read whole: asking for the largest hash lets this one share it.
+    shared = [F.max(positive)] if set(sample_by) == set(df.columns) else []
+    extent = df.agg(F.struct(F.count(F.lit(1)).alias("rows"), *shared)).scalar()
     limit = F.try_divide(F.lit(2.0**63 * size), extent["rows"])
     edges = (
         df.select(value.alias("_edge"), positive.alias("_hash"))
