@@ -1,8 +1,8 @@
-"""Session helpers: a local session for tests and bench, and lineage cutting."""
+"""Session helpers: a local session for tests and bench, and tables that cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,20 +26,35 @@ def local_session(cores: int | str = 8, app: str = "plumbline", **conf: str) ->
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written files.
+def work_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, shared by the driver and all executors.
 
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``. A local
-    master without that setting gets a temporary folder; a cluster without it is an error,
-    because files on one machine are lost with it.
+    It is the one the cluster names in ``spark.checkpoint.dir``; where that is unset, a folder
+    inside the warehouse, which every executor reaches as well.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="plumbline-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/plumbline-work"
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables by the paths that ``written_table`` gave."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a written Parquet table, read back, and its path.
+
+    Later jobs read files instead of repeating the work, and an executor that is lost takes
+    nothing with it. Schema, column pruning and statistics survive, unlike with a checkpoint.
+    """
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a written table in the shared folder."""
+    return written_table(df, name)[0]
