@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm.bpe import op9_byte_bpe
 from plumbline.llm.langid import op8_language_id
+from plumbline.llm.near_vectors import near_sql, op7_near_vectors
 from plumbline.llm.packing import op6_packing
 from plumbline.llm.quality import op2_quality_rules, quality_sql
 from plumbline.llm.sharding import op1_sharding, shard_sql
@@ -14,10 +15,12 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
     "op6_packing": op6_packing,
+    "op7_near_vectors": op7_near_vectors,
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLES = {
     "op1_sharding": shard_sql(),
     "op2_quality_rules": quality_sql(),
+    "op7_near_vectors": near_sql(),
 }
