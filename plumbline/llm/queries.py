@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm.bpe import op9_byte_bpe
+from plumbline.llm.jaccard import jaccard_sql, op5_jaccard_join
 from plumbline.llm.langid import op8_language_id
 from plumbline.llm.near_vectors import near_sql, op7_near_vectors
 from plumbline.llm.packing import op6_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_near_vectors": op7_near_vectors,
     "op8_language_id": op8_language_id,
@@ -22,5 +24,6 @@ QUERIES = {
 ORACLES = {
     "op1_sharding": shard_sql(),
     "op2_quality_rules": quality_sql(),
+    "op5_jaccard_join": jaccard_sql(),
     "op7_near_vectors": near_sql(),
 }
