@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from plumbline.llm.bpe import op9_byte_bpe
+from plumbline.llm.extraction import op4_html_extraction
 from plumbline.llm.jaccard import jaccard_sql, op5_jaccard_join
 from plumbline.llm.langid import op8_language_id
+from plumbline.llm.lm_scoring import op10_lm_scoring
 from plumbline.llm.near_vectors import near_sql, op7_near_vectors
 from plumbline.llm.packing import op6_packing
 from plumbline.llm.quality import op2_quality_rules, quality_sql
@@ -15,11 +17,13 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
+    "op4_html_extraction": op4_html_extraction,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_near_vectors": op7_near_vectors,
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES = {
     "op1_sharding": shard_sql(),
