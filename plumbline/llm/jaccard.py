@@ -8,12 +8,12 @@ are compared. Sets of near sizes use the same number of parts; a set that may ha
 partner in the next lower class signs there too. Empty parts count only in pairs, and there is
 one part more than needed, so that this loses nothing.
 
-Of the sets that share a signature, the least is the pivot, and all others meet it in blocks of
-bounded size: a block's sets form a trie that the pivot's set traverses. After the links found so,
-a signature whose sets are all connected needs no more comparisons. After two rounds of pivots the
-sets of the remaining signatures meet in a grid of blocks, trie against trie, leaving out what is
-connected already. So no link between components is lost, and a large group of near copies costs
-comparisons by its size.
+Of the sets that share a signature the least is the pivot, and each set first meets the least of
+its pivots: in blocks of bounded size the sets form a trie that the pivot's set traverses. A signature
+whose sets are all connected then needs no more comparisons. The sets of the other signatures, in
+clusters that signatures connect, meet in pairs of bounded blocks, trie against asking sets. Blocks
+that hold sets of one component only don't meet each other, so a large group of near copies is
+compared with what isn't yet part of it and not with itself. No link between components is lost.
 
 Defined results: a text that is missing or has no word has no n-grams, links with nothing and is its
 own component; with fewer words than n the whole sequence is the one n-gram. Repeated rows and equal
@@ -39,7 +39,7 @@ from plumbline.session import cut_lineage
 WORDS, PERCENT = 3, 90
 SLICE_BYTES = 8 << 20
 BLOCK = 128
-ROUNDS = 2
+STORED, ASKS, BOTH = 0, 1, 2
 GROWTH = 1.4
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -147,11 +147,11 @@ def join_blocks(rows: DataFrame, percent: int) -> DataFrame:
         for held in blocks(batches):
             trie, roots, left, right = Trie(), {}, [], []
             for ask, root, node, tokens in held:
-                if not ask:
+                if ask != ASKS:
                     trie.add(node, tokens)
                     roots[node] = root
             for ask, root, node, tokens in held:
-                if ask:
+                if ask != STORED:
                     for other in trie.similar(tokens, percent, lambda name: roots[name] != root):  # noqa: B023
                         left.append(node)
                         right.append(other)
@@ -161,45 +161,66 @@ def join_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return rows.withColumn("root", F.col("node"))
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def pivot_links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of each signature's sets with its least set, by rows of ``key``, ``node``, ``root``, ``pivot``, ``pivot_root``."""
-    pairs = shared.filter("node <> pivot AND root <> pivot_root").select("node", "root", "pivot", "pivot_root").distinct()
+    pairs = shared.select("node", "root", "pivot", "pivot_root").distinct()
     sizes = pairs.groupBy("pivot", "pivot_root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
     sizes = cut_lineage(sizes, "pivots")
     name = lambda number: F.xxhash64("pivot", number)
     members = pairs.join(sizes.drop("pivot_root"), "pivot")
-    members = members.select(name(F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).alias("block"), F.lit(False).alias("asks"), "root", "node")
+    members = members.select(name(F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).alias("block"), F.lit(STORED).alias("asks"), "root", "node")
     pivots = sizes.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pivots = pivots.select(name(F.col("number")).alias("block"), F.lit(True).alias("asks"), F.col("pivot_root").alias("root"), F.col("pivot").alias("node"))
+    pivots = pivots.select(name(F.col("number")).alias("block"), F.lit(ASKS).alias("asks"), F.col("pivot_root").alias("root"), F.col("pivot").alias("node"))
     return cut_lineage(join_blocks(members.unionByName(pivots).join(sets, "node"), percent), "pivot-links")
 
 
 def grid_links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among all sets of each signature, in pairs of bounded blocks."""
-    sizes = shared.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
-    rows = shared.select("key", "node", "root").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    name = lambda a, b: F.xxhash64("key", a, b)
-    stored = rows.filter("own <= other").select(name("own", "other").alias("block"), F.lit(False).alias("asks"), "root", "node")
-    asking = rows.filter("own >= other").select(name("other", "own").alias("block"), F.lit(True).alias("asks"), "root", "node")
-    return join_blocks(stored.unionByName(asking).join(sets, "node"), percent)
+    """Links among sets of different roots that share a signature, in pairs of bounded blocks.
+
+    Sets that signatures connect are a cluster. Its blocks hold sets of one root if that has many,
+    else of several; two blocks meet unless both are of one and the same root.
+    """
+    clusters = components(shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    nodes = shared.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
+    nodes = cut_lineage(nodes, "cluster-nodes")
+    sizes = nodes.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    small = sizes.filter(F.col("n") <= BLOCK).groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("long").alias("pools"))
+    dealt = nodes.join(sizes, ["cluster", "root"]).join(small, "cluster", "left")
+    pure = F.when(F.col("n") > BLOCK, F.col("root"))
+    number = F.when(pure.isNull(), F.pmod(F.xxhash64("root", F.lit(3)), F.col("pools"))).otherwise(F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")))
+    dealt = cut_lineage(dealt.select("cluster", "root", "node", pure.alias("pure"), F.xxhash64("cluster", F.coalesce(pure, F.lit(0)), pure.isNull(), number).alias("part")), "parts")
+    parts = dealt.select("cluster", "pure", "part").distinct()
+    left = parts.select("cluster", F.col("pure").alias("p1"), F.col("part").alias("a"))
+    right = parts.select("cluster", F.col("pure").alias("p2"), F.col("part").alias("b"))
+    pairs = left.join(right, (left["cluster"] == right["cluster"]) & (left["a"] <= right["b"]) & F.coalesce(left["p1"] != right["p2"], F.lit(True))).select("a", "b")
+    pairs = cut_lineage(pairs.withColumn("block", F.xxhash64("a", "b")), "part-pairs")
+    same = F.when(F.col("a") == F.col("b"), F.lit(BOTH))
+    stored = pairs.select("block", F.coalesce(same, F.lit(STORED)).alias("asks"), F.col("a").alias("part"))
+    asking = pairs.filter("a <> b").select("block", F.lit(ASKS).alias("asks"), F.col("b").alias("part"))
+    rows = stored.unionByName(asking).join(dealt.select("part", "root", "node"), "part").drop("part")
+    return join_blocks(rows.join(sets, "node"), percent)
 
 
 def unresolved(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of signatures whose sets, without the pivot they have met, are not all connected."""
-    rows = with_roots(shared.filter("node <> pivot").select("key", "node"), roots)
-    groups = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("pivot"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("total"), F.count("*").alias("members"))
+    """Rows of signatures whose sets are not all connected."""
+    rows = with_roots(shared.select("key", "node", "pivot"), roots)
+    groups = rows.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("pivot").alias("pivot"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("total"), F.count("*").alias("members")
+    )
     # Signatures of the very same sets say the same; one of them is enough.
-    keys = groups.filter("low <> high").groupBy("pivot", "total", "members").agg(F.min("key").alias("key")).select("key", "pivot")
-    rows = rows.join(keys, "key")
-    named = rows.filter("node = pivot").select("key", F.col("root").alias("pivot_root"))
-    return rows.join(named, "key")
+    keys = groups.filter("low <> high").groupBy("pivot", "total", "members").agg(F.min("key").alias("key")).select("key")
+    return rows.join(keys, "key")
+
+
+def nearest_pivots(shared: DataFrame) -> DataFrame:
+    """Every set with the least of the pivots it has, so that it meets one of them only."""
+    return shared.filter("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot")).select(
+        "node", "pivot", F.col("node").alias("root"), F.col("pivot").alias("pivot_root")
+    )
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -214,16 +235,14 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     needed = shared.select("node").distinct().join(table_.select("node", "id", "copy"), "node").groupBy("node").agg(F.min(F.struct("id", "copy")).alias("row"))
     needed = needed.select(F.col("row.copy").alias("copy"), F.col("row.id").alias("wanted"), "node")
     sets = rows.join(needed, (rows["copy"] == needed["copy"]) & rows["id"].eqNullSafe(needed["wanted"])).select("node", "text")
-    sets = cut_lineage(set_rows(sets, words).dropDuplicates(["node"]), "sets")
-    shared = shared.withColumn("root", F.col("node")).withColumn("pivot_root", F.col("pivot"))
-    links = roots = None
-    for turn in range(ROUNDS + 1):
-        found = pivot_links(shared, sets, percent) if turn < ROUNDS else cut_lineage(grid_links(shared, sets, percent), "grid-links")
-        links = found if links is None else links.unionByName(found)
+    sets = cut_lineage(set_rows(sets.dropDuplicates(["node"]), words), "sets")
+    # First every set meets one pivot, which connects most of what there is to connect.
+    links = pivot_links(nearest_pivots(shared), sets, percent)
+    roots = components(links)
+    shared = cut_lineage(unresolved(shared, roots), "unresolved")
+    if not shared.isEmpty():
+        links = links.unionByName(cut_lineage(grid_links(shared, sets, percent), "grid-links"))
         roots = components(links)
-        shared = cut_lineage(unresolved(shared, roots), "unresolved")
-        if shared.isEmpty():
-            break
     least = with_roots(table_.select("id", "node").filter("node IS NOT NULL"), roots).groupBy("root").agg(F.min("id").alias("component_id"))
     named = with_roots(table_.select("node").filter("node IS NOT NULL").distinct(), roots).join(least, "root").select("node", "component_id")
     return table_.join(named, "node", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
