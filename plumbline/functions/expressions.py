@@ -1,6 +1,6 @@
 """Candidate score expressions as Columns.
 
-An expression is arithmetic text such as ``max(0.26, rpm * -0.67)``. Python's own ``ast``
+An expression is arithmetic text such as ``min(torque, 4.5) + rpm / 3``. Python's own ``ast``
 module reads it and only the listed operations become Column calls; text is never evaluated.
 """
 

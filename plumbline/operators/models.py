@@ -33,10 +33,10 @@ from plumbline.session import cut_lineage
 
 MAX_DEPTH = 30  # the deepest tree Spark grows
 DEEP = 10  # beyond this, remembering each row's node beats walking the trees again
-# Fits at a time: a few when each one fills the cluster, more when each is a single task.
-CONCURRENT_FITS = (5, 16)
-# A fit is many short jobs; below this many rows a task costs more to start than to run.
-ROWS_PER_TASK = 50_000
+CONCURRENT_FITS = 5  # fits at a time
+# Partitions that a fit's rows are dealt into by their values. Spark's forest draws its samples per
+# partition, so the number is fixed: it doesn't follow the data, the cores or the session.
+FIT_PARTITIONS = 8
 
 
 @dataclass(frozen=True)
@@ -159,10 +159,7 @@ class Evaluation:
         self._statistics: dict[int, Row] = {
             row["scaler_fold"]: row for row in statistics.collect()
         }
-        self._tasks = max(1, self._statistics[WHOLE_SEARCH]["fit_rows"] // ROWS_PER_TASK)
-        few, many = CONCURRENT_FITS
-        room = self.spark.sparkContext.defaultParallelism // self._tasks
-        self._concurrent = min(many, max(few, room))
+        self._concurrent = CONCURRENT_FITS
 
     def __enter__(self) -> Evaluation:
         return self
@@ -190,7 +187,12 @@ class Evaluation:
             ready, used = with_interactions(ready, used)
         return VectorAssembler(
             inputCols=used, outputCol="features", handleInvalid="error"
-        ).transform(ready.select(*used, self.target, "weight").coalesce(self._tasks))
+        ).transform(self._laid_out(ready.select(*used, self.target, "weight")))
+
+    @staticmethod
+    def _laid_out(rows: DataFrame) -> DataFrame:
+        """The rows dealt by their values and sorted, so that a fit doesn't depend on how they arrived."""
+        return rows.repartition(FIT_PARTITIONS, *rows.columns).sortWithinPartitions(*rows.columns)
 
     def _scored(
         self, model: Model, fit_part: DataFrame, score_part: DataFrame, scaler_fold: int

@@ -191,9 +191,9 @@ def expression_records(trials: DataFrame) -> DataFrame:
 def pareto(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean scores and record count per complexity."""
     return records.groupBy(*keys, "complexity").agg(
-        F.avg("mean_score").alias("cv"),
-        F.avg("holdout_ap").alias("holdout"),
-        F.count("mean_score").alias("folds"),
+        F.avg(known(F.col("mean_score"))).alias("cv"),
+        F.avg(known(F.col("holdout_ap"))).alias("holdout"),
+        F.count(F.lit(1)).alias("folds"),
     )
 
 
@@ -202,10 +202,10 @@ def top_expressions(records: DataFrame, n: int = 8) -> DataFrame:
 
     Among equal lowest scores the latest record's expression is shown.
     """
-    lowest = F.min_by("expression", F.struct("mean_score", -F.col("trial_index")))
+    lowest = F.min_by("expression", F.struct(known(F.col("mean_score")), -F.col("trial_index")))
     grouped = records.groupBy("complexity").agg(
-        F.avg("mean_score").alias("cv"),
-        F.count("mean_score").alias("folds"),
+        F.avg(known(F.col("mean_score"))).alias("cv"),
+        F.count(F.lit(1)).alias("folds"),
         lowest.alias("expression"),
     )
     return grouped.orderBy(F.desc("cv"), "complexity").limit(n)
@@ -214,8 +214,8 @@ def top_expressions(records: DataFrame, n: int = 8) -> DataFrame:
 def latest_expressions(records: DataFrame, n: int = 6) -> DataFrame:
     """Complexities by mean score, each with its latest expression."""
     grouped = records.groupBy("complexity").agg(
-        F.avg("mean_score").alias("cv"),
-        F.count("mean_score").alias("folds"),
+        F.avg(known(F.col("mean_score"))).alias("cv"),
+        F.count(F.lit(1)).alias("folds"),
         F.max_by("expression", "trial_index").alias("expression"),
     )
     return grouped.orderBy(F.desc("cv"), "complexity").limit(n)
@@ -230,8 +230,8 @@ def full_coverage(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     groups = records.groupBy(*keys, "complexity").agg(
         F.count(F.lit(1)).alias("folds_present"),
-        F.avg("mean_score").alias("cv_mean"),
-        F.avg("holdout_ap").alias("holdout_ap"),
+        F.avg(known(F.col("mean_score"))).alias("cv_mean"),
+        F.avg(known(F.col("holdout_ap"))).alias("holdout_ap"),
         F.max_by("expression", "trial_index").alias("expression"),
         F.min("trial_index").alias("_first"),
     )
@@ -257,7 +257,7 @@ def full_coverage_entry(records: DataFrame):
 
 def compare_iterations(records: DataFrame) -> DataFrame:
     """One row per ``iteration``: the full-coverage choice and the highest score of any record."""
-    peak = records.groupBy("iteration").agg(F.max("mean_score").alias("peak_cv"))
+    peak = records.groupBy("iteration").agg(F.max(known(F.col("mean_score"))).alias("peak_cv"))
     chosen = full_coverage(records, ["iteration"]).select(
         "iteration",
         F.col("complexity").alias("best_complexity"),

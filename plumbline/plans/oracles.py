@@ -104,12 +104,12 @@ _WEIGHT = "fit_rows / (2.0::DOUBLE * CASE toxic WHEN 1 THEN fit_ones ELSE fit_ro
 _SCORES = {
     "constant": "0.5::DOUBLE",
     "length": "n_chars",
-    "bounded": "greatest(0.25::DOUBLE, n_words * -0.65::DOUBLE)",
-    "squeezed": "least(least(0.15::DOUBLE, n_digits) * n_digits, 0.85::DOUBLE)",
-    "additive": "(n_lines + greatest(n_chars, greatest(n_words, n_commas))) * 0.3::DOUBLE",
-    "ratio": "n_chars / nullif(n_words - -3.0::DOUBLE, 0)",
-    "any_of": "greatest((n_chars > 1.0)::INTEGER, (n_lines < -0.25)::INTEGER)::DOUBLE",
-    "all_of": "least((n_words > 0.0)::INTEGER, (n_digits < 0.5)::INTEGER)::DOUBLE - n_commas",
+    "bounded": "greatest(n_commas, 0.4::DOUBLE) - n_lines / 7.0::DOUBLE",
+    "squeezed": "least(n_chars * n_lines, 3.5::DOUBLE)",
+    "additive": "n_words + n_digits * 0.125::DOUBLE - n_commas",
+    "ratio": "n_chars / nullif(n_lines + 11.0::DOUBLE, 0)",
+    "any_of": "greatest((n_commas < 0.2)::INTEGER, (n_lines > 1.5)::INTEGER)::DOUBLE",
+    "all_of": "least((n_chars < 2.0)::INTEGER, (n_words > -1.5)::INTEGER)::DOUBLE + n_digits",
 }
 
 
@@ -342,8 +342,8 @@ ORACLES: dict[str, str] = {
         FROM ({_scaled("fit", ["n_chars"])})""",
     "interactions": "SELECT doc_id, fold, "
     + ", ".join(
-        [f"round({x}, 6) AS {x}" for x in DOCUMENT_FEATURES[:3]]
-        + [f"round({a} * {b}, 6) AS {a}_x_{b}" for a, b in combinations(DOCUMENT_FEATURES[:3], 2)]
+        [f"round({x}, 6) AS {x}" for x in DOCUMENT_FEATURES]
+        + [f"round({a} * {b}, 6) AS {a}_x_{b}" for a, b in combinations(DOCUMENT_FEATURES, 2)]
     )
     + f" FROM ({_scaled('validation', DOCUMENT_FEATURES)})",
     "expression_scores": f"""
@@ -408,17 +408,17 @@ ORACLES: dict[str, str] = {
         FROM ({_TRIALS}) WHERE log = 'agent'""",
     "pareto_by_complexity": f"""
         SELECT complexity, round(avg(mean_score), 6) AS cv, round(avg(holdout_ap), 6) AS holdout,
-               count(mean_score) AS folds
+               count(*) AS folds
         FROM ({_EXPRESSIONS}) GROUP BY complexity""",
     "full_coverage_best": f"""
         SELECT complexity, expression, round(cv_mean, 6) AS cv_mean,
                round(holdout_ap, 6) AS holdout_ap, folds_present FROM ({_FULL})""",
     "top_expressions": f"""
-        SELECT complexity, round(avg(mean_score), 6) AS cv, count(mean_score) AS folds,
+        SELECT complexity, round(avg(mean_score), 6) AS cv, count(*) AS folds,
                first(expression ORDER BY mean_score, trial_index DESC) AS expression
         FROM ({_EXPRESSIONS}) GROUP BY complexity ORDER BY avg(mean_score) DESC, complexity LIMIT 8""",
     "latest_expressions": f"""
-        SELECT complexity, round(avg(mean_score), 6) AS cv, count(mean_score) AS folds,
+        SELECT complexity, round(avg(mean_score), 6) AS cv, count(*) AS folds,
                arg_max(expression, trial_index) AS expression
         FROM ({_EXPRESSIONS}) GROUP BY complexity ORDER BY avg(mean_score) DESC, complexity LIMIT 6""",
     "iteration_compare": f"""

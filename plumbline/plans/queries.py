@@ -276,8 +276,7 @@ def fold_weights(spark, folder):
 
 
 def interactions(spark, folder):
-    three = DOCUMENT_FEATURES[:3]
-    widened, names = scaling.with_interactions(_scaled_validation(spark, folder), three)
+    widened, names = scaling.with_interactions(_scaled_validation(spark, folder), DOCUMENT_FEATURES)
     return rounded(widened.select("doc_id", "fold", *names), 6, *names)
 
 

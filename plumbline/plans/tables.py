@@ -32,12 +32,12 @@ LINE_LIMITS = Limits(
 CANDIDATES = [
     Candidate("constant", "0.5", 1),
     Candidate("length", "n_chars", 1),
-    Candidate("bounded", "max(0.25, n_words * -0.65)", 5),
-    Candidate("squeezed", "min(min(0.15, n_digits) * n_digits, 0.85)", 7),
-    Candidate("additive", "(n_lines + max(n_chars, max(n_words, n_commas))) * 0.3", 9),
-    Candidate("ratio", "n_chars / (n_words - -3.0)", 5),
-    Candidate("any_of", "logical_or(greater(n_chars, 1.0), less(n_lines, -0.25))", 7),
-    Candidate("all_of", "logical_and(greater(n_words, 0.0), less(n_digits, 0.5)) - n_commas", 9),
+    Candidate("bounded", "max(n_commas, 0.4) - n_lines / 7.0", 7),
+    Candidate("squeezed", "min(n_chars * n_lines, 3.5)", 5),
+    Candidate("additive", "n_words + n_digits * 0.125 - n_commas", 7),
+    Candidate("ratio", "n_chars / (n_lines + 11.0)", 5),
+    Candidate("any_of", "logical_or(less(n_commas, 0.2), greater(n_lines, 1.5))", 7),
+    Candidate("all_of", "logical_and(less(n_chars, 2.0), greater(n_words, -1.5)) + n_digits", 9),
 ]
 
 

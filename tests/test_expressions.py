@@ -24,9 +24,9 @@ def value(spark, text, **variables):
     "text, expected",
     [
         ("0.4375", 0.4375),
-        ("max(0.25, x * -0.65)", 1.3),
-        ("min(min(0.15, x) * x, 0.85)", 0.85),
-        ("(y + max(x, y)) * 0.5", 3.0),
+        ("y - max(x, 1.5)", 1.5),
+        ("min(x * y, 4.0)", -6.0),
+        ("y * 0.25 - x", 2.75),
         ("greater(x, y)", 0.0),
         ("greater(x, x)", 0.0),
         ("less(x, y)", 1.0),
