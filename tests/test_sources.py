@@ -71,7 +71,7 @@ def test_log_files_are_named_by_stem_and_baselines_left_out(spark, tmp_path):
         F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("at"),
     ).first()
     assert row["depth"] == 17 and row["fold_scores"][2] == 0.25 and row["at"] == "2025-02-17 06:45"
-    assert json.loads(row["payload"])["usage"] == {"requests": 1}
+    assert json.loads(row["payload"])["usage"] == {"requests": 4}
     empty = trials.where("log = 'agent'").select(F.to_json("payload").alias("p")).first()
     assert empty["p"] == "{}"
 
