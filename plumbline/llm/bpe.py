@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import slices, table, texts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-SLICE_BYTES = 16 << 20
-KEPT_UNITS = 600_000
+SLICE_BYTES = 8 << 20
+KEPT_UNITS = 300_000
 INSIDE_SPACES = re.compile(r"\s (?:\s|\Z)")
 NONE = -1
 END_MARKS = (".", ",", "!", "?", ";", ":")
