@@ -59,6 +59,9 @@ class MergeReplay:
         made = {ranks[w[:i]] << 32 | ranks[w[i:]]: rank for w, rank in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
         self.pairs = np.array(sorted(made) + [np.iinfo(np.int64).max], np.int64)
         self.makes = np.array([made[k] for k in self.pairs[:-1].tolist()] + [NONE], np.int64)
+        # Tokens that with a neighbour may make one of a lower rank; all others merge wherever they apply at once.
+        left, right = self.pairs[:-1] >> 32, self.pairs[:-1] & 0xFFFFFFFF
+        self.steps_back = set(left[self.makes[:-1] < left].tolist()) | set(right[self.makes[:-1] < right].tolist())
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The tokens that neighbours make, NONE where they make none."""
@@ -109,11 +112,19 @@ class MergeReplay:
             places = places[makes[places] == rank]
             if len(places) > 1:
                 places = np.unique(places)
-                # In each word the leftmost goes first; what that makes may come before the others.
                 leads = np.empty(len(places), bool)
                 leads[0] = True
-                owner = word[places]
-                np.not_equal(owner[1:], owner[:-1], out=leads[1:])
+                if rank not in self.steps_back:
+                    # Where merges overlap in a row, every second one from the left applies.
+                    np.not_equal(after[places[:-1]], places[1:], out=leads[1:])
+                    if not leads.all():
+                        at = np.arange(len(places))
+                        places = places[(at - np.maximum.accumulate(np.where(leads, at, 0))) % 2 == 0]
+                    leads = np.ones(len(places), bool)
+                else:
+                    # In each word the leftmost goes first; what that makes may come before the others.
+                    owner = word[places]
+                    np.not_equal(owner[1:], owner[:-1], out=leads[1:])
                 if not leads.all():
                     index[rank] = [places[~leads]]
                     heapq.heappush(heap, rank)
