@@ -59,7 +59,7 @@ class MergeReplay:
         made = {ranks[w[:i]] << 32 | ranks[w[i:]]: rank for w, rank in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
         self.pairs = np.array(sorted(made) + [np.iinfo(np.int64).max], np.int64)
         self.makes = np.array([made[k] for k in self.pairs[:-1].tolist()] + [NONE], np.int64)
-        # Tokens that with a neighbour may make one of a lower rank; all others merge wherever they apply at once.
+        # Tokens that with a neighbour may make one of a lower rank.
         left, right = self.pairs[:-1] >> 32, self.pairs[:-1] & 0xFFFFFFFF
         self.steps_back = set(left[self.makes[:-1] < left].tolist()) | set(right[self.makes[:-1] < right].tolist())
 
@@ -69,6 +69,12 @@ class MergeReplay:
         at = np.searchsorted(self.pairs, key)
         return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.makes[at], NONE)
 
+    def lower_next(self, rank: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether a token makes one of a lower rank with its neighbours or with its like."""
+        same = np.full(len(left), rank)
+        made = np.stack([self.merged(left, same), self.merged(same, right), self.merged(same, same)])
+        return ((made >= 0) & (made < rank)).any(axis=0)
+
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The packed tokens of each word."""
         whole = [self.ranks.get(w) for w in words]
@@ -111,24 +117,19 @@ class MergeReplay:
             places = np.concatenate(listed) if len(listed) > 1 else listed[0]
             places = places[makes[places] == rank]
             if len(places) > 1:
-                places = np.unique(places)
-                leads = np.empty(len(places), bool)
-                leads[0] = True
-                if rank not in self.steps_back:
-                    # Where merges overlap in a row, every second one from the left applies.
-                    np.not_equal(after[places[:-1]], places[1:], out=leads[1:])
-                    if not leads.all():
-                        at = np.arange(len(places))
-                        places = places[(at - np.maximum.accumulate(np.where(leads, at, 0))) % 2 == 0]
-                    leads = np.ones(len(places), bool)
-                else:
-                    # In each word the leftmost goes first; what that makes may come before the others.
-                    owner = word[places]
-                    np.not_equal(owner[1:], owner[:-1], out=leads[1:])
-                if not leads.all():
-                    index[rank] = [places[~leads]]
+                listed = np.unique(places)
+                # Where merges overlap in a row, every second one from the left applies.
+                at = np.arange(len(listed))
+                fresh = np.append(True, after[listed[:-1]] != listed[1:])
+                places = listed[(at - np.maximum.accumulate(np.where(fresh, at, 0))) % 2 == 0]
+                if rank in self.steps_back and (lower := self.lower_next(rank, token[before[places]], token[after[after[places]]])).any():
+                    # In such words only the leftmost applies now: what it makes comes before the others.
+                    stuck = np.unique(word[places[lower]])
+                    waiting = listed[np.isin(word[listed], stuck)]
+                    leads = np.unique(word[waiting], return_index=True)[1]
+                    places = np.sort(np.append(places[~np.isin(word[places], stuck)], waiting[leads]))
+                    index[rank] = [np.delete(waiting, leads)]
                     heapq.heappush(heap, rank)
-                    places = places[leads]
             if not len(places):
                 continue
             gone = after[places]
