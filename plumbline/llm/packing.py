@@ -20,6 +20,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -44,15 +45,32 @@ DEPTH = 4
 #: The vocabulary of byte_bpe_50k.json as ranks; both give the same ids, see the tests.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PARTS_PER_BLOCK = 200_000
+#: The library's pattern fails on about a million white-space characters in a row.
+LONG_SPACE = 60_000
+SPACE_RUN = re.compile(r"\s{%d}" % LONG_SPACE)
 
 
-def token_encoder(path: str) -> bpe.Encoder:
-    """This worker's encoder, which asks the library for words it hasn't seen."""
-    if ("library", path) not in bpe._ENCODERS:
-        library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
-        pack = lambda words: [np.array(library.encode_ordinary(w.decode()), "<u4").tobytes() for w in words]
-        bpe._ENCODERS["library", path] = bpe.Encoder(pack)
-    return bpe._ENCODERS["library", path]
+class TokenEncoder:
+    """Texts to packed ids by the library; the merge replay takes texts on which its pattern runs out of stack."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if len(text) >= LONG_SPACE and SPACE_RUN.search(text):
+            return bpe.replay_encoder(self.path).encode([text])[0]
+        return np.array(self.library.encode_ordinary(text), "<u4").tobytes()
+
+
+_ENCODERS: dict[str, TokenEncoder] = {}
+
+
+def token_encoder(path: str) -> TokenEncoder:
+    """This worker's encoder for a rank file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TokenEncoder(path)
+    return _ENCODERS[path]
 
 
 def cuts(n: int, window: int, grain: int) -> list[tuple[int, int]]:
@@ -74,8 +92,8 @@ def tokenized_parts(docs: DataFrame, key: str, text: str, ranks: str, window: in
         encoder, end = token_encoder(ranks), np.array([END], "<u4").tobytes()
         for batch in slices(batches, "text", bpe.SLICE_BYTES):
             owner, start, length, crc, total = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(texts(batch))):
-                ids += end
+            for i, value in enumerate(texts(batch)):
+                ids = encoder.encode(value) + end
                 for at, n in cuts(len(ids) // 4, window, grain):
                     owner.append(i)
                     start.append(at)

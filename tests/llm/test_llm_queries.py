@@ -306,3 +306,16 @@ def test_ids_digest_is_little_endian(hostile):
     row = bpe.encode(hostile).filter("doc_id = 1").first()
     assert hashlib.sha256(row["ids"]).hexdigest() and len(row["ids"]) == 4 * row["n_tokens"]
     assert base64.b64encode(row["ids"][3:4]) == b"AA=="
+
+
+@pytest.mark.parametrize("path", [packing.RANKS, bpe.RANKS])
+def test_long_runs_are_encoded_as_by_the_library(path):
+    library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    runs = [unit * n + end for unit in ("a", "=", " ", "\n", "ha", "é", "ab") for n in (1, 2, 3, 7, 64, 1001, 50_000) for end in ("", "x")]
+    for text, ids in zip(runs, bpe.replay_encoder(path).encode(runs), strict=True):
+        assert ids == np.array(library.encode_ordinary(text), "<u4").tobytes(), (text[:2], len(text))
+
+
+def test_packing_takes_white_space_beyond_the_library():
+    text = "x" + " " * 1_200_000 + "y"
+    assert packing.token_encoder(packing.RANKS).encode(text) == bpe.replay_encoder(packing.RANKS).encode([text])[0]
