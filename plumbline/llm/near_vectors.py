@@ -5,7 +5,7 @@ into shards of about ``SHARD`` nodes; every shard gets a graph, and the label's
 of the same size, query every shard. A beam is doubled for a query while a third of what it holds
 lies above the threshold, and for all queries of a block until an audit passes: for a hashed part
 of the block brute force gives the true links and nearest vectors, and recall of both must reach its
-target. Cosines are in double precision. A block returns counts and, for linked nodes,
+target. A block that fails at the widest beam is compared by brute force. Cosines are in double precision. A block returns counts and, for linked nodes,
 their component inside the block, never pairs, so a group of near copies costs rows by its size.
 
 Defined results: vectors that are missing, zero, or hold missing or non-finite numbers, and rows
@@ -70,8 +70,22 @@ def linked(graph: Graph, queries: np.ndarray, own: np.ndarray, beam: int) -> tup
     return np.concatenate([np.empty(0, int), *left]), np.concatenate([np.empty(0, int), *right]), nearest
 
 
+def compared(x: np.ndarray, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) places of all links, from the cosines of every query with every vector."""
+    left, right = [np.empty(0, int)], [np.empty(0, int)]
+    for i in range(0, len(queries), BATCH):
+        row, at = np.nonzero(queries[i : i + BATCH] @ x.T >= THRESHOLD)
+        other = at != own[i + row]
+        left.append(i + row[other])
+        right.append(at[other])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def audited(graph: Graph, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of all queries, with the first beam whose recall on the audited queries is enough."""
+    """Links of all queries, with the first beam whose recall on the audited queries is enough.
+
+    A beam as wide as the shard reaches only what the graph connects; if it fails, all pairs are compared.
+    """
     size, beam = len(graph.x), BEAM
     picked = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
     truth = queries[picked] @ graph.x.T
@@ -80,8 +94,6 @@ def audited(graph: Graph, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndar
     true_near = np.argsort(-truth, 1, kind="stable")[:, : min(NEAREST, size)]
     while True:
         left, right, nearest = linked(graph, queries, own, beam)
-        if beam >= size:
-            return left, right
         found = np.zeros(true_links.shape, bool)
         place = np.full(len(queries), -1)
         place[picked] = np.arange(len(picked))
@@ -90,6 +102,8 @@ def audited(graph: Graph, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndar
         near = (true_near[:, :, None] == nearest[picked][:, None, :]).any(2).mean()
         if (found & true_links).sum() >= LINK_RECALL * true_links.sum() and near >= NEAREST_RECALL:
             return left, right
+        if beam >= size:
+            return compared(graph.x, queries, own)
         beam *= 2
 
 

@@ -228,6 +228,23 @@ def test_near_vectors_equal_brute_force(spark, empty):
     assert near_vectors.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_unconnected_groups_of_near_vectors_are_linked():
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(3, 24)), 200, 0) + rng.normal(size=(600, 24)) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph, own = near_vectors.Graph(x, near_vectors.heights(np.arange(600))), np.arange(600)
+    truth = x @ x.T >= near_vectors.THRESHOLD
+    truth[own, own] = False
+    for cut in (False, True):
+        if cut:  # no link leaves a group
+            for links in graph.links:
+                links[(links >= 0) & (links // 200 != own[:, None] // 200)] = -1
+        left, right = near_vectors.audited(graph, x, own)
+        found = np.zeros(truth.shape, int)
+        np.add.at(found, (left, right), 1)
+        assert (found == truth).all()
+
+
 def test_languages(spark, hostile, empty):
     words = {"en": "the of and that with this from", "de": "der und nicht eine auf sich", "fr": "les des une dans pour avec", "es": "los una por las como para"}
     rng = random.Random(1)
