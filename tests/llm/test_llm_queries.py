@@ -319,6 +319,22 @@ def test_pipeline_keeps_what_each_stage_should(spark, folder, empty):
     assert none.count() == 0
 
 
+def test_pipeline_finds_near_copies_by_brute_force(spark, folder):
+    """Pairs at Jaccard 0.78, 0.80, 0.85 and 0.92 of 5-word shingles, (n - k) / (n + k)."""
+    texts = {}
+    for i, (n, k) in enumerate([(89, 11), (90, 10), (74, 6), (96, 4)]):
+        words = [f"w{i}x{j}" for j in range(n + 4)]
+        texts[10 * i] = " ".join(words)
+        texts[10 * i + 1] = " ".join([*words[: n + 4 - k], *(f"z{i}x{j}" for j in range(k))])
+    texts |= {90: "a b c", 91: "a b c", 92: "a b d"}
+    sets = {d: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for d, w in ((d, t.split()) for d, t in texts.items())}
+    shared = [len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) for d in (0, 10, 20, 30)]
+    assert shared == [0.78, 0.8, 0.85, 0.92]
+    docs = spark.createDataFrame([(d, t, "en", None, len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, folder).collect()}
+    assert kept == set(linked(sets, 80).values()) == {0, 1, 10, 20, 30, 90, 92}
+
+
 def test_ids_digest_is_little_endian(hostile):
     row = bpe.encode(hostile).filter("doc_id = 1").first()
     assert hashlib.sha256(row["ids"]).hexdigest() and len(row["ids"]) == 4 * row["n_tokens"]
