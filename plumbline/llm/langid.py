@@ -41,7 +41,7 @@ ORDERS = (1, 2, 3)
 BITS = 12
 SLICE_BYTES = 4 << 20
 TEXTS_AT_ONCE = 512
-#: Training documents of each language, those with the smallest key hash, and of all together.
+#: Training documents of each language, distinct keys with the smallest hash, and of all together.
 ROWS_PER_LANGUAGE, ROWS = 300, 6_000
 OPENING = 60
 PENALTY, STEPS, SLOPE = 1e-3, 300, 3.0
@@ -118,10 +118,10 @@ def train(docs: DataFrame, families: dict[str, list[str]] = FAMILIES) -> Model:
     spark = docs.sparkSession
     known = docs.filter("key IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    # Ranks by hash: only each task's smallest hashes of a language are shuffled.
+    # Distinct ids, ranked by hash: only each task's smallest hashes of a language go to the ranking.
     place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "key"))
     each = min(ROWS_PER_LANGUAGE, max(2, ROWS // max(1, len(languages))))
-    keys = known.select("key", "lang", F.xxhash64("key").alias("order")).withColumn("place", place).filter(F.col("place") <= each)
+    keys = known.select("key", "lang").distinct().withColumn("order", F.xxhash64("key")).withColumn("place", place).filter(F.col("place") <= each)
     chosen = spark.createDataFrame(keys.select("key", "lang").toArrow()) if languages else keys.select("key", "lang")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +135,9 @@ def train(docs: DataFrame, families: dict[str, list[str]] = FAMILIES) -> Model:
                 label = lang.slice(i, len(part))
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([label, label]), lists], ["lang", "x"])
 
-    # The key decides, not the language that the row of this key has: repeated keys all take part.
-    rows = docs.select("key", "text").join(F.broadcast(chosen), "key").select("text", "lang").mapInArrow(features, "lang string, x array<float>").toArrow()
+    # One row stands for a key in its language, however often it is repeated; this bounds what is collected.
+    rows = known.join(F.broadcast(chosen), ["key", "lang"]).groupBy("key", "lang").agg(F.min("text").alias("text"))
+    rows = rows.select("text", "lang").mapInArrow(features, "lang string, x array<float>").toArrow()
     width = 1 << BITS
     label = np.array(rows.column("lang").to_pylist(), object)
     if not len(label):

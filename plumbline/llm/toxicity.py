@@ -7,7 +7,7 @@ up to a fixed number. Logistic regression on the scaled features of a bounded sa
 labelled rows then gives the weights. Whole texts are scored; the model has one number a bucket.
 
 Defined results: a missing text is empty and scores like one. Label rows without a label or key
-are not used; a key that is labelled more than once counts once a label row. Without a row of
+are not used; a key that is labelled more than once counts once a label row, and once a label in the sample. Without a row of
 either label every score is the share of toxic rows, or 0 without any. Other columns are ignored.
 """
 
@@ -27,7 +27,7 @@ from plumbline.llm.ngrams import Grams
 ORDERS = (3, 4, 5)
 BITS = 19
 SLICE_BYTES = 4 << 20
-#: Labelled rows of each label that the regression is fitted on, those with the smallest key hash.
+#: Documents of each label that the regression is fitted on, distinct keys with the smallest hash.
 ROWS_PER_LABEL = 5_000
 KEPT_BUCKETS = 20_000
 SMOOTHING = 1.0
@@ -124,9 +124,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ratio = np.log((toxic + SMOOTHING) / (toxic + SMOOTHING).sum()) - np.log((clean + SMOOTHING) / (clean + SMOOTHING).sum())
     wanted = np.zeros((1 << BITS) + 1, bool)
     wanted[bucket] = True
-    # The bounded sample: the smallest hashes of each label.
+    # The bounded sample: the smallest hashes of each label, and one row for a key however often it is repeated.
     near = F.xxhash64("key")
-    picks = [labels.filter(F.col("label") == y).orderBy(near, "key").limit(ROWS_PER_LABEL) for y in (0, 1)]
+    picks = [labels.filter(F.col("label") == y).select("key", "label").distinct().orderBy(near, "key").limit(ROWS_PER_LABEL) for y in (0, 1)]
     chosen = spark.createDataFrame(picks[0].unionByName(picks[1]).select("key", "label").toArrow())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             lists = np.split(found, np.searchsorted(owner, np.arange(1, batch.num_rows)))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.int64()))], ["label", "buckets"])
 
-    rows = docs.join(F.broadcast(chosen), "key").select("text", "label").mapInArrow(features, "label long, buckets array<long>").toArrow()
+    rows = docs.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+    rows = rows.select("text", "label").mapInArrow(features, "label long, buckets array<long>").toArrow()
     label = np.asarray(rows.column("label"), float)
     lists = rows.column("buckets").combine_chunks()
     row = np.repeat(np.arange(len(label)), np.diff(np.asarray(lists.offsets)))

@@ -258,6 +258,21 @@ def test_languages(spark, hostile, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_repeated_ids_fill_no_sample(spark, monkeypatch):
+    fitted = {}
+    machine, logistic = langid.machine, toxicity.logistic
+    monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 20)
+    monkeypatch.setattr(langid, "machine", lambda x, y: (fitted.update(lang=(len(x), len(np.unique(x, axis=0)))), machine(x, y))[1])
+    monkeypatch.setattr(toxicity, "ROWS_PER_LABEL", 20)
+    monkeypatch.setattr(toxicity, "logistic", lambda row, value, column, label, width: (fitted.update(label=label), logistic(row, value, column, label, width))[1])
+    body = [(k, f"{'der hund' if k % 2 else 'the idiot'} {'abcdefghijklmnopqrstuvwxyz'[k // 2]} " * 9, "de" if k % 2 else "en") for k in range(50) for _ in range(30)]
+    docs = spark.createDataFrame(body, "key long, text string, lang string")
+    langid.train(docs)
+    assert fitted["lang"] == (80, 80)  # 20 documents of each language, whole and their openings
+    toxicity.train(docs.select("key", "text"), spark.createDataFrame([(k, k % 2) for k in range(50) for _ in range(3)], "key long, label long"))
+    assert sorted(fitted["label"]) == [0] * 20 + [1] * 20
+
+
 def test_replay_equals_the_library(hostile):
     ranks = bpe.read_ranks(bpe.RANKS)
     library = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
