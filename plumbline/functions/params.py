@@ -43,9 +43,40 @@ def typed_params(params: Column) -> Column:
 
 
 def params_text(params: Column, without: tuple[str, ...] = ()) -> Column:
-    """Compact JSON of the known fields in their usual order, absent ones left out."""
-    kept = [n for n in PARAM_TYPES if n not in without]
-    return F.to_json(F.struct(*[param(params, name).alias(name) for name in kept]))
+    """Compact JSON of all fields: the known ones in their usual order, then the others by name.
+
+    Values are printed as they are, whatever their type; fractions as doubles. A null field and
+    one that isn't listed stay. Parameters that are no object are printed as they are.
+    """
+    fields = F.filter(
+        F.map_entries(F.try_variant_get(params, "$", "map<string,variant>")),
+        lambda e: ~e["key"].isin(*without) if without else F.lit(True),
+    )
+    usual = F.array(*[F.lit(n) for n in PARAM_TYPES])
+
+    def placed(e: Column) -> Column:
+        place = F.array_position(usual, e["key"])
+        return F.struct(
+            F.when(place > 0, place).otherwise(len(PARAM_TYPES) + 1).alias("place"),
+            e["key"].alias("key"),
+            F.concat(_json_text(e["key"]), F.lit(":"), _value_text(e["value"])).alias("text"),
+        )
+
+    texts = F.transform(F.array_sort(F.transform(fields, placed)), lambda e: e["text"])
+    whole = F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
+    return F.coalesce(whole, F.to_json(params))
+
+
+def _json_text(text: Column) -> Column:
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _value_text(value: Column) -> Column:
+    """JSON of a variant; ``1.0`` is kept as a decimal without places, hence the way over double."""
+    number = F.try_variant_get(value, "$", "double")
+    fraction = F.schema_of_variant(value).startswith("DECIMAL") & (F.abs(number) < 1e15)
+    return F.when(fraction, number.cast("string")).otherwise(F.coalesce(F.to_json(value), F.lit("null")))
 
 
 def usage(payload: Column, name: str) -> Column:

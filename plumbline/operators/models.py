@@ -1,8 +1,10 @@
-"""Spark ML classifiers scored on fixed folds and a holdout.
+"""Classifiers scored on fixed folds and a holdout.
 
-Input tables carry the feature columns, a 0/1 target, ``is_holdout`` and ``fold``. Fits of
-different folds and configurations are independent Spark jobs; a few run at a time, each of
-them spread over the whole cluster.
+Input tables carry the feature columns, a 0/1 target, ``is_holdout`` and ``fold``. Logistic models
+of all folds and configurations are fitted together, one pass over the table for each Newton step.
+Other classifiers are Spark ML estimators whose fits are independent jobs; a few run at a time,
+each of them spread over the whole cluster. The scored rows of all fits are written once and ranked
+by one keyed job.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.params import CLASS_WEIGHTS, FOREST, LOGISTIC
+from plumbline.operators.logistic import Fit, JointFits
 from plumbline.operators.ranking import average_precision
 from plumbline.operators.scaling import (
     WHOLE_SEARCH,
@@ -29,14 +33,19 @@ from plumbline.operators.scaling import (
     standardised,
     with_interactions,
 )
-from plumbline.session import cut_lineage
+from plumbline.operators.splits import stratified_sample
+from plumbline.session import remove_tables, written_table
 
 MAX_DEPTH = 30  # the deepest tree Spark grows
 DEEP = 10  # beyond this, remembering each row's node beats walking the trees again
 CONCURRENT_FITS = 5  # fits at a time
-# Partitions that a fit's rows are dealt into by their values. Spark's forest draws its samples per
-# partition, so the number is fixed: it doesn't follow the data, the cores or the session.
-FIT_PARTITIONS = 8
+# Spark's forest draws its samples per partition, so the number of partitions follows the rows and
+# nothing else: not the cores, not the session, not how the rows arrive.
+ROWS_PER_PARTITION = 100_000
+LEAST_PARTITIONS = 8
+# Rows that one Spark ML fit takes; a larger fit part is sampled evenly by class. The trees of a
+# forest grow with their rows and are gathered on the driver, so they need a bound.
+MAX_FIT_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -53,6 +62,13 @@ class Model:
     interactions: bool = False
     balanced: bool = False
     params: Mapping[str, Any] = field(default_factory=dict)
+    #: Inverse penalty and whether it is L1; models that have it are fitted together.
+    penalty: tuple[float, bool] | None = None
+
+    def joint(self, fold: int) -> Fit:
+        """This logistic model as one of many joint fits."""
+        c, l1 = self.penalty
+        return Fit(fold, c, l1, self.interactions, self.balanced)
 
 
 def logistic_model(params: Mapping[str, Any], name: str = LOGISTIC) -> Model:
@@ -75,11 +91,19 @@ def logistic_model(params: Mapping[str, Any], name: str = LOGISTIC) -> Model:
         build,
         scaled=True,
         interactions=bool(params["use_interactions"]),
-        balanced=params["class_weight"] != CLASS_WEIGHTS[0],
+        balanced=_balanced(params),
         params=params,
+        penalty=(params["C"], params["penalty"] == "l1"),
     )
 
 
+def _balanced(params: Mapping[str, Any]) -> bool:
+    """Whether classes are weighted; anything but the known modes is an error, a missing one too."""
+    if params["class_weight"] not in CLASS_WEIGHTS:
+        raise ValueError(f"unknown class weight {params['class_weight']!r}")
+    return params["class_weight"] != CLASS_WEIGHTS[0]
+
+
 def forest_model(params: Mapping[str, Any], seed: int = 0, name: str = FOREST) -> Model:
     """Forest branch. Spark weighs rows before sampling, so both balanced modes are one."""
 
@@ -94,9 +118,7 @@ def forest_model(params: Mapping[str, Any], seed: int = 0, name: str = FOREST) -
             cacheNodeIds=params["max_depth"] > DEEP,
         )
 
-    return Model(
-        name, build, balanced=params["class_weight"] != CLASS_WEIGHTS[0], params=params
-    )
+    return Model(name, build, balanced=_balanced(params), params=params)
 
 
 def build_model(params: Mapping[str, Any], seed: int = 0, name: str | None = None) -> Model:
@@ -138,7 +160,12 @@ class Evaluation:
     spill to disk: a lost part is read again rather than computed again, and the many short
     jobs of a fit do not carry the plan of the split. The fit statistics of all folds,
     ``folds + 1`` rows, are the only data on the driver. Use as a context manager to release
-    the memory.
+    the memory and delete what was written.
+
+    Args:
+        row_id: Column that tells rows apart; needed only to sample fit parts beyond the bound.
+        max_fit_rows: Rows that one Spark ML fit takes at most; joint fits take all.
+        fit_partitions: Partitions of such a fit, by default one for ``ROWS_PER_PARTITION`` rows.
     """
 
     def __init__(
@@ -148,24 +175,46 @@ class Evaluation:
         target: str,
         folds: int = 5,
         keep: Sequence[str] = (),
+        row_id: str | None = None,
+        max_fit_rows: int = MAX_FIT_ROWS,
+        fit_partitions: int | None = None,
     ) -> None:
         self.features, self.target, self.folds = list(features), target, folds
+        self.row_id, self.max_fit_rows, self.fit_partitions = row_id, max_fit_rows, fit_partitions
         self.spark = df.sparkSession
+        self._written: list[str] = []
         needed = df.select(
-            *self.features, F.col(target).cast("int").alias(target), "is_holdout", "fold", *keep
+            *self.features,
+            F.col(target).cast("int").alias(target),
+            "is_holdout",
+            "fold",
+            *keep,
+            *[c for c in [row_id] if c and c not in keep],
         )
-        self.table = cut_lineage(needed).persist(StorageLevel.MEMORY_AND_DISK)
+        self.table = self._keep(needed, "evaluated").persist(StorageLevel.MEMORY_AND_DISK)
         statistics = fit_statistics(self.table, self.features, target, folds)
         self._statistics: dict[int, Row] = {
             row["scaler_fold"]: row for row in statistics.collect()
         }
+        self.joint = JointFits(self.table, self.features, target, self._statistics)
         self._concurrent = CONCURRENT_FITS
 
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = written_table(df, name)
+        self._written.append(path)
+        return table
+
     def __enter__(self) -> Evaluation:
         return self
 
     def __exit__(self, *_) -> None:
         self.table.unpersist()
+        remove_tables(self.spark, self._written)
+
+    @property
+    def statistics(self) -> Mapping[int, Row]:
+        """Fit statistics by ``scaler_fold``."""
+        return self._statistics
 
     def _prepared(self, model: Model, rows: DataFrame, scaler_fold: int) -> DataFrame:
         """Features as a vector, scaled and weighted by the statistics of one fit part."""
@@ -187,17 +236,28 @@ class Evaluation:
             ready, used = with_interactions(ready, used)
         return VectorAssembler(
             inputCols=used, outputCol="features", handleInvalid="error"
-        ).transform(self._laid_out(ready.select(*used, self.target, "weight")))
+        ).transform(ready.select(*used, self.target, "weight"))
 
-    @staticmethod
-    def _laid_out(rows: DataFrame) -> DataFrame:
+    def _laid_out(self, rows: DataFrame, count: int) -> DataFrame:
         """The rows dealt by their values and sorted, so that a fit doesn't depend on how they arrived."""
-        return rows.repartition(FIT_PARTITIONS, *rows.columns).sortWithinPartitions(*rows.columns)
-
-    def _scored(
-        self, model: Model, fit_part: DataFrame, score_part: DataFrame, scaler_fold: int
-    ) -> DataFrame:
-        estimator = model.estimator(self._statistics[scaler_fold]["fit_rows"])
+        parts = self.fit_partitions or max(LEAST_PARTITIONS, -(-count // ROWS_PER_PARTITION))
+        names = [*self.features, self.target]
+        return rows.repartition(parts, *names).sortWithinPartitions(*names)
+
+    def _fit_part(self, rows: DataFrame, scaler_fold: int) -> DataFrame:
+        """The rows of a fit, sampled evenly by class beyond the bound."""
+        count = self._statistics[scaler_fold]["fit_rows"]
+        if count > self.max_fit_rows:
+            if self.row_id is None:
+                raise ValueError(f"{count} rows to fit, more than {self.max_fit_rows}: name a row_id to sample by")
+            rows = stratified_sample(rows, self.row_id, self.target, self.max_fit_rows)
+            count = self.max_fit_rows
+        return self._laid_out(rows, count)
+
+    def _fitted(self, model: Model, scaler_fold: int):
+        """A Spark ML model fitted on a fold's fit part, or on the whole search part."""
+        rows = self._statistics[scaler_fold]["fit_rows"]
+        estimator = model.estimator(min(rows, self.max_fit_rows))
         estimator = estimator.copy(
             {
                 estimator.featuresCol: "features",
@@ -205,57 +265,88 @@ class Evaluation:
                 estimator.weightCol: "weight",
             }
         )
-        fitted = estimator.fit(self._prepared(model, fit_part, scaler_fold))
+        search = self.table.where(~F.col("is_holdout"))
+        if scaler_fold != WHOLE_SEARCH:
+            search = search.where(F.col("fold") != scaler_fold)
+        return estimator.fit(self._prepared(model, self._fit_part(search, scaler_fold), scaler_fold))
+
+    def _scored(self, model: Model, fitted, scaler_fold: int) -> DataFrame:
+        """``_y, score`` on the fold's own rows, or on the holdout."""
+        held = F.col("is_holdout")
+        part = held if scaler_fold == WHOLE_SEARCH else ~held & (F.col("fold") == scaler_fold)
+        prepared = self._prepared(model, self.table.where(part), scaler_fold)
         probability = vector_to_array("probability")[1].alias("score")
-        return fitted.transform(self._prepared(model, score_part, scaler_fold)).select(
-            F.col(self.target).alias("_y"), probability
-        )
+        return fitted.transform(prepared).select(F.col(self.target).alias("_y"), probability)
 
     def fold_scores(self, model: Model, fold: int) -> DataFrame:
-        """Scores of the validation rows of a fold by a model fitted on the other folds."""
-        fold_is = F.col("fold") == fold
-        search = self.table.where(~F.col("is_holdout"))
-        return self._scored(model, search.where(~fold_is), search.where(fold_is), fold)
+        """Scores of the validation rows of a fold by a Spark ML model fitted on the other folds."""
+        return self._scored(model, self._fitted(model, fold), fold)
 
     def holdout_scores(self, model: Model) -> DataFrame:
-        """Scores of the holdout by a model fitted on the whole search part."""
-        held = F.col("is_holdout")
-        return self._scored(
-            model, self.table.where(~held), self.table.where(held), WHOLE_SEARCH
-        )
+        """Scores of the holdout by a Spark ML model fitted on the whole search part."""
+        return self._scored(model, self._fitted(model, WHOLE_SEARCH), WHOLE_SEARCH)
+
+    def _ranked(self, models: Sequence[Model], parts: Sequence[int]) -> list[tuple[int, int, float, float, float]]:
+        """Average precision of every model on every part: ``model, part, ap, start, end``.
+
+        Joint fits first, all of them pass by pass, then the others a few at a time. Scored rows
+        are written once and ranked together. A fit's time runs from its start to its end; that
+        of a joint fit from the first pass to the last, as it takes part in all of them.
+        """
+        jobs = [(i, k) for i in range(len(models)) for k in parts]
+        together = [(i, k) for i, k in jobs if models[i].penalty is not None]
+        alone = [(i, k) for i, k in jobs if models[i].penalty is None]
+        scored, times = [], {}
+        if together:
+            start = time.perf_counter()
+            fits = [models[i].joint(k) for i, k in together]
+            found = self.joint.fitted(fits)
+            held = parts == [WHOLE_SEARCH]
+            scored.append(self.joint.scores(fits, found, held).withColumnRenamed("fit", "job"))
+            times |= {job: (start, time.perf_counter()) for job in together}
+        tasks = [lambda i=i, k=k: self._fitted(models[i], k) for i, k in alone]
+        results = run_all(self.spark, tasks, self._concurrent)
+        for n, ((i, k), (fitted, start, end)) in enumerate(zip(alone, results), len(together)):
+            scored.append(self._scored(models[i], fitted, k).select(F.lit(n).alias("job"), "_y", "score"))
+            times[i, k] = start, end
+        if not scored:
+            return []
+        every = self._keep(reduce(DataFrame.union, scored), "scored")
+        ranked = average_precision(every, "_y", "score", ["job"]).select("job", "ap").collect()
+        ap = {r["job"]: r["ap"] for r in ranked}
+        return [(i, k, ap.get(n), *times[i, k]) for n, (i, k) in enumerate([*together, *alone])]
 
     def holdout_ap(self, models: Sequence[Model]) -> DataFrame:
         """Holdout average precision per model: ``arm, holdout_ap``."""
-        tasks = [lambda m=m: _ap(self.holdout_scores(m)) for m in models]
-        results = run_all(self.spark, tasks, self._concurrent)
+        ranked = sorted(self._ranked(models, [WHOLE_SEARCH]))
         return self.spark.createDataFrame(
-            [(m.name, ap) for m, (ap, _, _) in zip(models, results)],
-            "arm string, holdout_ap double",
+            [(models[i].name, ap) for i, _, ap, _, _ in ranked], "arm string, holdout_ap double"
         )
 
     def cross_validate(self, models: Sequence[Model]) -> DataFrame:
         """One trial record per model over the shared folds.
 
-        ``wall_clock_s`` is the time from the start of a model's first fit to its last score.
+        ``wall_clock_s`` is the time from the start of a model's first fit to the end of its last,
+        ``cumulative_s`` the time from the start of this call to that end.
         """
-        jobs = [(i, k) for i in range(len(models)) for k in range(self.folds)]
-        tasks = [lambda i=i, k=k: _ap(self.fold_scores(models[i], k)) for i, k in jobs]
-        results = run_all(self.spark, tasks, self._concurrent)
-        by_fold, first, last = [], {}, {}
-        for (i, k), (ap, start, end) in zip(jobs, results):
-            by_fold.append((i, k, ap))
-            first[i], last[i] = min(start, first.get(i, start)), max(end, last.get(i, end))
-        clock = [(i, m.name, last[i] - first[i]) for i, m in enumerate(models)]
-        spark = self.spark
-        scores = spark.createDataFrame(by_fold, "trial_index long, fold int, ap double")
-        return as_records(scores, ["trial_index"]).join(
-            spark.createDataFrame(clock, "trial_index long, arm string, wall_clock_s double"),
-            "trial_index",
-        )
-
-
-def _ap(scored: DataFrame) -> float | None:
-    return average_precision(scored, "_y", "score").first()["ap"]
+        origin = time.perf_counter()
+        ranked = sorted(self._ranked(models, list(range(self.folds))))
+        rows = []
+        for i, model in enumerate(models):
+            own = [r for r in ranked if r[0] == i]
+            start, end = min(r[3] for r in own), max(r[4] for r in own)
+            scores = [r[2] for r in own]
+            known = [s for s in scores if s is not None]
+            mean = sum(known) / len(known) if known else None
+            deviation = (sum((s - mean) ** 2 for s in known) / len(known)) ** 0.5 if known else None
+            rows.append((i, model.name, scores, mean, deviation, end - start, end - origin))
+        return self.spark.createDataFrame(rows, CROSS_VALIDATED)
+
+
+CROSS_VALIDATED = (
+    "trial_index long, arm string, fold_scores array<double>, mean_score double, "
+    "std_score double, wall_clock_s double, cumulative_s double"
+)
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from plumbline.functions.params import CONFIG_FIELDS, typed_params
+from plumbline.functions.params import CONFIG_FIELDS, params_text, reasons, typed_params
 from plumbline.operators.configs import validate_configs
 from plumbline.operators.models import (
     Evaluation,
@@ -61,14 +61,23 @@ def baseline_records(
 ) -> DataFrame:
     """Trial records of the default models and the rules on the shared folds.
 
-    ``flag`` is a 0/1 column kept by the evaluation: the rules' verdict.
+    ``flag`` is a 0/1 column kept by the evaluation: the rules' verdict. Times run from the
+    start of a record's own work to its end, the cumulative ones from the start of the call.
     """
+    origin = time.perf_counter()
     models = models or [default_logistic(), default_forest()]
     fitted = evaluation.cross_validate(models).withColumn(
         "params", F.to_json(F.struct(F.col("arm").alias("estimator")))
     )
-    rules = settled(rule_records(evaluation.table, flag, evaluation.target)).withColumns(
-        {"wall_clock_s": F.lit(None).cast("double"), "params": _json(expression=RULES_EXPRESSION)}
+    start = time.perf_counter()
+    rules = settled(rule_records(evaluation.table, flag, evaluation.target))
+    end = time.perf_counter()
+    rules = rules.withColumns(
+        {
+            "wall_clock_s": F.lit(end - start),
+            "cumulative_s": F.lit(end - origin),
+            "params": _json(expression=RULES_EXPRESSION),
+        }
     )
     return (
         fitted.drop("trial_index")
@@ -113,46 +122,44 @@ def evaluate_configs(
     arm: str,
     seed: int = 0,
     on_batch: Callable[[DataFrame], None] | None = None,
+    batch: int = BATCH,
+    max_fits: int = MAX_FITS,
 ) -> DataFrame:
     """Cross-validate a table of configurations: one trial record per valid one, in id order.
 
     The configurations go to the driver, which starts the fits; invalid rows are left out
     (``validate_configs`` tells why). Records come back a batch at a time, and ``on_batch``
-    may append each batch to a log, so that a long run can be followed and resumed.
+    may append each batch to a log, so that a long run can be followed and resumed. A record's
+    times are its own: from its first fit's start, and from the start of the call, to its last
+    fit's end.
     """
     spark = configs.sparkSession
     valid = validate_configs(configs).where("is_valid").select(row_id, *CONFIG_FIELDS)
-    rows = _bounded(valid.orderBy(row_id), "configurations to fit")
+    rows = _bounded(valid.orderBy(row_id), "configurations to fit", max_fits)
     if not rows:
         raise ValueError("no valid configuration")
     models = [build_model(row.asDict(), seed, arm) for row in rows]
-    texts = [_params_json(row) for row in rows]
 
-    start = time.perf_counter()
-    done = spark.createDataFrame([], RECORD)
-    for first in range(0, len(models), BATCH):
-        batch = evaluation.cross_validate(models[first : first + BATCH]).collect()
-        elapsed = time.perf_counter() - start
-        records = spark.createDataFrame(
-            [
-                (
-                    arm,
-                    first + r["trial_index"],
-                    texts[first + r["trial_index"]],
-                    r["fold_scores"],
-                    r["mean_score"],
-                    r["std_score"],
-                    r["wall_clock_s"],
-                    elapsed,
-                )
-                for r in batch
-            ],
-            RECORD,
-        )
+    origin, done = time.perf_counter(), []
+    for first in range(0, len(models), batch):
+        ahead = time.perf_counter() - origin
+        found = [
+            (
+                arm,
+                first + r["trial_index"],
+                _params_json(rows[first + r["trial_index"]]),
+                r["fold_scores"],
+                r["mean_score"],
+                r["std_score"],
+                r["wall_clock_s"],
+                ahead + r["cumulative_s"],
+            )
+            for r in evaluation.cross_validate(models[first : first + batch]).collect()
+        ]
         if on_batch is not None:
-            on_batch(_trial_columns(records))
-        done = done.unionByName(records)
-    return _trial_columns(done)
+            on_batch(_trial_columns(spark.createDataFrame(found, RECORD)))
+        done += found
+    return _trial_columns(spark.createDataFrame(done, RECORD))
 
 
 def _trial_columns(records: DataFrame) -> DataFrame:
@@ -166,10 +173,10 @@ def _trial_columns(records: DataFrame) -> DataFrame:
     )
 
 
-def _bounded(df: DataFrame, what: str) -> list[Row]:
-    rows = df.limit(MAX_FITS + 1).collect()
-    if len(rows) > MAX_FITS:
-        raise ValueError(f"more than {MAX_FITS} {what}")
+def _bounded(df: DataFrame, what: str, most: int) -> list[Row]:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
     return rows
 
 
@@ -177,24 +184,46 @@ def _params_json(row: Row) -> str:
     return json.dumps({f: row[f] for f in CONFIG_FIELDS if row[f] is not None})
 
 
-def parametric_entries(evaluation: Evaluation, trials: DataFrame, seed: int = 0) -> DataFrame:
-    """Refit the best record of every parametric log on the search part, score the holdout."""
-    spark = trials.sparkSession
-    parametric = trials.where(log_kind(F.col("log")) == "parametric").select(
-        "log", "trial_index", "mean_score", typed_params(F.col("params")).alias("p")
-    )
-    rows = _bounded(
-        best_records(parametric, ["p", "mean_score"]).orderBy("log"), "logs to refit"
+def best_configurations(trials: DataFrame) -> DataFrame:
+    """The best record of every parametric log with its parameters typed and checked.
+
+    ``log, trial_index, mean_score, params, p, reasons``: ``params`` is the whole text of the record,
+    ``reasons`` names the fields that put it outside the space.
+    """
+    parametric = trials.where(log_kind(F.col("log")) == "parametric")
+    best = best_records(parametric, ["trial_index", "mean_score", "params"])
+    return best.withColumn("p", typed_params(F.col("params"))).select(
+        "log",
+        "trial_index",
+        "mean_score",
+        params_text(F.col("params")).alias("params"),
+        "p",
+        reasons({f: F.col(f"p.{f}") for f in CONFIG_FIELDS}).alias("reasons"),
     )
+
+
+def parametric_entries(
+    evaluation: Evaluation,
+    trials: DataFrame,
+    seed: int = 0,
+    batch: int = BATCH,
+    max_fits: int = MAX_FITS,
+) -> DataFrame:
+    """Refit the best record of every parametric log on the search part, score the holdout.
+
+    A best record outside the search space is an error that names the log and the fields.
+    """
+    spark = trials.sparkSession
+    rows = _bounded(best_configurations(trials).orderBy("log"), "logs to refit", max_fits)
+    wrong = [f"{r['log']} {r['trial_index']}: {', '.join(r['reasons'])}" for r in rows if r["reasons"]]
+    if wrong:
+        raise ValueError(f"configurations outside the search space: {'; '.join(wrong)}")
     entries = []
-    for first in range(0, len(rows), BATCH):
-        batch = rows[first : first + BATCH]
-        models = [build_model(row["p"].asDict(), seed, row["log"]) for row in batch]
+    for first in range(0, len(rows), batch):
+        part = rows[first : first + batch]
+        models = [build_model(row["p"].asDict(), seed, row["log"]) for row in part]
         scores = {r["arm"]: r["holdout_ap"] for r in evaluation.holdout_ap(models).collect()}
-        entries += [
-            (row["log"], _params_json(row["p"]), row["mean_score"], scores[row["log"]])
-            for row in batch
-        ]
+        entries += [(row["log"], row["params"], row["mean_score"], scores[row["log"]]) for row in part]
     schema = "arm string, best_params string, cv_mean double, holdout_ap double"
     return spark.createDataFrame(entries, schema).withColumn(
         "best_params", F.parse_json("best_params")

@@ -1,7 +1,9 @@
 """Reading and writing trial logs, summaries and environment records.
 
-A log written here is a partition ``log=<name>`` of one folder, so that a filter on the log
-name reads only that log. Line-per-record files named after their log are read as well.
+A log is a set of lines, one JSON record each. Readers are strict: a line that is no record, lacks a
+field, has an unknown one or a value of another type fails the job, or is set apart by the
+functions that return rejects. Logs written here are batches of one folder, committed one by one
+and partitioned by the log's name. Line-per-record files named after their log are read as well.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.schemas import ENVIRONMENT, SUMMARY, TRIAL
+from plumbline.sources import commits
 
 # Log names and what they hold.
 BASELINE_LOG = "baselines"
@@ -25,36 +28,97 @@ def _with_defaults(trials: DataFrame) -> DataFrame:
     return trials.withColumn("payload", F.when(absent, empty).otherwise(F.col("payload")))
 
 
-def read_log_files(spark: SparkSession, pattern: str, baselines: bool = False) -> DataFrame:
-    """Read ``<log>.jsonl`` files matching a glob; the log name is the file's stem.
+FIELDS = [f.name for f in TRIAL.fields]
+#: The one field that a record may leave out.
+OPTIONAL = ["payload"]
+BROKEN = "_broken"
+
+
+def checked(lines: DataFrame) -> DataFrame:
+    """Parse ``value`` into the record's fields; ``reason`` says why a line is no record.
+
+    Other columns stay. The reasons name missing and unknown fields in alphabetical order.
+    """
+    known = F.array(*[F.lit(f) for f in FIELDS])
+    required = F.array(*[F.lit(f) for f in FIELDS if f not in OPTIONAL])
+    schema = T.StructType([*TRIAL.fields, T.StructField(BROKEN, T.StringType())])
+    parsed = lines.withColumns(
+        {
+            "_keys": F.map_keys(F.from_json("value", "map<string,string>")),
+            "_record": F.from_json("value", schema, {"columnNameOfCorruptRecord": BROKEN}),
+        }
+    )
+    missing, unknown = F.array_except(required, "_keys"), F.array_except("_keys", known)
+
+    def listed(what: str, names: Column) -> Column:
+        return F.concat(F.lit(f"{what}: "), F.array_join(F.sort_array(names), ", "))
+
+    reason = (
+        F.when(F.col("_keys").isNull(), "not an object")
+        .when(F.size(missing) > 0, listed("missing", missing))
+        .when(F.size(unknown) > 0, listed("unknown", unknown))
+        .when(F.col(f"_record.{BROKEN}").isNotNull(), "value of another type")
+    )
+    rest = [c for c in lines.columns if c != "value"]
+    return parsed.withColumn("reason", reason).select(
+        *[F.col(f"_record.{f}").alias(f) for f in FIELDS], *rest, "value", "reason"
+    )
+
+
+def records_only(lines: DataFrame) -> DataFrame:
+    """The records of ``lines``; a line that is none fails the job and is told."""
+    wrong = F.concat(F.col("reason"), F.lit(" in "), F.col("value"))
+    fine = F.when(F.col("reason").isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(F.lit(True))
+    return _with_defaults(checked(lines).where(fine).drop("value", "reason"))
+
 
-    File order is not kept; order by ``trial_index``. The baseline log is left out unless
-    asked for.
+def records_and_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of ``lines``, and the lines that are none with the reason."""
+    found = checked(lines)
+    rejects = found.where(F.col("reason").isNotNull()).drop(*FIELDS)
+    return _with_defaults(found.where(F.col("reason").isNull()).drop("value", "reason")), rejects
+
+
+def log_lines(spark: SparkSession, pattern: str, baselines: bool = False) -> DataFrame:
+    """Lines of ``<log>.jsonl`` files matching a glob, with the file's stem as the log's name.
+
+    The baseline log is left out unless asked for.
     """
     stem = F.regexp_extract("_metadata.file_name", r"^(.*)\.jsonl?$", 1)
-    trials = _with_defaults(spark.read.schema(TRIAL).json(pattern).select("*", stem.alias("log")))
-    return trials if baselines else trials.where(F.col("log") != BASELINE_LOG)
+    lines = spark.read.text(pattern).select("value", stem.alias("log"))
+    return lines if baselines else lines.where(F.col("log") != BASELINE_LOG)
+
+
+def read_log_files(spark: SparkSession, pattern: str, baselines: bool = False) -> DataFrame:
+    """Read ``<log>.jsonl`` files matching a glob, all of whose lines must be records.
+
+    File order is not kept; order by ``trial_index``.
+    """
+    return records_only(log_lines(spark, pattern, baselines))
 
 
 def read_log_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Read the logs written by :func:`append_trials`."""
-    schema = T.StructType([*TRIAL.fields, T.StructField("log", T.StringType())])
-    return _with_defaults(spark.read.schema(schema).json(folder))
+    """Read what :func:`append_trials` and :func:`replace_trials` have committed."""
+    return records_only(commits.read_batches(spark, folder, "log"))
+
+
+def record_lines(trials: DataFrame) -> DataFrame:
+    """Records as lines of JSON, every field present."""
+    fields = F.struct(*FIELDS)
+    return trials.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"), "log")
 
 
-def append_trials(trials: DataFrame, folder: str) -> None:
-    """Append a batch of records to their logs; each call adds files, none is changed."""
-    trials.write.mode("append").partitionBy("log").json(folder)
+def append_trials(trials: DataFrame, folder: str, batch: str | None = None) -> bool:
+    """Append a batch of records to their logs, whole or not at all.
+
+    A batch whose id is committed already is not written again; then the result is False.
+    """
+    return commits.write_batch(record_lines(trials), folder, "log", batch)
 
 
-def replace_trials(trials: DataFrame, folder: str) -> None:
+def replace_trials(trials: DataFrame, folder: str, batch: str | None = None) -> bool:
     """Replace the logs present in ``trials``; other logs in the folder stay."""
-    (
-        trials.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("log")
-        .json(folder)
-    )
+    return commits.write_batch(record_lines(trials), folder, "log", batch, replaces=True)
 
 
 def log_kind(log: Column) -> Column:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import logistic
 from plumbline.operators.configs import sample_configs
 from plumbline.operators.models import (
     MAX_DEPTH,
@@ -14,6 +15,7 @@ from plumbline.operators.models import (
     forest_model,
     logistic_model,
 )
+from plumbline.operators.ranking import average_precision
 from plumbline.operators.splits import assign_splits
 from plumbline.plans import report as reports
 from plumbline.sources.trial_logs import append_trials, read_log_folder
@@ -80,8 +82,8 @@ def test_parameters_reach_the_estimators():
     assert build_model(LOGISTIC | {"class_weight": "balanced_subsample"}).balanced
     assert build_model(LOGISTIC | {"use_interactions": True}).interactions
     forest = build_model(FOREST, seed=3).estimator(5)
-    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (60, 5, 2)
-    assert forest.getFeatureSubsetStrategy() == "all" and forest.getSeed() == 3
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (75, 6, 3)
+    assert forest.getFeatureSubsetStrategy() == "sqrt" and forest.getSeed() == 3
     assert default_forest().estimator(5).getMaxDepth() == MAX_DEPTH
     assert not default_forest().scaled and default_logistic().scaled
     with pytest.raises(ValueError):
@@ -151,3 +153,115 @@ def test_report(spark, evaluation):
     assert json.loads(rows["optuna_seed0"]["best_params"]) == FOREST
     assert rows["pysr"]["folds_present"] == 1 and rows["agent"]["folds_present"] is None
     assert all(0 <= r["holdout_ap"] <= 1 for r in rows.values())
+
+
+def joint_parts(table, evaluation, products):
+    """Rows of the search part and the design of each fold's own scale, in numpy."""
+    rows = table.where("NOT is_holdout").select("fold", "y", *FEATURES).collect()
+    x = np.array([[r[f] for f in FEATURES] for r in rows])
+    y, fold = np.array([r["y"] for r in rows]), np.array([r["fold"] for r in rows])
+
+    def design(k):
+        z = (x - x[fold != k].mean(0)) / x[fold != k].std(0)
+        if products:
+            z = np.hstack([z, *[(z[:, i] * z[:, j])[:, None] for i in range(3) for j in range(i + 1, 3)]])
+        return z
+
+    return design, y, fold
+
+
+@pytest.mark.parametrize("mode", ["none", "balanced"])
+@pytest.mark.parametrize("products", [False, True])
+def test_joint_fits_match_an_independent_solution(table, evaluation, mode, products):
+    params = LOGISTIC | {"class_weight": mode, "use_interactions": products}
+    fits = [logistic_model(params).joint(k) for k in range(5)]
+    scored = evaluation.joint.scores(fits, evaluation.joint.fitted(fits), False).collect()
+    design, y, fold = joint_parts(table, evaluation, products)
+    for k in range(5):
+        z, fit = design(k), fold != k
+        n, ones = fit.sum(), y[fit].sum()
+        w = np.ones(n) if mode == "none" else n / (2 * np.where(y[fit] == 1, ones, n - ones))
+        beta = newton(z[fit], y[fit], w, LOGISTIC["C"])
+        expected = sorted(1 / (1 + np.exp(-(z[~fit] @ beta[:-1] + beta[-1]))))
+        assert sorted(r["score"] for r in scored if r["fit"] == k) == pytest.approx(expected, abs=1e-7)
+
+
+@pytest.mark.parametrize("c", [0.01, 0.5])
+def test_joint_lasso_meets_its_conditions(table, evaluation, c):
+    fit = logistic_model(LOGISTIC | {"penalty": "l1", "C": c, "use_interactions": True}).joint(3)
+    own, whole = evaluation.statistics[3], evaluation.statistics[-1]
+    beta = np.linalg.solve(logistic.scaled_by(own, whole, FEATURES, True), evaluation.joint.fitted([fit])[0])
+    design, y, fold = joint_parts(table, evaluation, True)
+    z = np.insert(design(3)[fold != 3], 3, 1.0, axis=1)
+    gradient = z.T @ (1 / (1 + np.exp(-z @ beta)) - y[fold != 3])
+    assert abs(gradient[3]) < 1e-4
+    for j in (0, 1, 2, 4, 5, 6):
+        if abs(beta[j]) > 1e-9:
+            assert gradient[j] == pytest.approx(-np.sign(beta[j]) / c, abs=1e-3)
+        else:
+            assert abs(gradient[j]) <= 1 / c + 1e-3
+    assert (np.abs(beta) < 1e-9).any()
+
+
+def test_joint_and_single_fits_rank_alike(evaluation):
+    models = [default_logistic(), logistic_model(LOGISTIC | {"penalty": "l1", "C": 5.0}, "lasso")]
+    single = [average_precision(evaluation.fold_scores(m, 1), "_y", "score").first()["ap"] for m in models]
+    before = evaluation.joint.jobs
+    rows = evaluation.cross_validate(models).orderBy("trial_index").collect()
+    assert [r["fold_scores"][1] for r in rows] == pytest.approx(single, abs=1e-6)
+    assert evaluation.joint.jobs - before < 20
+    assert all(r["cumulative_s"] >= r["wall_clock_s"] > 0 for r in rows)
+
+
+def test_one_class_has_no_score(spark, table):
+    alone = table.withColumn("y", F.lit(0))
+    with Evaluation(alone, FEATURES, "y") as e:
+        assert e.cross_validate([default_logistic()]).first()["fold_scores"] == [None] * 5
+
+
+def test_missing_values_and_weights_are_refused(table):
+    with pytest.raises(ValueError, match="class weight"):
+        logistic_model(LOGISTIC | {"class_weight": None})
+    gaps = table.withColumn("a", F.when(F.col("id") != 17, F.col("a")))
+    with Evaluation(gaps, FEATURES, "y") as e, pytest.raises(Exception, match="missing values"):
+        e.cross_validate([default_logistic()])
+
+
+def test_large_fit_parts_are_sampled(table):
+    small = forest_model(FOREST | {"n_estimators": 50})
+    with Evaluation(table, FEATURES, "y", row_id="id", max_fit_rows=300, fit_partitions=3) as e:
+        search = e.table.where("NOT is_holdout AND fold <> 2")
+        part = e._fit_part(search, 2)
+        assert part.count() == 300 and part.rdd.getNumPartitions() == 3
+        share = search.agg(F.avg("y")).first()[0]
+        assert part.agg(F.avg("y")).first()[0] == pytest.approx(share, abs=0.01)
+        assert e.cross_validate([small]).first()["mean_score"] > 0.7
+    with Evaluation(table, FEATURES, "y", max_fit_rows=300) as e, pytest.raises(ValueError, match="row_id"):
+        e.cross_validate([small])
+
+
+def test_written_tables_are_deleted(spark, table):
+    from pathlib import Path
+
+    from plumbline.session import work_folder
+
+    folder = Path(work_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    with Evaluation(table, FEATURES, "y") as e:
+        e.cross_validate([default_logistic()])
+        assert len(set(folder.iterdir()) - before) == 2
+    assert set(folder.iterdir()) == before
+
+
+def test_configurations_outside_the_space_are_not_refitted(spark, evaluation):
+    def best(params):
+        rows = spark.createDataFrame([("agent", 4, 0.5, json.dumps(params))], "log string, trial_index long, mean_score double, p string")
+        return rows.withColumn("params", F.parse_json("p"))
+
+    wrong = {"estimator": "random_forest", "n_estimators": 9, "max_depth": "deep"}
+    row = reports.best_configurations(best(wrong)).first()
+    assert row["reasons"] == ["n_estimators", "max_depth", "min_samples_leaf", "max_features", "class_weight"]
+    with pytest.raises(ValueError, match="agent 4: n_estimators, max_depth"):
+        reports.parametric_entries(evaluation, best(wrong))
+    kept = reports.parametric_entries(evaluation, best(LOGISTIC | {"note": [1, "x"]}))
+    assert json.loads(kept.select(F.to_json("best_params")).first()[0]) == LOGISTIC | {"note": [1, "x"]}
