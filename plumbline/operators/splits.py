@@ -3,8 +3,8 @@
 Rows are ordered by class, then by a salted digest of their id, and numbered from zero
 across classes. Taking every d-th number gives parts whose sizes, in total and per class,
 differ by at most one. The digest depends on nothing but the id, so a row lands in the same
-part on any cluster, in any file order. Ids must be unique and not null; a repeated id fails
-the job, since its copies could land in different parts.
+part on any cluster, in any file order. Ids must be unique and not null, also between classes;
+anything else fails the job, since the copies of a row could land in different parts.
 """
 
 from __future__ import annotations
@@ -19,6 +19,22 @@ from plumbline.operators.running import default_buckets, running
 DIGEST_DIGITS = 15
 
 
+def _guarded(df: DataFrame, row_id: str) -> DataFrame:
+    """Fail the job if an id is missing or stands on several rows, whatever their class."""
+    repeats = df.groupBy(row_id).agg(F.count(F.lit(1)).alias("_n"))
+    worst = repeats.agg(
+        F.struct(F.max("_n").alias("most"), F.max(F.col(row_id).isNull()).alias("missing"))
+    ).scalar()
+    fault = F.when(F.col("_worst.missing"), f"{row_id} has missing values").when(
+        F.col("_worst.most") > 1, f"{row_id} is not unique"
+    )
+    return (
+        df.withColumn("_worst", worst)
+        .where(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.lit(True)))
+        .drop("_worst")
+    )
+
+
 def _numbered(df: DataFrame, row_id: str, target: str, salt: str) -> DataFrame:
     """Add ``_g``, numbering rows from zero in the order of class, digest and id.
 
@@ -27,22 +43,33 @@ def _numbered(df: DataFrame, row_id: str, target: str, salt: str) -> DataFrame:
     """
     bits = default_buckets(df).bit_length() + 1
     head = F.substring(salted_digest(salt, F.col(row_id)), 1, DIGEST_DIGITS)
-    digest = df.withColumn("_digest", F.conv(head, 16, 10).cast("long"))
+    digest = _guarded(df, row_id).withColumn("_digest", F.conv(head, 16, 10).cast("long"))
     return (
         running(
             digest.withColumn("_lead", F.shiftright("_digest", 4 * DIGEST_DIGITS - bits)),
             order=["_digest", row_id],
             sums={"_g": F.lit(1)},
             bucket=[target, "_lead"],
-            unique=True,
         )
         .withColumn("_g", F.col("_g") - 1)
         .drop("_digest", "_lead")
     )
 
 
+def _times(number: Column, factor: Column | int) -> Column:
+    """A product of row numbers in decimals, since 64 bits are soon too few."""
+    whole = F.lit(factor) if isinstance(factor, int) else factor
+    return number.cast("decimal(19,0)") * whole.cast("decimal(19,0)")
+
+
 def _held(numerator: int, denominator: int) -> Column:
-    return F.col("_g") * numerator % denominator < numerator
+    return _times(F.col("_g"), numerator) % denominator < numerator
+
+
+def _held_before(numerator: int, denominator: int) -> Column:
+    """Whole part of the share of the row number."""
+    product = _times(F.col("_g"), numerator)
+    return ((product - product % denominator) / denominator).cast("long")
 
 
 def _attach(df: DataFrame, parts: DataFrame, row_id: str, target: str) -> DataFrame:
@@ -92,7 +119,7 @@ def assign_splits(
     """
     number = _numbered(df.select(row_id, target), row_id, target, str(seed))
     held = _held(numerator, denominator)
-    held_so_far = F.floor(F.col("_g") * numerator / denominator) + 1
+    held_so_far = _held_before(numerator, denominator) + 1
     fold = F.when(~held, ((F.col("_g") - held_so_far) % folds).cast("int"))
     parts = number.select(row_id, target, held.alias("is_holdout"), fold.alias("fold"))
     return _attach(df, parts, row_id, target)
@@ -106,7 +133,7 @@ def stratified_sample(
     number = _numbered(narrow, row_id, target, str(seed))
     total = narrow.agg(F.count(F.lit(1))).scalar()
     share = F.least(F.lit(size).cast("long"), total)
-    taken = number.where(F.col("_g") * share % total < share)
+    taken = number.where(_times(F.col("_g"), share) % total.cast("decimal(19,0)") < share)
     if set(df.columns) <= {row_id, target}:
         return taken.drop("_g")
     return df.join(taken.select(row_id), row_id, "left_semi")

@@ -64,6 +64,15 @@ def elapsed_minutes(best: DataFrame) -> DataFrame:
     return best.withColumn("cumulative_min", F.col("cumulative_s") / 60)
 
 
+def time_lines(best: DataFrame, prefix: str, others: Sequence[str]) -> DataFrame:
+    """Curves over time for one chart: every seed under one label, the other logs under their own."""
+    label = F.when(F.col("log").startswith(prefix), "optuna seed").when(
+        F.col("log").isin(*others), F.col("log")
+    )
+    lines = elapsed_minutes(best).select("log", "cumulative_min", "best_score", label.alias("label"))
+    return lines.where(F.col("label").isNotNull())
+
+
 def numbered(records: DataFrame, order: Sequence[str], keys: Sequence[str] = ("log",)) -> DataFrame:
     """Add ``trial_index``, counting each log's records from zero in the given order."""
     counted = running(records, keys=keys, order=order, sums={"trial_index": F.lit(1)})

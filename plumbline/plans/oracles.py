@@ -7,6 +7,7 @@ from itertools import combinations
 from plumbline.plans.tables import CANDIDATES, DOCUMENT_FEATURES
 
 LANGUAGES = ["de", "en", "es", "fr"]
+FEATURES = [*DOCUMENT_FEATURES, *[f"type_{v}" for v in LANGUAGES]]
 FOLDS = 5
 
 
@@ -60,13 +61,16 @@ _EVENTS = """
 _EVENT_TARGETS = "SELECT event_id, (event_type = 'error')::INTEGER AS target FROM events"
 
 _LABELS = "SELECT doc_id, toxic FROM labels"
-_DOCUMENTS = """
+_ONE_HOT = ", ".join(
+    f"coalesce((d.lang = '{v}')::INTEGER, 0)::DOUBLE AS type_{v}" for v in LANGUAGES
+)
+_DOCUMENTS = f"""
     SELECT d.doc_id, d.lang, d.n_chars,
            length(text) - length(replace(text, ' ', '')) + 1 AS n_words,
            length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines,
            length(text) - length(translate(text, '0123456789', '')) AS n_digits,
            length(text) - length(replace(text, ',', '')) AS n_commas,
-           l.toxic
+           {_ONE_HOT}, l.toxic
     FROM documents d JOIN labels l USING (doc_id)"""
 _SPLIT_DOCUMENTS = _splits(_DOCUMENTS, "doc_id", "toxic")
 _SEARCH = f"SELECT * FROM ({_SPLIT_DOCUMENTS}) WHERE NOT is_holdout"
@@ -109,6 +113,8 @@ _SCORES = {
     "additive": "n_words + n_digits * 0.125::DOUBLE - n_commas",
     "ratio": "n_chars / nullif(n_lines + 11.0::DOUBLE, 0)",
     "any_of": "greatest((n_commas < 0.2)::INTEGER, (n_lines > 1.5)::INTEGER)::DOUBLE",
+    "spoken": "type_de - type_fr * 1.5::DOUBLE + n_words",
+    "tongue": "greatest((type_en > 0)::INTEGER, (type_es > 0)::INTEGER)::DOUBLE * n_commas",
     "all_of": "least((n_chars < 2.0)::INTEGER, (n_words > -1.5)::INTEGER)::DOUBLE + n_digits",
 }
 
@@ -117,7 +123,7 @@ def _long_scores(part: str) -> str:
     columns = ", ".join(f"{e} AS {name}" for name, e in _SCORES.items())
     return f"""
     UNPIVOT (SELECT scaler_fold, fold IS NULL AS held, toxic AS y, {columns}
-             FROM ({_scaled(part, DOCUMENT_FEATURES)}))
+             FROM ({_scaled(part, FEATURES)}))
     ON {", ".join(_SCORES)} INTO NAME candidate VALUE score"""
 
 
@@ -129,7 +135,7 @@ def _losses(loss: str) -> str:
     return f"""
     SELECT candidate, scaler_fold AS fold, loss FROM (
       UNPIVOT (SELECT scaler_fold, {columns}
-               FROM (SELECT *, {_WEIGHT} AS weight FROM ({_scaled("fit", DOCUMENT_FEATURES)}))
+               FROM (SELECT *, {_WEIGHT} AS weight FROM ({_scaled("fit", FEATURES)}))
                GROUP BY scaler_fold)
       ON {", ".join(_SCORES)} INTO NAME candidate VALUE loss)"""
 
@@ -259,6 +265,44 @@ _CANDIDATE_TRIALS = f"""
            ap, complexity::INTEGER AS complexity, expression, fold, holdout_ap
     FROM ({_SCORED}) JOIN (VALUES {_TEXTS}) t(candidate, complexity, expression) USING (candidate)"""
 
+# Whole parameters: what the agent's records hold besides their usual fields.
+_ODD = """
+    CASE WHEN k % 2 = 0
+    THEN '"use_interactions":' || (k % 4 = 0)::VARCHAR || ',"C":' || tenth::VARCHAR
+         || ',"penalty":"l2","max_depth":"deep","class_weight":"none"'
+    ELSE '"n_estimators":' || (k + 50) || ',"max_depth":"deep","min_samples_leaf":1,'
+         || '"max_features":"sqrt","class_weight":"none"' END
+    || ',"a note":null' || CASE WHEN k % 2 = 1 THEN ',"depth":' || (k % 18 + 3) ELSE '' END
+    || ',"warm_start":' || (k % 3 = 0)::VARCHAR || '}'"""
+
+# Lines of logs by what is wrong with them.
+_REASON = """
+    CASE event_id % 100 WHEN 1 THEN 'not an object' WHEN 2 THEN 'missing: arm'
+         WHEN 3 THEN 'unknown: budget, seed' WHEN 4 THEN 'value of another type'
+         WHEN 5 THEN 'not an object' ELSE 'none' END"""
+
+_LINE = "(l_orderkey * 10 + l_linenumber)"
+
+
+def _first_step() -> str:
+    """Gradient and Gram sums at zero coefficients over the rows outside each fold."""
+    whole = ", ".join(
+        f"(r.{x} - s.mu_{x}) / CASE WHEN s.sd_{x} = 0 THEN 1.0 ELSE s.sd_{x} END" for x in FEATURES
+    )
+    names = ", ".join(f"'{x}'" for x in [*FEATURES, "1"])
+    n = len(FEATURES) + 1
+    return f"""
+    WITH rows AS (SELECT r.fold, r.toxic, [{whole}, 1.0::DOUBLE] AS z
+                  FROM ({_SEARCH}) r, ({_statistics(FEATURES)}) s WHERE s.scaler_fold = -1),
+    fits AS (SELECT k AS fold, rows.toxic, rows.z FROM rows, (SELECT unnest([0, 1, 2, 3, 4])::INTEGER AS k)
+             WHERE rows.fold <> k),
+    i AS (SELECT unnest(range(1, {n + 1})) AS i), j AS (SELECT unnest(range(1, {n + 1})) AS j)
+    SELECT fold, [{names}][i] AS row, [{names}][j] AS col, round(sum(0.25::DOUBLE * z[i] * z[j]), 6) AS value
+    FROM fits, i, j WHERE i <= j GROUP BY fold, i, j
+    UNION ALL SELECT fold, [{names}][i], 'gradient', round(sum((0.5::DOUBLE - toxic) * z[i]), 6)
+    FROM fits, i GROUP BY fold, i"""
+
+
 ORACLES: dict[str, str] = {
     "rule_flags": f"""
         SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, variant, target, heat, power,
@@ -307,9 +351,7 @@ ORACLES: dict[str, str] = {
               FROM ({_EVENT_TARGETS}))
         WHERE g * share % total < share""",
     "features_onehot": "SELECT doc_id, "
-    + ", ".join(f"{x}::DOUBLE AS {x}" for x in DOCUMENT_FEATURES)
-    + ", "
-    + ", ".join(f"(lang = '{v}')::INTEGER::DOUBLE AS type_{v}" for v in LANGUAGES)
+    + ", ".join(f"{x}::DOUBLE AS {x}" for x in FEATURES)
     + f", toxic FROM ({_DOCUMENTS})",
     "target_prevalence": "SELECT round(avg(toxic::DOUBLE), 9) AS prevalence FROM labels",
     "target_counts": "SELECT toxic, count(*) AS n FROM labels GROUP BY toxic",
@@ -331,21 +373,21 @@ ORACLES: dict[str, str] = {
               FROM ({_SEARCH}) GROUP BY fold) c USING (fold)""",
     "fold_statistics": "SELECT scaler_fold, fit_rows, fit_ones, "
     + ", ".join(
-        f"round(mu_{x}, 6) AS mu_{x}, round(sd_{x}, 6) AS sd_{x}" for x in DOCUMENT_FEATURES
+        f"round(mu_{x}, 6) AS mu_{x}, round(sd_{x}, 6) AS sd_{x}" for x in FEATURES
     )
-    + f" FROM ({_statistics(DOCUMENT_FEATURES)})",
+    + f" FROM ({_statistics(FEATURES)})",
     "fold_scaling": "SELECT doc_id, fold, "
-    + ", ".join(f"round({x}, 6) AS {x}" for x in DOCUMENT_FEATURES)
-    + f" FROM ({_scaled('validation', DOCUMENT_FEATURES)})",
+    + ", ".join(f"round({x}, 6) AS {x}" for x in FEATURES)
+    + f" FROM ({_scaled('validation', FEATURES)})",
     "fold_weights": f"""
         SELECT doc_id, scaler_fold, toxic, round({_WEIGHT}, 9) AS weight
         FROM ({_scaled("fit", ["n_chars"])})""",
     "interactions": "SELECT doc_id, fold, "
     + ", ".join(
-        [f"round({x}, 6) AS {x}" for x in DOCUMENT_FEATURES]
-        + [f"round({a} * {b}, 6) AS {a}_x_{b}" for a, b in combinations(DOCUMENT_FEATURES, 2)]
+        [f"round({x}, 6) AS {x}" for x in FEATURES]
+        + [f"round({a} * {b}, 6) AS {a}_x_{b}" for a, b in combinations(FEATURES, 2)]
     )
-    + f" FROM ({_scaled('validation', DOCUMENT_FEATURES)})",
+    + f" FROM ({_scaled('validation', FEATURES)})",
     "expression_scores": f"""
         SELECT candidate, fold, round(ap, 9) AS ap, round(holdout_ap, 9) AS holdout_ap
         FROM ({_SCORED})""",
@@ -366,7 +408,9 @@ ORACLES: dict[str, str] = {
         FROM ({_TRIALS}) GROUP BY log""",
     "best_so_far": f"SELECT log, trial_index, mean_score, best_score FROM ({_BEST})",
     "best_by_time": f"""
-        SELECT log, round(cumulative_s / 60, 9) AS cumulative_min, best_score FROM ({_BEST})""",
+        SELECT log, round(cumulative_s / 60, 9) AS cumulative_min, best_score,
+               CASE WHEN starts_with(log, 'optuna_seed') THEN 'optuna seed' ELSE log END AS label
+        FROM ({_BEST})""",
     "seed_band": _BAND,
     "score_spread": f"""
         SELECT log, round(median(mean_score), 6) AS median, round(min(mean_score), 6) AS low,
@@ -472,4 +516,49 @@ ORACLES: dict[str, str] = {
                CASE WHEN event_id % 3 < 2 THEN json_extract_string(props, '$.k')::INTEGER END AS k,
                event_id % 3 = 2 AS rejected
         FROM events""",
+    "sensor_rows": f"""
+        SELECT variant, n, torques, failures, id_sum, rejected FROM (
+          SELECT l_returnflag AS variant, count(*) AS n,
+                 count(*) FILTER ({_LINE} % 40 <> 2) AS torques,
+                 sum((l_linestatus = 'F')::INTEGER)::BIGINT AS failures, sum({_LINE})::BIGINT AS id_sum
+          FROM lineitem WHERE {_LINE} % 40 NOT IN (1, 3) GROUP BY 1)
+        FULL JOIN (SELECT l_returnflag AS variant, count(*) AS rejected
+                   FROM lineitem WHERE {_LINE} % 40 IN (1, 3) GROUP BY 1) USING (variant)""",
+    "log_rejects": f"""
+        SELECT log, reason, count(*) AS n,
+               CASE WHEN reason = 'none' THEN sum(trial_index)::BIGINT END AS index_sum
+        FROM (SELECT log, trial_index, {_REASON} AS reason FROM ({_TRIALS})) GROUP BY log, reason""",
+    "committed_logs": f"""
+        SELECT log, count(*) AS n, sum(trial_index)::BIGINT AS index_sum,
+               round(max(mean_score), 9) AS best, count(*) AS scores,
+               count(*) FILTER (log <> 'pysr' AND k % 2 = 0) AS with_c
+        FROM ({_TRIALS}) WHERE log <> 'agent' OR trial_index % 2 = 0 GROUP BY log""",
+    "log_kinds": f"""
+        SELECT CASE WHEN log = 'pysr' THEN 'expression' ELSE 'parametric' END AS kind, count(*) AS n
+        FROM ({_TRIALS}) GROUP BY 1""",
+    "summary_round_trip": f"""
+        SELECT arm, arm AS named, round(cv_mean, 9) AS cv_mean, round(holdout_ap, 9) AS holdout_ap,
+               NULL::BIGINT AS folds_present FROM ({_ARMS})""",
+    "whole_params": f"""
+        SELECT trial_index, {_BRANCH} AS estimator, '{{' || {_ODD} AS params,
+               printf('t%02d | %s | AP=%.4f (+-%.4f) | %.1fs', trial_index,
+                      '{{"estimator":"' || {_BRANCH} || '",' || {_ODD}, mean_score,
+                      k / 1000.0::DOUBLE, tenth) AS line
+        FROM ({_TRIALS}) WHERE log = 'agent'""",
+    "best_configurations": f"""
+        SELECT log, trial_index, mean_score,
+               '{{"estimator":"' || {_BRANCH} || '",'
+               || CASE WHEN log = 'optuna_seed1' THEN replace({_PARAMS}, '"none"', '"no"') ELSE {_PARAMS} END AS params,
+               CASE WHEN log = 'optuna_seed1' THEN 'class_weight' ELSE '' END AS reasons
+        FROM ({_FIRST_BEST}) WHERE log <> 'pysr'""",
+    "live_leaderboard": f"""
+        SELECT log, count(*) AS n, max(mean_score) AS best_score,
+               first(trial_index ORDER BY mean_score DESC, trial_index) AS best_index
+        FROM ({_TRIALS}) GROUP BY log""",
+    "logistic_first_step": _first_step(),
+    "rule_record": f"""
+        SELECT 'ground_truth_rules' AS arm, fold, round(ap, 9) AS ap,
+               round(avg(ap) OVER (), 9) AS mean_score, round(stddev_pop(ap) OVER (), 9) AS std_score
+        FROM ({_ap(f"SELECT fold, (n_words > 400)::INTEGER AS score, toxic AS y FROM ({_SEARCH})",
+                   ["fold"], 15)})""",
 }

@@ -5,7 +5,9 @@ Doubles are rounded where the order of additions may differ between engines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from plumbline.operators import candidates as expressions
 from plumbline.operators import scaling, splits, trials
 from plumbline.operators.configs import sample_configs, validate_configs
 from plumbline.operators.features import class_counts, with_class_weights
+from plumbline.operators.logistic import first_step
 from plumbline.operators.models import Evaluation, default_logistic, forest_model
 from plumbline.operators.ranking import (
     average_precision,
@@ -28,7 +31,6 @@ from plumbline.operators.ranking import (
 from plumbline.plans import report as reports
 from plumbline.plans.tables import (
     CANDIDATES,
-    DOCUMENT_FEATURES,
     LINE_LIMITS,
     LINE_SENSORS,
     document_features,
@@ -36,7 +38,10 @@ from plumbline.plans.tables import (
     labelled_documents,
     table,
 )
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, remove_tables, work_folder
+from plumbline.sources import trial_logs
+from plumbline.sources.sensor_table import sensor_rows_and_rejects, short_names
+from plumbline.streaming import leaderboard as live
 
 SEEDS = "optuna_seed"
 
@@ -201,9 +206,10 @@ def _split_documents(spark, folder) -> tuple[DataFrame, list[str]]:
     return splits.assign_splits(features, "doc_id", "toxic"), names
 
 
-def _written_documents(spark, folder) -> DataFrame:
+def _written_documents(spark, folder) -> tuple[DataFrame, list[str]]:
     """The split feature table, written once because several branches of a job read it."""
-    return cut_lineage(_split_documents(spark, folder)[0])
+    documents, names = _split_documents(spark, folder)
+    return cut_lineage(documents), names
 
 
 def features_onehot(spark, folder):
@@ -248,27 +254,26 @@ def rule_ap_per_fold(spark, folder):
 
 
 def fold_statistics(spark, folder):
-    documents, _ = _split_documents(spark, folder)
-    names = DOCUMENT_FEATURES
+    documents, names = _split_documents(spark, folder)
     statistics = scaling.fit_statistics(documents, names, "toxic", 5)
     return rounded(statistics, 6, *[f"{p}_{x}" for x in names for p in ("mu", "sd")])
 
 
-def _scaled_validation(spark, folder) -> DataFrame:
-    documents = _written_documents(spark, folder)
-    statistics = scaling.fit_statistics(documents, DOCUMENT_FEATURES, "toxic", 5)
+def _scaled_validation(spark, folder) -> tuple[DataFrame, list[str]]:
+    documents, names = _written_documents(spark, folder)
+    statistics = scaling.fit_statistics(documents, names, "toxic", 5)
     rows = scaling.views(documents, "validation", 5)
-    return scaling.scale(rows, statistics, DOCUMENT_FEATURES)
+    return scaling.scale(rows, statistics, names), names
 
 
 def fold_scaling(spark, folder):
-    scaled = _scaled_validation(spark, folder)
-    return rounded(scaled.select("doc_id", "fold", *DOCUMENT_FEATURES), 6, *DOCUMENT_FEATURES)
+    scaled, names = _scaled_validation(spark, folder)
+    return rounded(scaled.select("doc_id", "fold", *names), 6, *names)
 
 
 def fold_weights(spark, folder):
     """Balanced weights of each fold's fit part."""
-    documents = _written_documents(spark, folder)
+    documents, _ = _written_documents(spark, folder)
     statistics = scaling.fit_statistics(documents, ["n_chars"], "toxic", 5)
     rows = scaling.scale(scaling.views(documents, "fit", 5), statistics, ["n_chars"])
     weighted = scaling.with_fit_weights(rows, "toxic")
@@ -276,43 +281,44 @@ def fold_weights(spark, folder):
 
 
 def interactions(spark, folder):
-    widened, names = scaling.with_interactions(_scaled_validation(spark, folder), DOCUMENT_FEATURES)
+    widened, names = scaling.with_interactions(*_scaled_validation(spark, folder))
     return rounded(widened.select("doc_id", "fold", *names), 6, *names)
 
 
 def expression_scores(spark, folder):
-    documents = _written_documents(spark, folder)
-    scores = expressions.score_candidates(documents, CANDIDATES, DOCUMENT_FEATURES, "toxic")
+    documents, names = _written_documents(spark, folder)
+    scores = expressions.score_candidates(documents, CANDIDATES, names, "toxic")
     return rounded(scores, 9, "ap", "holdout_ap")
 
 
 def expression_losses(spark, folder):
-    documents = _written_documents(spark, folder)
-    losses = expressions.candidate_losses(documents, CANDIDATES, DOCUMENT_FEATURES, "toxic")
+    documents, names = _written_documents(spark, folder)
+    losses = expressions.candidate_losses(documents, CANDIDATES, names, "toxic")
     return rounded(losses, 6, "loss")
 
 
 def expression_logistic_losses(spark, folder):
-    documents = _written_documents(spark, folder)
-    losses = expressions.candidate_losses(
-        documents, CANDIDATES, DOCUMENT_FEATURES, "toxic", loss=logistic_loss
-    )
+    documents, names = _written_documents(spark, folder)
+    losses = expressions.candidate_losses(documents, CANDIDATES, names, "toxic", loss=logistic_loss)
     return rounded(losses, 6, "loss")
 
 
+def _candidate_records(spark, folder) -> DataFrame:
+    documents, names = _written_documents(spark, folder)
+    return trials.expression_records(
+        expressions.candidate_trials(documents, CANDIDATES, names, "toxic")
+    )
+
+
 def expression_trials(spark, folder):
     """Every candidate and fold as a trial record, flattened."""
-    documents = _written_documents(spark, folder)
-    records = expressions.candidate_trials(documents, CANDIDATES, DOCUMENT_FEATURES, "toxic")
-    flat = trials.expression_records(records).withColumnRenamed("mean_score", "ap")
+    flat = _candidate_records(spark, folder).withColumnRenamed("mean_score", "ap")
     return rounded(flat, 9, "ap", "holdout_ap")
 
 
 def expression_selection(spark, folder):
     """The candidates' own trial records, selected by full coverage."""
-    documents = _written_documents(spark, folder)
-    records = expressions.candidate_trials(documents, CANDIDATES, DOCUMENT_FEATURES, "toxic")
-    best = trials.full_coverage(trials.expression_records(records))
+    best = trials.full_coverage(_candidate_records(spark, folder))
     return rounded(best, 9, "cv_mean", "holdout_ap")
 
 
@@ -333,8 +339,9 @@ def best_so_far(spark, folder):
 
 
 def best_by_time(spark, folder):
-    timed = trials.elapsed_minutes(_best(spark, folder, "cumulative_s"))
-    return rounded(timed.select("log", "cumulative_min", "best_score"), 9, "cumulative_min")
+    """Curves over time, the seeds under one label."""
+    lines = trials.time_lines(_best(spark, folder, "cumulative_s"), SEEDS, ["agent", "pysr"])
+    return rounded(lines, 9, "cumulative_min")
 
 
 def seed_band(spark, folder):
@@ -522,13 +529,197 @@ def params_repair(spark, folder):
     )
 
 
-# Models. Fits have no SQL counterpart.
+# Sources and sinks: the given tables written as files, some of them broken, and read back.
+
+
+@contextmanager
+def _scratch(spark, name: str) -> Iterator[str]:
+    """A folder of its own among the intermediate tables, deleted at the end."""
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove_tables(spark, [path])
+
+
+def sensor_rows(spark, folder):
+    """lineitem as a headed CSV with some bad cells and cut lines: rows and rejects per variant."""
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    sensors = table(spark, folder, "lineitem").select(
+        line.alias("UDI"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("Product ID"),
+        F.col("l_returnflag").alias("Type"),
+        F.col("l_discount").alias("Air temperature [K]"),
+        F.col("l_tax").alias("Process temperature [K]"),
+        F.when(line % 40 == 1, "fast").otherwise(F.col("l_extendedprice").cast("string")).alias("Rotational speed [rpm]"),
+        F.when(line % 40 != 2, F.col("l_quantity")).alias("Torque [Nm]"),
+        F.col("l_linenumber").alias("Tool wear [min]"),
+        F.when(line % 40 == 3, "0.5").otherwise((F.col("l_linestatus") == "F").cast("int").cast("string")).alias("Machine failure"),
+        *[F.lit(0).alias(n) for n in ("TWF", "HDF", "PWF", "OSF", "RNF")],
+    )
+    with _scratch(spark, "sensors") as path:
+        sensors.write.option("header", True).csv(path)
+        good, rejects = sensor_rows_and_rejects(spark, path)
+        counted = short_names(good).groupBy(F.col("type").alias("variant")).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count("torque").alias("torques"),
+            F.sum("machine_failure").alias("failures"),
+            F.sum("udi").alias("id_sum"),
+        )
+        variant = F.split("line", ",")[2].alias("variant")
+        bad = rejects.groupBy(variant).agg(F.count(F.lit(1)).alias("rejected"))
+        return reports.settled(counted.join(bad, "variant", "full"))
+
+
+def _whole_records(spark, folder) -> DataFrame:
+    """Events as trial records with every field."""
+    return events_as_trials(spark, folder).withColumns(
+        {"fold_scores": F.array("mean_score"), "timestamp": F.current_timestamp()}
+    )
+
+
+def _event_lines(spark, folder) -> DataFrame:
+    """Events as lines of trial logs; five in a hundred aren't records."""
+    written = trial_logs.record_lines(_whole_records(spark, folder), "event_id")
+    value, case = F.col("value"), F.col("event_id") % 100
+    changed = (
+        F.when(case == 1, F.substring(value, F.lit(1), F.length(value) - 1))
+        .when(case == 2, F.replace(value, F.lit('"arm":'), F.lit('"Arm":')))
+        .when(case == 3, F.concat(F.lit('{"seed":1,"budget":2,'), F.substring(value, 2, 1_000_000)))
+        .when(case == 4, F.regexp_replace(value, '"trial_index":([0-9]+)', '"trial_index":"#$1"'))
+        .when(case == 5, F.lit(""))
+        .otherwise(value)
+    )
+    return written.select(changed.alias("value"), "log")
+
+
+def log_rejects(spark, folder):
+    """Lines of trial logs by what is wrong with them."""
+    lines = _event_lines(spark, folder)
+    with _scratch(spark, "lines") as path:
+        lines.write.partitionBy("log").text(path)
+        back = spark.read.schema("value string, log string").text(path)
+        good, rejects = trial_logs.records_and_rejects(back)
+        counted = good.groupBy("log", F.lit("none").alias("reason")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("trial_index").alias("index_sum")
+        )
+        bad = rejects.groupBy("log", "reason").agg(
+            F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("index_sum")
+        )
+        return reports.settled(counted.unionByName(bad))
+
+
+def committed_logs(spark, folder):
+    """Events appended in two batches, the first one twice, then the agent's log replaced."""
+    records = cut_lineage(_whole_records(spark, folder))
+    early = F.col("trial_index") < 100
+    with _scratch(spark, "logs") as path:
+        trial_logs.append_trials(records.where(early), path, "early")
+        trial_logs.append_trials(records.where(early), path, "early")
+        trial_logs.append_trials(records.where(~early), path, "late")
+        agent = records.where((F.col("log") == "agent") & (F.col("trial_index") % 2 == 0))
+        trial_logs.replace_trials(agent, path, "agent again")
+        back = trial_logs.read_log_folder(spark, path)
+        counted = back.groupBy("log").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("trial_index").alias("index_sum"),
+            F.max("mean_score").alias("best"),
+            F.sum(F.size("fold_scores").cast("long")).alias("scores"),
+            F.count(F.try_variant_get("params", "$.C", "double")).alias("with_c"),
+        )
+        return reports.settled(rounded(counted, 9, "best"))
+
+
+def log_kinds(spark, folder):
+    """Records by what their log holds."""
+    kind = F.coalesce(trial_logs.log_kind(F.col("log")), F.lit("other")).alias("kind")
+    return events_as_trials(spark, folder).groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+
+
+def summary_round_trip(spark, folder):
+    """The summary rows of all arms, written and read back."""
+    summary = trials.combine_entries(_arm_summary(spark, folder)).withColumns(
+        {
+            "best_params": F.parse_json(F.to_json(F.struct("arm"))),
+            "folds_present": F.lit(None).cast("long"),
+        }
+    )
+    with _scratch(spark, "summary") as path:
+        trial_logs.write_summary(summary, path)
+        back = trial_logs.read_summary(spark, path)
+        name = F.try_variant_get("best_params", "$.arm", "string").alias("named")
+        return reports.settled(
+            rounded(back.select("arm", name, "cv_mean", "holdout_ap", "folds_present"), 9, "cv_mean", "holdout_ap")
+        )
+
+
+def _odd_params(spark, folder) -> DataFrame:
+    """The agent's records with a field that no list names and one of another type."""
+    records = events_as_trials(spark, folder).where(F.col("log") == "agent")
+    text = F.to_json("params")
+    odd = F.concat(
+        F.lit('{"warm_start":'),
+        (F.col("k") % 3 == 0).cast("string"),
+        F.lit(',"max_depth":"deep","a note":null,'),
+        F.substring(F.replace(text, F.lit('"max_depth"'), F.lit('"depth"')), 2, 1_000_000),
+    )
+    return records.withColumn("params", F.parse_json(odd))
+
+
+def whole_params(spark, folder):
+    """The trail and the history line of records with odd parameters."""
+    odd = _odd_params(spark, folder)
+    trail = trials.decision_trail(odd).select(F.col("trial").alias("trial_index"), "estimator", "params")
+    return trail.join(trials.history_lines(odd).select("trial_index", "line"), "trial_index")
+
+
+def best_configurations(spark, folder):
+    """Of every parametric log the record to refit, with the fields that forbid it."""
+    records = events_as_trials(spark, folder)
+    spoiled = F.parse_json(
+        F.replace(F.to_json("params"), F.lit('"class_weight":"none"'), F.lit('"class_weight":"no"'))
+    )
+    wrong = F.col("log") == "optuna_seed1"
+    records = records.withColumn("params", F.when(wrong, spoiled).otherwise(F.col("params")))
+    chosen = reports.best_configurations(records)
+    return chosen.select("log", "trial_index", "mean_score", "params", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+def live_leaderboard(spark, folder):
+    """The leaderboard of a growing folder of logs, kept by a stream over its commits."""
+    records = cut_lineage(_whole_records(spark, folder))
+    early = F.col("trial_index") < 100
+    with _scratch(spark, "live") as path:
+        places = [f"{path}/{name}" for name in ("logs", "state", "board")]
+        trial_logs.append_trials(records.where(early), places[0], "early")
+        live.live_leaderboard(spark, *places)
+        trial_logs.append_trials(records.where(~early), places[0], "late")
+        return reports.settled(live.live_leaderboard(spark, *places))
+
+
+# Models. Fits have no SQL counterpart, but the sums of their first step and the rules' records have.
 
 
 def _evaluation(spark, folder) -> Evaluation:
     documents, names = _split_documents(spark, folder)
     flagged = documents.withColumn("flag", (F.col("n_words") > 400).cast("int"))
-    return Evaluation(flagged, names, "toxic", keep=["flag"])
+    return Evaluation(flagged, names, "toxic", keep=["flag"], row_id="doc_id")
+
+
+def logistic_first_step(spark, folder):
+    """The sums that every fold's first Newton step is solved from."""
+    with _evaluation(spark, folder) as evaluation:
+        sums = first_step(evaluation.table, evaluation.features, "toxic", evaluation.statistics)
+        return reports.settled(rounded(sums, 6, "value"))
+
+
+def rule_record(spark, folder):
+    """Fold scores of the rule as the score, one row each, beside their mean and deviation."""
+    documents, _ = _split_documents(spark, folder)
+    flagged = documents.withColumn("flag", (F.col("n_words") > 400).cast("int"))
+    records = reports.rule_records(flagged, "flag", "toxic")
+    each = records.select("arm", "mean_score", "std_score", F.posexplode("fold_scores").alias("fold", "ap"))
+    return rounded(each, 9, "ap", "mean_score", "std_score")
 
 
 def baseline_cv(spark, folder):
@@ -574,13 +765,11 @@ def candidate_eval(spark, folder):
 
 
 def report(spark, folder):
-    """Holdout summary of the default logistic model, the rule and every log."""
+    """Holdout summary of the default models, the rule and every log."""
     records = events_as_trials(spark, folder)
-    branch = typed_params(F.col("params"))["estimator"]
-    chosen = records.where((F.col("log") == "pysr") | (branch == "logistic"))
     with _evaluation(spark, folder) as evaluation:
-        _, summary = reports.report(evaluation, "flag", chosen, [default_logistic()])
-    return summary.select("arm", "cv_mean", "holdout_ap", "folds_present")
+        _, summary = reports.report(evaluation, "flag", records)
+        return reports.settled(summary.select("arm", "cv_mean", "holdout_ap", "folds_present"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -643,6 +832,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         config_candidates,
         config_validate,
         params_repair,
+        sensor_rows,
+        log_rejects,
+        committed_logs,
+        log_kinds,
+        summary_round_trip,
+        whole_params,
+        best_configurations,
+        live_leaderboard,
+        logistic_first_step,
+        rule_record,
         baseline_cv,
         holdout_eval,
         logistic_cv,

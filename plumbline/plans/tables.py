@@ -37,6 +37,8 @@ CANDIDATES = [
     Candidate("additive", "n_words + n_digits * 0.125 - n_commas", 7),
     Candidate("ratio", "n_chars / (n_lines + 11.0)", 5),
     Candidate("any_of", "logical_or(less(n_commas, 0.2), greater(n_lines, 1.5))", 7),
+    Candidate("spoken", "type_de - type_fr * 1.5 + n_words", 7),
+    Candidate("tongue", "logical_or(greater(type_en, 0.0), greater(type_es, 0.0)) * n_commas", 9),
     Candidate("all_of", "logical_and(less(n_chars, 2.0), greater(n_words, -1.5)) + n_digits", 9),
 ]
 

@@ -36,12 +36,22 @@ def work_folder(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/plumbline-work"
 
 
+def file_system(spark: SparkSession, path: str):
+    """A path as Hadoop sees it, and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    target, files = file_system(spark, path)
+    return files.exists(target)
+
+
 def remove_tables(spark: SparkSession, paths: list[str]) -> None:
     """Delete intermediate tables by the paths that ``written_table`` gave."""
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, files = file_system(spark, path)
+        files.delete(target, True)
 
 
 def written_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:

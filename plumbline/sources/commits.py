@@ -17,18 +17,14 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
-COMMIT = "sequence long, batch string, folder string, logs array<string>, replaces boolean"
-
+from plumbline.session import file_exists, file_system
 
-def _file_system(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+COMMIT = "sequence long, batch string, folder string, logs array<string>, replaces boolean"
 
 
 def commits(spark: SparkSession, folder: str) -> list[dict]:
     """The committed batches of a folder in their order."""
-    path, files = _file_system(spark, f"{folder}/commits")
-    if not files.exists(path):
+    if not file_exists(spark, f"{folder}/commits"):
         return []
     found = [r.asDict() for r in spark.read.schema(COMMIT).json(f"{folder}/commits").collect()]
     return sorted(found, key=lambda c: (c["sequence"], c["batch"]))
@@ -51,7 +47,7 @@ def write_batch(
         return False
     attempt = f"batch={quote(batch, safe='')}-{uuid.uuid4().hex}"
     rows.write.partitionBy(partition).text(f"{folder}/batches/{attempt}")
-    path, files = _file_system(spark, f"{folder}/batches/{attempt}")
+    path, files = file_system(spark, f"{folder}/batches/{attempt}")
     names = [s.getPath().getName() for s in files.listStatus(path) if s.isDirectory()]
     commit = {
         "sequence": max((c["sequence"] for c in earlier), default=0) + 1,
@@ -66,13 +62,13 @@ def write_batch(
 
 def _put(spark: SparkSession, folder: str, name: str, content: dict) -> None:
     """Create a file with its whole content at once: written under a hidden name, then renamed."""
-    hidden, files = _file_system(spark, f"{folder}/.{name}")
+    hidden, files = file_system(spark, f"{folder}/.{name}")
     out = files.create(hidden, False)
     try:
         out.write(bytearray((json.dumps(content) + "\n").encode()))
     finally:
         out.close()
-    if not files.rename(hidden, _file_system(spark, f"{folder}/{name}")[0]):
+    if not files.rename(hidden, file_system(spark, f"{folder}/{name}")[0]):
         raise OSError(f"cannot commit {folder}/{name}")
 
 
@@ -90,15 +86,18 @@ def live_folders(found: Sequence[dict]) -> list[str]:
     ]
 
 
-def read_batches(spark: SparkSession, folder: str, partition: str) -> DataFrame:
-    """``value`` and the partition column of all rows that are committed and not replaced."""
-    schema = f"value string, {partition} string"
-    live = live_folders(commits(spark, folder))
-    if not live:
-        return spark.createDataFrame([], schema)
+def read_folders(spark: SparkSession, folder: str, partition: str, paths: Sequence[str]) -> DataFrame:
+    """``value`` and the partition column of some partition folders."""
+    if not paths:
+        return spark.createDataFrame([], f"value string, {partition} string")
     base = f"{folder}/batches"
     rows = spark.read.schema(f"value string, batch string, {partition} string").option("basePath", base)
-    return rows.text([f"{base}/{path}" for path in live]).select("value", partition)
+    return rows.text([f"{base}/{path}" for path in paths]).select("value", partition)
+
+
+def read_batches(spark: SparkSession, folder: str, partition: str) -> DataFrame:
+    """``value`` and the partition column of all rows that are committed and not replaced."""
+    return read_folders(spark, folder, partition, live_folders(commits(spark, folder)))
 
 
 def compact(spark: SparkSession, folder: str, partition: str) -> bool:
@@ -110,7 +109,7 @@ def compact(spark: SparkSession, folder: str, partition: str) -> bool:
 
 def remove_hidden(spark: SparkSession, folder: str) -> int:
     """Delete partition folders that no reader sees any more; not while another writer is at work."""
-    path, files = _file_system(spark, f"{folder}/batches")
+    path, files = file_system(spark, f"{folder}/batches")
     live, removed = set(live_folders(commits(spark, folder))), 0
     for batch in files.listStatus(path) if files.exists(path) else ():
         for log in files.listStatus(batch.getPath()):

@@ -84,7 +84,9 @@ def log_lines(spark: SparkSession, pattern: str, baselines: bool = False) -> Dat
 
     The baseline log is left out unless asked for.
     """
-    stem = F.regexp_extract("_metadata.file_name", r"^(.*)\.jsonl?$", 1)
+    # Spark gives the name as part of a URI, where a plus stands for itself.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    stem = F.regexp_extract(name, r"^(.*)\.jsonl?$", 1)
     lines = spark.read.text(pattern).select("value", stem.alias("log"))
     return lines if baselines else lines.where(F.col("log") != BASELINE_LOG)
 
@@ -102,10 +104,11 @@ def read_log_folder(spark: SparkSession, folder: str) -> DataFrame:
     return records_only(commits.read_batches(spark, folder, "log"))
 
 
-def record_lines(trials: DataFrame) -> DataFrame:
-    """Records as lines of JSON, every field present."""
+def record_lines(trials: DataFrame, *keep: str) -> DataFrame:
+    """Records as lines of JSON, every field present, beside the log's name and other columns."""
     fields = F.struct(*FIELDS)
-    return trials.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"), "log")
+    line = F.to_json(fields, {"ignoreNullFields": "false"}).alias("value")
+    return trials.select(line, "log", *keep)
 
 
 def append_trials(trials: DataFrame, folder: str, batch: str | None = None) -> bool:

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.schemas import REQUIRED_COLUMNS, SHORT_NAMES
-from plumbline.sources import trial_logs
-from plumbline.sources.sensor_table import read_sensor_csv, short_names
+from plumbline.sources import commits, trial_logs
+from plumbline.sources.sensor_table import read_sensor_csv, sensor_rows_and_rejects, short_names
 
 HEADER = list(SHORT_NAMES)
 ROW = ["1", "M14860", "M", "298.1", "308.6", "1551", "42.8", "0", "0", "0", "0", "0", "0", "0"]
@@ -33,6 +33,63 @@ def test_missing_columns_are_listed_sorted(spark, tmp_path):
         read_sensor_csv(spark, path)
 
 
+def test_swapped_header_and_bad_rows(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", rows=[ROW, [*ROW[:5], "fast", *ROW[6:]], ROW[:9], [*ROW, "more"], [*ROW[:6], "", *ROW[7:]]])
+    good, rejects = sensor_rows_and_rejects(spark, str(tmp_path / "a.csv"))
+    assert sorted(r["Torque [Nm]"] or 0 for r in good.collect()) == [0, 42.8]
+    assert good.count() == 2 and rejects.count() == 3
+    assert {r["file"] for r in rejects.collect()} == {"a.csv"}
+    assert [r["line"] for r in rejects.where("line LIKE '%fast%'").collect()] == [",".join([*ROW[:5], "fast", *ROW[6:]])]
+    with pytest.raises(Exception, match="not a row of the table"):
+        read_sensor_csv(spark, str(tmp_path / "a.csv")).select("Type").collect()
+    folder = tmp_path / "two"
+    folder.mkdir()
+    write_csv(folder / "a.csv")
+    assert read_sensor_csv(spark, str(folder)).count() == 1
+    write_csv(folder / "b.csv", [HEADER[1], HEADER[0], *HEADER[2:]], [[ROW[1], ROW[0], *ROW[2:]]])
+    with pytest.raises(Exception, match="header"):
+        read_sensor_csv(spark, str(folder)).collect()
+
+
+def test_lines_that_are_no_records(spark, tmp_path):
+    whole = record(0, mean_score=float("nan"))
+    absent = {k: v for k, v in record(1).items() if k not in ("arm", "timestamp")}
+    lines = [json.dumps(r) for r in (whole, absent, record(2, budget=3), record("two"), record(4, payload=None))]
+    lines += [json.dumps(record(5))[:-9], "", "[1]", json.dumps({k: v for k, v in record(8).items() if k != "payload"})]
+    (tmp_path / "agent.jsonl").write_text("\n".join(lines) + "\n")
+    found = trial_logs.log_lines(spark, f"{tmp_path}/*.jsonl")
+    good, rejects = trial_logs.records_and_rejects(found)
+    assert sorted(r["trial_index"] for r in good.select("trial_index").collect()) == [0, 4, 8]
+    assert good.where("isnan(mean_score)").count() == 1 and good.where("payload IS NULL").count() == 0
+    assert sorted(r["reason"] for r in rejects.collect()) == sorted([
+        "missing: arm, timestamp", "unknown: budget", "value of another type", *["not an object"] * 3,
+    ])
+    with pytest.raises(Exception, match="in "):
+        trial_logs.read_log_files(spark, f"{tmp_path}/*.jsonl").select("arm").collect()
+
+
+def test_a_batch_is_seen_once_or_not_at_all(spark, tmp_path):
+    write_log(tmp_path, "agent", [record(0), record(1)])
+    write_log(tmp_path, "a=b +c%", [record(7)])
+    trials = trial_logs.read_log_files(spark, f"{tmp_path}/*.jsonl")
+    folder = str(tmp_path / "logs")
+    assert trial_logs.read_log_folder(spark, folder).count() == 0
+    assert trial_logs.append_trials(trials, folder, "first/1")
+    assert not trial_logs.append_trials(trials, folder, "first/1")
+    failing = trials.withColumn("arm", F.when(F.col("trial_index") > 0, F.raise_error(F.lit("no"))).otherwise("x"))
+    with pytest.raises(Exception, match="no"):
+        trial_logs.append_trials(failing, folder, "second")
+    back = trial_logs.read_log_folder(spark, folder)
+    assert sorted(tuple(r) for r in back.select("log", "trial_index").collect()) == [("a=b +c%", 7), ("agent", 0), ("agent", 1)]
+    assert trial_logs.append_trials(trials.where("trial_index = 1"), folder, "second")
+    assert trial_logs.append_trials(trials.where("false"), folder)
+    assert trial_logs.read_log_folder(spark, folder).count() == 4
+    assert commits.compact(spark, folder, "log") and not commits.compact(spark, folder + "x", "log")
+    before = sorted(map(str, trial_logs.read_log_folder(spark, folder).select("log", "trial_index").collect()))
+    assert len(before) == 4 and commits.remove_hidden(spark, folder) >= 3
+    assert sorted(map(str, trial_logs.read_log_folder(spark, folder).select("log", "trial_index").collect())) == before
+
+
 def record(index=3, **changes):
     return {
         "arm": "optuna",

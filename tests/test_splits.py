@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.splits import (
+    _held_before,
+    _times,
     assign_splits,
     stratified_folds,
     stratified_holdout,
@@ -86,3 +88,21 @@ def test_golden_folds_of_the_label_table(spark):
 def test_repeated_ids_fail(spark, table):
     with pytest.raises(Exception, match="not unique"):
         stratified_folds(table.union(table.where("id = 7")), "id", "target").collect()
+    both = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "id long, target int")
+    for split in (stratified_holdout, stratified_folds, assign_splits):
+        with pytest.raises(Exception, match="not unique"):
+            split(both, "id", "target").collect()
+    with pytest.raises(Exception, match="missing"):
+        stratified_sample(spark.createDataFrame([(1, 0), (None, 1)], "id long, target int"), "id", "target", 1).collect()
+
+
+def test_shares_of_large_row_numbers_are_exact(spark):
+    numbers = spark.createDataFrame([(10**12 - 1,), (10**12,), (7,)], "_g long")
+    total, size = 10**12 + 3, 10**7
+    row = numbers.select(
+        "_g",
+        (_times(F.col("_g"), size) % total < size).alias("taken"),
+        _held_before(2, 7).alias("before"),
+    ).collect()
+    for r in row:
+        assert r["taken"] == (r["_g"] * size % total < size) and r["before"] == r["_g"] * 2 // 7
