@@ -6,11 +6,14 @@ import html
 import re
 from dataclasses import dataclass, field
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
-    re.DOTALL,
-)
-ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+#: The attributes of most tags; what doesn't fit is read by ``attributes``.
+USUAL = re.compile(r"""((?>\s+[^\s/>="'<]+(?>=(?>"[^"<>]*"|'[^'<>]*'|[^\s"'<>=`]+))?)*+)\s*/?>""")
+ATTRIBUTE = re.compile(r"""([^\s=]+)(?:=(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+GAP = re.compile(r"[\s/]*")
+NAME = re.compile(r"=?[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
 SPACE = re.compile(r"[ \t-\r]+")
 TOKEN = re.compile(r"[a-z]+")
 
@@ -44,6 +47,46 @@ class Page:
         return len(self.tags) - 1
 
 
+def attributes(source: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag from the end of its name on, and the place after it, -1 if the page ends before.
+
+    A quote opens a value only right after an equals sign; elsewhere it is part of a name or value.
+    """
+    values: dict[str, str] = {}
+    while True:
+        at = GAP.match(source, at).end()
+        if at >= len(source):
+            return values, -1
+        if source[at] == ">":
+            return values, at + 1
+        name = NAME.match(source, at)
+        at, value = name.end(), ""
+        equals = EQUALS.match(source, at)
+        if equals:
+            at = equals.end()
+            quote = source[at : at + 1]
+            if quote in ('"', "'") and quote:
+                close = source.find(quote, at + 1)
+                if close < 0:
+                    return values, -1
+                value, at = source[at + 1 : close], close + 1
+            else:
+                found = UNQUOTED.match(source, at)
+                value, at = found[0], found.end()
+        values.setdefault(name[0].lower(), value)
+
+
+def tag_rest(source: str, at: int) -> tuple[dict[str, str], int]:
+    """As ``attributes``, by one pattern for the usual kind."""
+    usual = USUAL.match(source, at)
+    if not usual:
+        return attributes(source, at)
+    values: dict[str, str] = {}
+    for a, b, c, d in ATTRIBUTE.findall(usual[1]) if usual[1] else ():
+        values.setdefault(a.lower(), b or c or d or "")
+    return values, usual.end()
+
+
 def parse(source: str) -> Page:
     """The page's elements and block-level runs of text; inline elements belong to their run."""
     page = Page()
@@ -69,16 +112,22 @@ def parse(source: str) -> Page:
                 linked += len(piece)
 
     end = len(source)
+    unclosed: set[str] = set()  # unread elements without an end tag from here on
     while at < end:
-        found = MARKUP.search(source, at)
+        found = OPENING.search(source, at)
         if not found:
             hear(source[at:])
             break
         hear(source[at : found.start()])
-        at = max(found.end(), found.start() + 1)
-        tag = (found[2] or "").lower()
-        if not tag or (at >= end and not found[0].endswith(">")):
-            continue  # a comment, a declaration, or a tag that the page's end cuts off
+        if not found[2]:  # a comment or a declaration, up to the page's end if nothing closes it
+            mark = "-->" if found[0] == "<!--" else ">"
+            close = source.find(mark, found.start() + 2)
+            at = close + len(mark) if close >= 0 else end
+            continue
+        tag = found[2].lower()
+        values, at = tag_rest(source, found.end())
+        if at < 0:
+            break  # a tag that the page's end cuts off
         if found[1]:
             if tag in INLINE:
                 if tag in open_inline:
@@ -91,10 +140,15 @@ def parse(source: str) -> Page:
                     open_inline.clear()
                     break
             continue
+        if tag == "head":
+            continue  # its end tag may be left out; what it holds is unread element by element
         if tag in UNREAD:
-            close = re.compile(f"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(source, at)
-            if tag != "head" or close:
-                at = close.end() if close else (end if tag in RAW else at)
+            close = None if tag in unclosed else re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(source, at)
+            if close:
+                at = close.end()
+            else:
+                unclosed.add(tag)
+                at = end if tag in RAW else at
             continue
         if tag in INLINE:
             if tag not in VOID:
@@ -108,7 +162,6 @@ def parse(source: str) -> Page:
             closes = CLOSED_BY.get(tag, frozenset()) | {"p"}
             while len(stack) > 1 and page.tags[stack[-1]] in closes:
                 stack.pop()
-        values = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(found[3])} if found[3].strip() else {}
         words = TOKEN.findall(" ".join(values[n] for n in NAMES if n in values).lower()) if values else ()
         hidden = ("hidden",) if "hidden" in values or "display:none" in values.get("style", "").replace(" ", "") else ()
         stack.append(page.add(tag, stack[-1], (*words, *hidden), mark=values.get("data-mark")))
