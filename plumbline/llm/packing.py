@@ -20,6 +20,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -42,7 +43,8 @@ WINDOW = 2048
 GRAIN = 64
 END = 1
 DEPTH = 4
-#: The vocabulary of byte_bpe_50k.json as ranks; both give the same ids, see the tests.
+#: The tokenizer, and its vocabulary as ranks: between its added tokens both give the same ids.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PARTS_PER_BLOCK = 200_000
 #: The library's pattern fails on about a million white-space characters in a row.
@@ -51,26 +53,39 @@ SPACE_RUN = re.compile(r"\s{%d}" % LONG_SPACE)
 
 
 class TokenEncoder:
-    """Texts to packed ids by the library; the merge replay takes texts on which its pattern runs out of stack."""
+    """Texts to packed ids by the library; the merge replay takes texts on which its pattern runs out of stack.
 
-    def __init__(self, path: str):
+    The tokenizer's added tokens are found in a text before anything else and cut it, as its own library does.
+    """
+
+    def __init__(self, path: str, tokenizer: str):
         self.path = path
         self.library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+        with open(tokenizer, encoding="utf-8") as text:
+            self.added = {t["content"]: t["id"] for t in json.load(text)["added_tokens"]}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.added else None
 
     def encode(self, text: str) -> bytes:
+        if not self.cut or not self.cut.search(text):
+            return self.ordinary(text)
+        parts = self.cut.split(text)  # every second one is an added token
+        return b"".join(self.added[p].to_bytes(4, "little") if i % 2 else self.ordinary(p) for i, p in enumerate(parts))
+
+    def ordinary(self, text: str) -> bytes:
         if len(text) >= LONG_SPACE and SPACE_RUN.search(text):
             return bpe.replay_encoder(self.path).encode([text])[0]
         return np.array(self.library.encode_ordinary(text), "<u4").tobytes()
 
 
-_ENCODERS: dict[str, TokenEncoder] = {}
+_ENCODERS: dict[tuple[str, str], TokenEncoder] = {}
 
 
-def token_encoder(path: str) -> TokenEncoder:
-    """This worker's encoder for a rank file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TokenEncoder(path)
-    return _ENCODERS[path]
+def token_encoder(path: str, tokenizer: str = TOKENIZER) -> TokenEncoder:
+    """This worker's encoder for a rank file and the tokenizer it belongs to."""
+    if (path, tokenizer) not in _ENCODERS:
+        _ENCODERS[path, tokenizer] = TokenEncoder(path, tokenizer)
+    return _ENCODERS[path, tokenizer]
 
 
 def cuts(n: int, window: int, grain: int) -> list[tuple[int, int]]:
