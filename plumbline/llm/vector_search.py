@@ -282,7 +282,8 @@ def search(asked: DataFrame, stored: DataFrame, index, table: Table, k: int, sam
     while first < len(index.parts):
         reached = best.filter(F.col("rank") == k).groupBy("chunk").agg(F.collect_list(F.struct("pos", "score")).alias("kth"))
         needs = asked.join(reached, "chunk", "left").mapInArrow(planned(shared, table.space, first, first + step), NEED.format(kind=table.kind))
-        found = needs.join(stored, "part").mapInArrow(scanned(k, same_label), FOUND)
+        # The estimate of what a plan needs is that of its queries, far too low to choose a broadcast by.
+        found = needs.hint("merge").join(stored, "part").mapInArrow(scanned(k, same_label), FOUND)
         merged = found.union(best.drop("rank")).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
         best = cut_lineage(merged, "best")
         first, step = first + step, step * STEP
