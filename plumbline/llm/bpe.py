@@ -3,11 +3,11 @@
 Each task takes its rows in slices of a bounded size. Of a slice, every distinct word goes once
 through the replay: all words lie in one chain of tokens, an inverted index holds for each merge
 the positions where it applies, and merges are taken in rank order. A merge touches its own two
-neighbours and nothing else. Word results are kept for later slices up to a fixed number.
+neighbours and nothing else. Results of short units are kept for later slices up to a number of bytes.
 
-Text is cut into units at single spaces, where the pattern cuts anyway: before a space that has
-something other than white space on one of its sides. A text with a space inside a longer run
-of white space is one unit. Units are then cut by the pattern.
+Text is cut into units where the pattern cuts anyway: before a space that follows something other
+than white space, and before single spaces in general. Units are then cut by the pattern. Encoding
+and decoding share one pass over the rows where both are wanted.
 
 Defined results: a missing text is empty and has no tokens. Rows are independent, so ties and
 repeated rows need no rule. Ids are packed as little-endian unsigned 32-bit numbers, so a long
@@ -32,9 +32,12 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import slices, table, texts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-SLICE_BYTES = 8 << 20
-KEPT_UNITS = 300_000
+SLICE_BYTES = 2 << 20
+KEPT_BYTES = 24 << 20  # of kept units and their ids
+LONGEST_KEPT = 64  # characters of a kept unit
+UNIT_BYTES = 160  # what a kept unit takes besides its characters and ids
 INSIDE_SPACES = re.compile(r"\s (?:\s|\Z)")
+AFTER_WORD = re.compile(r"(?<=\S) ")
 NONE = -1
 END_MARKS = (".", ",", "!", "?", ";", ":")
 
@@ -45,8 +48,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def units(text: str) -> list[str]:
-    """The text cut before single spaces; joined by one space they give the text."""
-    return [text] if INSIDE_SPACES.search(text) else text.split(" ")
+    """The text cut before spaces; joined by one space the units give the text.
+
+    With a space inside a longer run of white space only the spaces after a word are cuts: the
+    rest of the run stays with what follows it, so that the pattern sees the whole run.
+    """
+    return AFTER_WORD.split(text) if INSIDE_SPACES.search(text) else text.split(" ")
 
 
 class MergeReplay:
@@ -157,6 +164,7 @@ class Encoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, batch: list[str]) -> list[bytes]:
         cut = [units(text) for text in batch]
@@ -164,12 +172,19 @@ class Encoder:
         tails = set(chain.from_iterable(x[1:] for x in cut))
         for known, needed, before in ((self.first, heads, ""), (self.later, tails, " ")):
             new = needed - known.keys()
-            if len(known) + len(new) > KEPT_UNITS:  # a slice's own units always stay, whatever their number
-                used = {unit: known[unit] for unit in needed - new}
-                known.clear()
-                known.update(used)
             self.learn(known, new, before)
-        return [self.first[x[0]] + b"".join(map(self.later.__getitem__, x[1:])) for x in cut]
+            self.held += sum(len(unit) + len(known[unit]) + UNIT_BYTES for unit in new)
+        out = [self.first[x[0]] + b"".join(map(self.later.__getitem__, x[1:])) for x in cut]
+        if self.held > KEPT_BYTES:
+            self.first.clear()
+            self.later.clear()
+            self.held = 0
+        else:
+            for known, needed in ((self.first, heads), (self.later, tails)):
+                for unit in needed:
+                    if len(unit) > LONGEST_KEPT:
+                        self.held -= len(unit) + len(known.pop(unit)) + UNIT_BYTES
+        return out
 
     def learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
         """Encode units that haven't been seen, each pattern match of them as a word of its own."""
@@ -198,32 +213,39 @@ def replay_encoder(path: str) -> Encoder:
     return _ENCODERS["replay", path]
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = RANKS) -> DataFrame:
-    """The key, ``n_tokens`` and the packed ``ids`` of every row."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = RANKS, decoded: bool = False) -> DataFrame:
+    """The key, ``n_tokens`` and the packed ``ids`` of every row; if wanted, also the bytes that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = replay_encoder(ranks)
         for batch in slices(batches, "text", SLICE_BYTES):
             ids = encoder.encode(texts(batch))
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], ["key", "n_tokens", "ids"])
+            columns, names = [batch.column(0), counts, pa.array(ids, pa.binary())], ["key", "n_tokens", "ids"]
+            if decoded:
+                columns, names = [*columns, pa.array(decoded_bytes(ids, ranks), pa.binary())], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, n_tokens long, ids binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded).withColumnRenamed("key", key)
+
+
+def decoded_bytes(packed: list[bytes | None], ranks: str) -> list[bytes]:
+    """What packed ids stand for."""
+    if ranks not in _VOCABULARIES:
+        known = read_ranks(ranks)
+        _VOCABULARIES[ranks] = sorted(known, key=known.get)
+    take = _VOCABULARIES[ranks].__getitem__
+    return [b"".join(map(take, np.frombuffer(x or b"", "<u4").tolist())) for x in packed]
 
 
 def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", ranks: str = RANKS) -> DataFrame:
     """The columns in ``keep`` and the bytes that the packed ids stand for, as ``decoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks not in _VOCABULARIES:
-            known = read_ranks(ranks)
-            _VOCABULARIES[ranks] = sorted(known, key=known.get)
-        vocabulary = _VOCABULARIES[ranks]
         for batch in slices(batches, "_ids", SLICE_BYTES):
-            packed = batch.column(batch.num_columns - 1).to_pylist()
-            decoded = [b"".join(map(vocabulary.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in packed]
+            decoded = decoded_bytes(batch.column(batch.num_columns - 1).to_pylist(), ranks)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(decoded, pa.binary())], [*batch.schema.names[:-1], "decoded"])
 
     rows = encoded.select(*keep, F.col(ids).alias("_ids"))
@@ -233,6 +255,5 @@ def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", ranks: str = R
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
-    encoded = encode(table(spark, sf_dir, "documents")).withColumn("ids_sha256", F.sha2("ids", 256))
-    decoded = decode(encoded, ["doc_id", "n_tokens", "ids_sha256"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(table(spark, sf_dir, "documents"), decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
