@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ast
 import operator
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,17 +19,23 @@ _ARITHMETIC = {
     ast.Mult: operator.mul,
     ast.Div: F.try_divide,
 }
-_FUNCTIONS = {
-    "max": F.greatest,
-    "min": F.least,
-    "greater": lambda a, b: (a > b).cast("double"),
-    "less": lambda a, b: (a < b).cast("double"),
-    "logical_or": F.greatest,
-    "logical_and": F.least,
+#: Functions that expressions may call: the number of arguments and what makes the Column. Pass
+#: a mapping of your own, for example ``FUNCTIONS | {"square": (1, lambda a: a * a)}``.
+FUNCTIONS: dict[str, tuple[int, Callable[..., Column]]] = {
+    "max": (2, F.greatest),
+    "min": (2, F.least),
+    "greater": (2, lambda a, b: (a > b).cast("double")),
+    "less": (2, lambda a, b: (a < b).cast("double")),
+    "logical_or": (2, F.greatest),
+    "logical_and": (2, F.least),
 }
 
 
-def compile_expression(text: str, variables: Mapping[str, Column]) -> Column:
+def compile_expression(
+    text: str,
+    variables: Mapping[str, Column],
+    functions: Mapping[str, tuple[int, Callable[..., Column]]] = FUNCTIONS,
+) -> Column:
     """Column of an expression, NULL where a used variable is missing or a divisor is zero.
 
     ``greatest`` and ``least`` skip NULL, so validity is settled by one test in front rather
@@ -57,11 +63,11 @@ def compile_expression(text: str, variables: Mapping[str, Column]) -> Column:
         if (
             isinstance(node, ast.Call)
             and isinstance(node.func, ast.Name)
-            and node.func.id in _FUNCTIONS
-            and len(node.args) == 2
+            and node.func.id in functions
+            and len(node.args) == functions[node.func.id][0]
             and not node.keywords
         ):
-            return _FUNCTIONS[node.func.id](*[build(a) for a in node.args])
+            return functions[node.func.id][1](*[build(a) for a in node.args])
         raise ValueError(f"not allowed in an expression: {ast.unparse(node)!r} in {text!r}")
 
     try:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.expressions import compile_expression, squared_loss
+from plumbline.functions.expressions import FUNCTIONS, compile_expression, squared_loss
 from plumbline.operators.ranking import average_precision
 from plumbline.operators.scaling import fit_statistics, scale, views, with_fit_weights
 from plumbline.sources.trial_logs import EXPRESSION_LOG
@@ -46,31 +46,39 @@ def score_candidates(
     features: Sequence[str],
     target: str,
     folds: int = 5,
+    functions: Mapping[str, tuple[int, Callable[..., Column]]] = FUNCTIONS,
 ) -> DataFrame:
     """Average precision of every candidate on its validation fold and on the holdout.
 
-    Features are standardised with the statistics of the fold's fit part in both cases.
+    Features are standardised with the statistics of the fold's fit part in both cases. Rows are
+    read once: a search row goes with its own fold, a holdout row with every fold. The scores
+    of a block are columns of one projection, in which what expressions share is computed once.
     Returns ``candidate, fold, ap, holdout_ap``.
     """
     statistics = fit_statistics(df, features, target, folds)
-    rows = views(df, "validation", folds).unionByName(views(df, "holdout", folds))
+    every = F.array(*[F.lit(k) for k in range(folds)])
+    own = F.when(F.col("fold").isNull(), every).otherwise(F.array("fold"))
+    rows = df.withColumn("scaler_fold", F.explode(own))
     scaled = scale(rows, statistics, features).select(
         "scaler_fold", F.col("fold").isNull().alias("held"), F.col(target).alias("_y"), *features
     )
     variables = {x: F.col(x) for x in features}
 
     def long_form(block: Sequence[Candidate]) -> DataFrame:
+        values = [
+            compile_expression(c.expression, variables, functions).alias(f"_s{i}")
+            for i, c in enumerate(block)
+        ]
         scores = [
             F.struct(
                 F.lit(c.name).alias("candidate"),
-                compile_expression(c.expression, variables).alias("score"),
+                F.col(f"_s{i}").alias("score"),
                 _wanted(c).alias("wanted"),
             )
-            for c in block
+            for i, c in enumerate(block)
         ]
-        return scaled.select(
-            "scaler_fold", "held", "_y", F.inline(F.array(*scores))
-        ).where("wanted")
+        wide = scaled.select("scaler_fold", "held", "_y", *values)
+        return wide.select("scaler_fold", "held", "_y", F.inline(F.array(*scores))).where("wanted")
 
     scored = reduce(DataFrame.unionByName, [long_form(b) for b in _blocks(candidates)])
     by_part = average_precision(scored, "_y", "score", ["candidate", "scaler_fold", "held"])
@@ -87,6 +95,7 @@ def candidate_losses(
     target: str,
     folds: int = 5,
     loss: Callable[[Column, Column], Column] = squared_loss,
+    functions: Mapping[str, tuple[int, Callable[..., Column]]] = FUNCTIONS,
 ) -> DataFrame:
     """Class-weighted mean loss of every candidate over the fit part of each fold.
 
@@ -101,7 +110,7 @@ def candidate_losses(
     def block_losses(block: Sequence[Candidate]) -> DataFrame:
         sums = []
         for i, c in enumerate(block):
-            value = loss(compile_expression(c.expression, variables), label)
+            value = loss(compile_expression(c.expression, variables, functions), label)
             weight = F.when(value.isNotNull() & _wanted(c), F.col("weight"))
             sums.append(F.try_divide(F.sum(weight * value), F.sum(weight)).alias(f"_l{i}"))
         entries = [
@@ -131,14 +140,15 @@ def candidate_trials(
     folds: int = 5,
     loss: Callable[[Column, Column], Column] = squared_loss,
     log: str = EXPRESSION_LOG,
+    functions: Mapping[str, tuple[int, Callable[..., Column]]] = FUNCTIONS,
 ) -> DataFrame:
     """One trial record per candidate and fold, counted by fold and then complexity.
 
     The score is the validation fold's; training loss and holdout score are in the payload.
     Counting in one window is safe: rows are no more than the given list times the folds.
     """
-    scores = score_candidates(df, candidates, features, target, folds)
-    losses = candidate_losses(df, candidates, features, target, folds, loss)
+    scores = score_candidates(df, candidates, features, target, folds, functions)
+    losses = candidate_losses(df, candidates, features, target, folds, loss, functions)
     texts = df.sparkSession.createDataFrame(
         [(c.name, c.complexity, c.expression) for c in candidates],
         "candidate string, complexity int, expression string",

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 MAX_CATEGORIES = 1000
 
 
-def category_values(df: DataFrame, category: str) -> list[str]:
-    """Sorted distinct values of a column, refused beyond ``MAX_CATEGORIES``."""
+def category_values(df: DataFrame, category: str, most: int = MAX_CATEGORIES) -> list[str]:
+    """Sorted distinct values of a column, refused beyond ``most``: each becomes a column."""
     found = (
         df.select(category)
         .where(F.col(category).isNotNull())
         .distinct()
-        .limit(MAX_CATEGORIES + 1)
+        .limit(most + 1)
         .collect()
     )
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{category} has more than {MAX_CATEGORIES} values")
+    if len(found) > most:
+        raise ValueError(f"{category} has more than {most} values")
     return sorted(row[0] for row in found)
 
 

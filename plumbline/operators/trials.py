@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import display, known
 from plumbline.functions.params import param, params_text, repaired, usage
 from plumbline.operators.running import running
+from plumbline.session import cut_lineage
 
 # Records of one log handled by one task in running totals. Indices are dense, so blocks of
 # them are balanced without sampling.
@@ -32,7 +33,8 @@ def _first_best(score: Column) -> Column:
 
 
 def _by_index(trials: DataFrame, block: int, **running_args) -> DataFrame:
-    blocked = trials.withColumn("_block", F.floor(F.col("trial_index") / block))
+    """Running values in the order of the index; the columns given are written and read from there."""
+    blocked = cut_lineage(trials.withColumn("_block", F.floor(F.col("trial_index") / block)), "trials")
     return running(
         blocked, keys=["log"], order=["trial_index"], bucket=["_block"], **running_args
     ).drop("_block")
@@ -74,8 +76,13 @@ def time_lines(best: DataFrame, prefix: str, others: Sequence[str]) -> DataFrame
 
 
 def numbered(records: DataFrame, order: Sequence[str], keys: Sequence[str] = ("log",)) -> DataFrame:
-    """Add ``trial_index``, counting each log's records from zero in the given order."""
-    counted = running(records, keys=keys, order=order, sums={"trial_index": F.lit(1)})
+    """Add ``trial_index``, counting each log's records from zero in the given order.
+
+    The records are written once, so that what they come from is read once.
+    """
+    counted = running(
+        cut_lineage(records, "records"), keys=keys, order=order, sums={"trial_index": F.lit(1)}
+    )
     return counted.withColumn("trial_index", F.col("trial_index") - 1)
 
 
@@ -112,7 +119,12 @@ def spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def seed_band(best: DataFrame, prefix: str) -> DataFrame:
     """Median, lowest and highest best-so-far score per index over the seed logs."""
     seeds = best.where(F.col("log").startswith(prefix))
-    return spread(seeds.select("trial_index", "best_score"), ["trial_index"], "best_score")
+    # One row for a seed and index: an index never has more rows than there are seed logs.
+    return seeds.groupBy("trial_index").agg(
+        F.median("best_score").alias("median"),
+        F.min("best_score").alias("low"),
+        F.max("best_score").alias("high"),
+    )
 
 
 def comparison_lines(best: DataFrame, prefix: str, others: Sequence[str]) -> DataFrame:

@@ -561,4 +561,13 @@ ORACLES: dict[str, str] = {
                round(avg(ap) OVER (), 9) AS mean_score, round(stddev_pop(ap) OVER (), 9) AS std_score
         FROM ({_ap(f"SELECT fold, (n_words > 400)::INTEGER AS score, toxic AS y FROM ({_SEARCH})",
                    ["fold"], 15)})""",
+    "rule_holdout_entry": f"""
+        SELECT 'ground_truth_rules' AS arm, ap AS holdout_ap, '{{"expression":"hdf | pwf | osf"}}' AS best_params
+        FROM ({_ap(f"SELECT (n_words > 400)::INTEGER AS score, toxic AS y "
+                   f"FROM ({_SPLIT_DOCUMENTS}) WHERE is_holdout", [])})""",
+    "environment_round_trip": " UNION ALL ".join(
+        f"SELECT 1::INTEGER AS threads, '2026-01-02 03:04' AS at, '{n}' AS name, "
+        f"count(*)::VARCHAR AS rows FROM {n}"
+        for n in ("documents", "events", "labels")
+    ),
 }

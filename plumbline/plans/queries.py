@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -666,6 +667,24 @@ def _odd_params(spark, folder) -> DataFrame:
     return records.withColumn("params", F.parse_json(odd))
 
 
+def environment_round_trip(spark, folder):
+    """An environment record whose packages are the rows of some tables, written and read back."""
+    counts = [
+        table(spark, folder, n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).cast("string").alias("rows"))
+        for n in ("documents", "events", "labels")
+    ]
+    packages = F.map_from_entries(F.collect_list(F.struct("name", "rows")))
+    record = reduce(DataFrame.unionByName, counts).agg(packages.alias("packages")).select(
+        F.lit("2026-01-02T03:04:05Z").alias("timestamp"), "packages", F.lit(1).alias("threads")
+    )
+    with _scratch(spark, "environment") as path:
+        record.coalesce(1).write.json(path)
+        back = trial_logs.read_environment(spark, path)
+        return reports.settled(
+            back.select("threads", F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("at"), F.explode("packages").alias("name", "rows"))
+        )
+
+
 def whole_params(spark, folder):
     """The trail and the history line of records with odd parameters."""
     odd = _odd_params(spark, folder)
@@ -722,6 +741,13 @@ def rule_record(spark, folder):
     return rounded(each, 9, "ap", "mean_score", "std_score")
 
 
+def rule_holdout_entry(spark, folder):
+    """The rule's summary row: its score on the holdout, next to those of no model."""
+    with _evaluation(spark, folder) as evaluation:
+        rows = reports.rule_entry(evaluation, "flag")
+        return reports.settled(rounded(rows.select("arm", "holdout_ap", F.to_json("best_params").alias("best_params")), 9, "holdout_ap"))
+
+
 def baseline_cv(spark, folder):
     with _evaluation(spark, folder) as evaluation:
         return reports.baseline_records(evaluation, "flag").select(
@@ -837,11 +863,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         committed_logs,
         log_kinds,
         summary_round_trip,
+        environment_round_trip,
         whole_params,
         best_configurations,
         live_leaderboard,
         logistic_first_step,
         rule_record,
+        rule_holdout_entry,
         baseline_cv,
         holdout_eval,
         logistic_cv,

@@ -94,24 +94,25 @@ def baseline_records(
     )
 
 
+def rule_entry(evaluation: Evaluation, flag: str) -> DataFrame:
+    """The holdout row of the rules."""
+    held = evaluation.table.where("is_holdout")
+    return flag_average_precision(held, evaluation.target, flag).select(
+        F.lit(RULES_ARM).alias("arm"),
+        F.col("ap").alias("holdout_ap"),
+        F.parse_json(_json(expression=RULES_EXPRESSION)).alias("best_params"),
+    )
+
+
 def baseline_entries(
     evaluation: Evaluation, flag: str, models: Sequence[Model] | None = None
 ) -> DataFrame:
     """Holdout rows of the default models and the rules; they have no ``cv_mean``."""
     models = models or [default_logistic(), default_forest()]
-    fitted = evaluation.holdout_ap(models).withColumn("best_params", _json(estimator="default"))
-    held = evaluation.table.where("is_holdout")
-    rules = settled(
-        flag_average_precision(held, evaluation.target, flag).select(
-            F.lit(RULES_ARM).alias("arm"),
-            F.col("ap").alias("holdout_ap"),
-            _json(expression=RULES_EXPRESSION).alias("best_params"),
-        )
-    )
-    return (
-        fitted.unionByName(rules)
-        .withColumn("cv_mean", F.lit(None).cast("double"))
-        .withColumn("best_params", F.parse_json("best_params"))
+    params = F.parse_json(_json(estimator="default"))
+    fitted = evaluation.holdout_ap(models).withColumn("best_params", params)
+    return fitted.unionByName(settled(rule_entry(evaluation, flag))).withColumn(
+        "cv_mean", F.lit(None).cast("double")
     )
 
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions.expressions import compile_expression, logistic_loss, squared_loss
+from plumbline.functions.expressions import FUNCTIONS, compile_expression, logistic_loss, squared_loss
 from plumbline.operators.candidates import (
     BLOCK,
     Candidate,
@@ -20,6 +20,16 @@ def value(spark, text, **variables):
     return df.select(compile_expression(text, {k: F.col(k) for k in variables}).alias("v")).first()["v"]
 
 
+def test_functions_of_ones_own(spark):
+    own = FUNCTIONS | {"square": (1, lambda a: a * a), "pick": (3, lambda a, b, c: F.when(a > 0, b).otherwise(c))}
+    df = spark.range(1).select(F.lit(-3.0).alias("x"))
+    made = compile_expression("pick(x, 1.0, square(x)) + max(x, 0.5)", {"x": F.col("x")}, own)
+    assert df.select(made.alias("v")).first()["v"] == 9.5
+    for text in ("square(x)", "max(x)", "pick(x, x)"):
+        with pytest.raises(ValueError):
+            compile_expression(text, {"x": F.col("x")}, FUNCTIONS if text == "square(x)" else own)
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [
