@@ -1,13 +1,15 @@
 """A linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A feature is the presence of an n-gram bucket in a text. The counts of every bucket, for each
-label, are summed over all labelled training rows; they give the log-count ratio that scales
-the bucket. Buckets that say most about the label, by the likelihood-ratio statistic, are kept,
-up to a fixed number. Logistic regression on the scaled features of a bounded sample of the
-labelled rows then gives the weights. Whole texts are scored; the model has one number a bucket.
+label, are summed over the labelled training rows of up to ``KEYS_PER_LABEL`` keys; they give the
+log-count ratio that scales the bucket. Buckets that say most about the label, by the
+likelihood-ratio statistic, are kept, up to a fixed number. Logistic regression on the scaled
+features of a smaller sample then gives the weights. Both samples are the keys with the smallest
+hashes, few enough to be sent to every task, so no text is shuffled. Whole texts are scored; the
+model has one number a bucket.
 
 Defined results: a missing text is empty and scores like one. Label rows without a label or key
-are not used; a key that is labelled more than once counts once a label row, and once a label in the sample. Without a row of
+are not used; a key that is labelled more than once counts once a label. Without a row of
 either label every score is the share of toxic rows, or 0 without any. Other columns are ignored.
 """
 
@@ -27,7 +29,8 @@ from plumbline.llm.ngrams import Grams
 ORDERS = (3, 4, 5)
 BITS = 19
 SLICE_BYTES = 4 << 20
-#: Documents of each label that the regression is fitted on, distinct keys with the smallest hash.
+#: Keys of each label whose texts are counted, and those of them that the regression is fitted on.
+KEYS_PER_LABEL = 100_000
 ROWS_PER_LABEL = 5_000
 KEPT_BUCKETS = 20_000
 SMOOTHING = 1.0
@@ -106,12 +109,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def sampled_keys(labels: DataFrame, keys_per_label: int) -> DataFrame:
+    """``key``, ``label`` and the key's ``rank`` by hash, for the first keys of each label."""
+    found = []
+    for y in (0, 1):
+        own = labels.filter(F.col("label") == y).select("key").distinct()
+        own = own.orderBy(F.xxhash64("key"), "key").limit(keys_per_label).toPandas()
+        found.append(own.assign(label=y, rank=range(len(own))))
+    kind = labels.schema["key"].dataType.simpleString()
+    return labels.sparkSession.createDataFrame([tuple(r) for own in found for r in own.to_numpy().tolist()], f"key {kind}, label long, rank long")
+
+
+def train(docs: DataFrame, labels: DataFrame, keys_per_label: int | None = None, rows_per_label: int | None = None, kept_buckets: int = KEPT_BUCKETS) -> Model:
     """The model learned from ``docs`` (key, text) and ``labels`` (key, label 0 or 1)."""
-    spark = docs.sparkSession
     labels = labels.filter("key IS NOT NULL AND label IN (0, 1)")
-    # The text is what is large here; it moves once, and only for keys that are labelled.
-    labelled = docs.join(labels, "key").select("text", "label")
+    chosen = F.broadcast(sampled_keys(labels, keys_per_label or KEYS_PER_LABEL))
+    rows_per_label = rows_per_label or ROWS_PER_LABEL
+    labelled = docs.join(chosen, "key").select("text", "label")
+    # Only keys move to learn the share of each label.
     totals = {r["label"]: r["n"] for r in labels.join(docs.select("key"), "key").groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
     weights = np.zeros((1 << BITS) + 1)
@@ -119,26 +134,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(weights, 40.0 if n_toxic else -40.0)
     counted = bucket_counts(labelled).toArrow()  # a row for each bucket at most
     bucket, clean, toxic = (np.asarray(counted.column(i)) for i in range(3))
-    best = np.lexsort((bucket, -statistic(clean, toxic, int(clean.sum()), int(toxic.sum()))))[:KEPT_BUCKETS]
+    best = np.lexsort((bucket, -statistic(clean, toxic, int(clean.sum()), int(toxic.sum()))))[:kept_buckets]
     bucket, clean, toxic = bucket[best], clean[best], toxic[best]
     ratio = np.log((toxic + SMOOTHING) / (toxic + SMOOTHING).sum()) - np.log((clean + SMOOTHING) / (clean + SMOOTHING).sum())
     wanted = np.zeros((1 << BITS) + 1, bool)
     wanted[bucket] = True
-    # The bounded sample: the smallest hashes of each label, and one row for a key however often it is repeated.
-    near = F.xxhash64("key")
-    picks = [labels.filter(F.col("label") == y).select("key", "label").distinct().orderBy(near, "key").limit(ROWS_PER_LABEL) for y in (0, 1)]
-    chosen = spark.createDataFrame(picks[0].unionByName(picks[1]).select("key", "label").toArrow())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             owner, found = present(texts(batch), wanted)
-            lists = np.split(found, np.searchsorted(owner, np.arange(1, batch.num_rows)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.int64()))], ["label", "buckets"])
-
-    rows = docs.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
-    rows = rows.select("text", "label").mapInArrow(features, "label long, buckets array<long>").toArrow()
+            lists = np.split(found.astype(np.int32), np.searchsorted(owner, np.arange(1, batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(lists, pa.list_(pa.int32()))], ["key", "label", "copy", "buckets"])
+
+    # One row for a key and label, however often it is repeated; only the kept buckets of a text move.
+    kind = docs.schema["key"].dataType.simpleString()
+    rows = docs.join(chosen.filter(F.col("rank") < rows_per_label), "key").select("text", "key", "label", F.xxhash64("text").alias("copy"))
+    rows = rows.mapInArrow(features, f"key {kind}, label long, copy long, buckets array<int>")
+    rows = rows.groupBy("key", "label").agg(F.min(F.struct("copy", "buckets")).alias("row")).select("label", "row.buckets").toArrow()
     label = np.asarray(rows.column("label"), float)
-    lists = rows.column("buckets").combine_chunks()
+    lists = rows.column("buckets").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     row = np.repeat(np.arange(len(label)), np.diff(np.asarray(lists.offsets)))
     place = np.zeros(1 << BITS, np.int64)
     place[bucket] = np.arange(len(bucket))
