@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 from pathlib import Path
@@ -12,6 +13,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -117,6 +119,51 @@ def test_extraction_of_unseen_layouts():
     assert found == [[], ["A & b", "c"], ["no markup at all"], ["x", "y"]]
 
 
+def runs(source):
+    page = dom.parse(source)
+    return [t for tag, t in zip(page.tags, page.texts) if tag == "#text"]
+
+
+def test_stray_markup_loses_no_text():
+    assert runs("<html><head><title>T</title><meta charset=x><body><article><p>Lost part one.</p><header>h</header><p>Body text.</p></article>") == ["Lost part one.", "h", "Body text."]
+    assert runs("<p data-x=don't>It is here.</p><p>and it's there.</p>") == ["It is here.", "and it's there."]
+    assert runs("<div class='a \"b' id=\"c'd\" =x y = z >one</div><p a=\"1>2\">two</p>3 < 4 <5> <") == ["one", "two", "3 < 4 <5> <"]
+    assert runs("<select><option>a<option>b</select>kept<svg><title>no</title></svg><!-- > --><!-->x<?php a ?>y") == ["keptxy"]
+    assert runs("<p>before<p title=\"never closed>after") == ["before"]
+    assert runs("<style>p{}</styles>x</style >seen<script>a</scripty>b</script>end") == ["seenend"]
+    page = dom.parse("<div CLASS=Main class=other hidden><p>t")
+    assert page.tokens[1] == ("main", "hidden")
+    began = time.perf_counter()
+    assert runs("a <b " * 200_000 + '"') == ["a"]
+    assert len(runs("<option>x" * 50_000)) == 1 and len(runs("<!x" * 200_000)) == 0
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_attributes_by_both_readers(seed):
+    rng = random.Random(seed)
+    body = "".join(rng.choice([" ", "a", "=", "b='x'", 'c="y"', "/", ">", "'", '"', "d=e", "\n"]) for _ in range(12)) + '">'
+    quick, plain = dom.tag_rest(body, 0), dom.attributes(body, 0)
+    assert quick == plain
+
+
+def test_decoding_is_best_of_all_labellings():
+    """Against every choice of kept nodes in small trees, in which no kept node lies below a dropped one."""
+    rng = np.random.default_rng(7)
+    for source in ("<div><p>a</p><section><p>b</p>c</section></div>", "<ul><li>a<li>b</ul><p>c</p>", "x<div>y</div>"):
+        page = dom.parse(source)
+        n = len(page.tags)
+        for _ in range(20):
+            margin = rng.normal(0, 2, n)
+            best = -np.inf
+            for bits in range(1 << (n - 1)):
+                kept = [True, *((bits >> i & 1) == 1 for i in range(n - 1))]
+                if all(kept[page.parents[i]] for i in range(1, n) if kept[i]):
+                    best = max(best, sum(m if k else 0.0 for m, k in zip(margin, kept)))
+            found = extraction.decode(page, margin)
+            assert sum(m if k else 0.0 for m, k in zip(margin, found)) == pytest.approx(best), source
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     page = dom.parse("<div><p>a</p><section><p>b</p></section></div>")
     rng = np.random.default_rng(1)
@@ -182,16 +229,18 @@ def test_trie_finds_what_comparing_finds():
 
 
 def test_packing_is_exact_and_full(spark, hostile, empty):
-    rows = packing.pack(hostile).collect()
+    added = [(50, "a <|endoftext|> b", 0), (51, "<|endoftext|><|endoftext|>", 0), (52, "x<|endoftext|" + " " * 70_000 + "<|endoftext|>y", 0)]
+    docs = hostile.select("doc_id", "text", "node").unionByName(spark.createDataFrame(added, "doc_id long, text string, node long"))
+    rows = packing.pack(docs).collect()
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    ids = {r[1] or "": [*library.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in ROWS}
-    by_doc = {r[0]: ids[r[1] or ""] for r in ROWS}
+    texts = {r[0]: r[1] or "" for r in (*ROWS, *added)}
+    by_doc = {k: [*library.encode(t, add_special_tokens=False).ids, 1] for k, t in texts.items()}
+    assert by_doc[50].count(50256) == 1 and by_doc[51] == [50256, 50256, 1]
     for r in rows:
         part = by_doc[r["doc_id"]][r["start"] : r["start"] + r["length"]]
         assert len(part) == r["length"] and r["doc_tokens"] == len(by_doc[r["doc_id"]])
         assert zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
-    assert sum(r["length"] for r in rows) == sum(len(by_doc[r[0]]) for r in ROWS)
+    assert sum(r["length"] for r in rows) == sum(len(by_doc[r[0]]) for r in (*ROWS, *added))
     sequences = collections.defaultdict(list)
     for r in rows:
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -239,10 +288,24 @@ def test_unconnected_groups_of_near_vectors_are_linked():
         if cut:  # no link leaves a group
             for links in graph.links:
                 links[(links >= 0) & (links // 200 != own[:, None] // 200)] = -1
-        left, right = near_vectors.audited(graph, x, own)
-        found = np.zeros(truth.shape, int)
-        np.add.at(found, (left, right), 1)
+        found, parts = np.zeros(truth.shape, int), near_vectors.Components(600)
+        near_vectors.audited(graph, x, own, lambda a, b: (np.add.at(found, (a, b), 1), parts.add(a, b)))
         assert (found == truth).all()
+        assert (parts.tops(own) == own // 200 * 200).all()
+
+
+def test_stored_graphs_search_alike():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    heights = near_vectors.heights(np.arange(900) * 7919)
+    graph = near_vectors.Graph(x, heights)
+    links = np.concatenate([level.ravel() for level in graph.links])
+    again = near_vectors.Graph.stored(x, heights, links, len(graph.links))
+    assert all((a == b).all() for a, b in zip(graph.search(x[:50], 40), again.search(x[:50], 40)))
+    nearest = np.argsort(-(x[:200] @ x.T), 1)[:, :10]
+    found = graph.search(x[:200], 64)[0][:, :10]
+    assert (nearest[:, :, None] == found[:, None, :]).any(2).mean() >= 0.9
 
 
 def test_languages(spark, hostile, empty):
@@ -286,7 +349,7 @@ def test_replay_equals_the_library(hostile):
 
 
 def test_lm_counts_and_probabilities(hostile, empty):
-    rows = lm_scoring.score_texts(hostile).collect()
+    rows = lm_scoring.score_texts(hostile, share=1).collect()
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) + [0]
     learned = [split(r[1]) for r in ROWS if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 != 2]
     c = collections.Counter(w for words in learned for w in words)
@@ -297,21 +360,44 @@ def test_lm_counts_and_probabilities(hostile, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
+def test_chunks_of_files_do_not_follow_splits(spark, folder):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        split = lm_scoring.score_texts(spark.read.parquet(f"{folder}/documents.parquet"), share=10).select("doc_id", "n_known", "base_score")
+        one = sorted(split.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["n_known"] for r in one] == [r["n_known"] for r in sorted(lm_scoring.op10_lm_scoring(spark, folder).select("doc_id", "n_known", "base_score").collect())]
+
+
+def test_words_encoded_side_by_side():
+    encoder = lm_scoring.subwords(lm_scoring.RANKS)
+    words = ["the", "don't", "x\u00a0", "\u00a0y", "\u2003", "漢字", "a\x1cb", "é\x85", "zz" * 3000, "12ab!?", "😀"] * 3
+    flat, many = encoder.encode(words)
+    each = [encoder.library.encode_ordinary(" " + w) for w in words]
+    assert many.tolist() == [len(x) for x in each] and flat.tolist() == [i for x in each for i in x]
+    found = lm_scoring.Words(pa.array(["A b\x0bA  ", None, "", " \x1c é\x0cÉ"]))
+    assert [[found.names[i] for i in found.at[found.text == t]] for t in range(4)] == [["a", "b", "a"], [], [], ["\x1c", "é", "É"]]
+
+
 def test_attention_gradient_and_windows():
     counts, starts = np.arange(30.0), np.arange(30) % 2 == 0
     rng = np.random.default_rng(0)
-    ids = rng.integers(0, 30, 200)
-    model = attention.train(ids, np.array([90, 200]), counts, starts)
+    ids, ends = rng.integers(0, 30, 400), np.array([1, 90, 400])
+    words = attention.vocabulary(counts, starts)
+    model = attention.Model(words, attention.trained(attention.untrained(words), words, ids, ends, 30, 1))
     # Probabilities of all ids add up to one.
-    total = np.bincount(model.kind, 10.0**model.share, attention.CLASSES)
-    assert np.allclose(total[np.unique(model.kind)], 1)
+    total = np.bincount(words.kind, 10.0 ** words.share.astype(float), attention.CLASSES)
+    assert np.allclose(total[np.unique(words.kind)], 1, atol=1e-5)
     # A text's scores don't depend on its neighbours.
-    alone = model.token_scores(ids[:90], np.array([90]))
-    assert np.allclose(alone, model.token_scores(ids, np.array([90, 200]))[:90], atol=1e-5)
-    units, kinds = rng.integers(0, 30, (3, attention.WINDOW)), rng.integers(0, attention.CLASSES, (3, attention.WINDOW))
+    alone = model.token_scores(ids[1:90], np.array([89]))
+    assert np.allclose(alone, model.token_scores(ids, ends)[1:90], atol=1e-5)
+    units, kinds = rng.integers(0, 30, (3, attention.WINDOW)), rng.integers(0, attention.CLASSES, (3, attention.STRIDE))
+    seen, used = np.arange(attention.WINDOW) >= np.array([[0], [10], [attention.WINDOW - 3]]), rng.random((3, attention.STRIDE)) < 0.8
     w = {k: rng.normal(0, 0.3, x.shape) for k, x in model.weights.items()}  # small, so that nothing is clipped
-    loss = lambda w: -np.log(np.take_along_axis(attention.forward(w, units)[0], kinds[:, :, None], 2)).mean()
-    g = attention.gradient(w, units, kinds)
+    taken = lambda w: np.take_along_axis(attention.forward(w, units, seen)[0], kinds[:, :, None], 2)[:, :, 0]
+    loss = lambda w: -(np.log(taken(w)) * used).sum() / used.sum()
+    g = attention.gradient(w, units, seen, kinds, used)
     for name in w:
         moved = {k: x.copy() for k, x in w.items()}
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
@@ -319,6 +405,29 @@ def test_attention_gradient_and_windows():
         assert abs((loss(moved) - loss(w)) / 1e-5 - g[name][at]) < 1e-4
 
 
+def test_scores_equal_one_id_at_a_time():
+    """Against plain sums for every id: attention from it over the ids in view, softmax over classes, share."""
+    rng = np.random.default_rng(1)
+    ids, ends = rng.integers(0, 40, 210), np.array([5, 6, 138, 210])
+    words = attention.vocabulary(rng.random(41) * 9, np.arange(41) % 3 == 0)
+    w = {k: x.astype(float) + rng.normal(0, 0.2, x.shape) for k, x in attention.untrained(words).items()}
+    found = attention.Model(words, w).token_scores(ids, ends)
+    begin = 0
+    for end in ends:
+        for t in range(begin, end):
+            number = (t - begin) // attention.STRIDE
+            first = begin + number * attention.STRIDE - (attention.WINDOW - attention.STRIDE)
+            view = range(max(begin, first), t + 1)
+            unit = lambda s: words.unit[40 if s == begin else ids[s - 1]]  # noqa: E731, B023
+            x = {s: w["embed"][unit(s)] + w["place"][s - first] for s in view}
+            heat = np.array([np.exp(x[t] @ w["look"] @ x[s]) for s in view])
+            h = x[t] + sum(a * x[s] for a, s in zip(heat / heat.sum(), view)) @ w["carry"]
+            logits = h @ w["out"] + w["bias"]
+            chance = np.exp(logits[words.kind[ids[t]]]) / np.exp(logits).sum()
+            assert abs(found[t] - (np.log10(chance) + words.share[ids[t]])) < 1e-4
+        begin = end
+
+
 def test_pipeline_keeps_what_each_stage_should(spark, folder, empty):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = spark.createDataFrame([(1, "", None, None, 0), (2, "hello world the cat", None, None, 0), (2, "hello world the cat", None, None, 0), (3, "hello world the cat", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
