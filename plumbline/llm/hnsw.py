@@ -29,6 +29,18 @@ class Graph:
             self.insert(batch, order[:done], heights)
             done += len(batch)
 
+    @classmethod
+    def stored(cls, vectors: np.ndarray, heights: np.ndarray, links: np.ndarray, levels: int) -> Graph:
+        """A graph from its links, level by level from the lowest, as they were built."""
+        out, n, at = cls.__new__(cls), len(vectors), 0
+        out.x, out.links = vectors, []
+        for level in range(levels):
+            width = DEGREE * (2 if level == 0 else 1)
+            out.links.append(links[at : at + n * width].reshape(n, width))
+            at += n * width
+        out.entry = int(np.argsort(-heights, kind="stable")[0])
+        return out
+
     def insert(self, batch: np.ndarray, there: np.ndarray, heights: np.ndarray) -> None:
         starts = np.full(len(batch), self.entry)
         for level in range(len(self.links) - 1, -1, -1):

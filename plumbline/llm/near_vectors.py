@@ -1,12 +1,14 @@
 """Near-duplicate vectors by small-world graphs per shard, verified cosines and components.
 
 Copies of a vector are one node with a count. Vectors of a label (and length) are dealt by hash
-into shards of about ``SHARD`` nodes; every shard gets a graph, and the label's nodes, in blocks
-of the same size, query every shard. A beam is doubled for a query while a third of what it holds
-lies above the threshold, and for all queries of a block until an audit passes: for a hashed part
-of the block brute force gives the true links and nearest vectors, and recall of both must reach its
-target. A block that fails at the widest beam is compared by brute force. Cosines are in double precision. A block returns counts and, for linked nodes,
-their component inside the block, never pairs, so a group of near copies costs rows by its size.
+into shards of about ``SHARD`` nodes. Every shard's graph is built once and written, links and
+vectors in one row; then each shard meets each shard's nodes as queries. The beam is doubled until an
+audit passes: for a part of the queries brute force gives the true links and nearest vectors, and
+recall of both must reach its target. A query whose beam is a third hits gets a wider one. Beyond
+``CEILING`` neither is worth it: such queries, or a block whose audit still fails, are compared with
+the whole shard, which costs less than a walk that visits most of it. Cosines are in double precision.
+A block returns counts and, for linked nodes, their component inside the block, never pairs, so a
+group of near copies costs rows by its size.
 
 Defined results: vectors that are missing, zero, or hold missing or non-finite numbers, and rows
 without a label, link with nothing and are their own component. Vectors of different lengths
@@ -16,6 +18,8 @@ but is never a component's id. An empty table gives no rows. Other columns are i
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +28,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table
 from plumbline.llm.components import components
 from plumbline.llm.hnsw import BATCH, DEGREE, Graph
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, remove_tables, written_table
 
 THRESHOLD = 0.98
 SHARD = 8192
-BEAM = 64
+BEAM, CEILING = 64, 256
 AUDIT, NEAREST = 128, 10
 LINK_RECALL, NEAREST_RECALL = 0.999, 0.9
 
@@ -48,12 +52,16 @@ def heights(nodes: np.ndarray) -> np.ndarray:
     return np.minimum(8, (-np.log(np.maximum(share, 1e-16)) / np.log(DEGREE)).astype(int))
 
 
-def linked(graph: Graph, queries: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector) places of all links found, and each query's nearest; ``own`` is a query's place in the shard or -1."""
+#: Takes the places of some links found, in the queries and in the shard.
+Report = Callable[[np.ndarray, np.ndarray], None]
+
+
+def linked(graph: Graph, queries: np.ndarray, own: np.ndarray, beam: int, report: Report) -> np.ndarray:
+    """Report the links of all queries and return each one's nearest; ``own`` is a query's place in the shard or -1."""
     size = len(graph.x)
-    left, right, nearest = [], [], np.full((len(queries), NEAREST), -1)
+    nearest = np.full((len(queries), NEAREST), -1)
     todo, width = np.arange(len(queries)), min(beam, size)
-    while len(todo):
+    while len(todo) and width <= CEILING:
         wider = []
         for i in range(0, len(todo), BATCH):
             part = todo[i : i + BATCH]
@@ -64,83 +72,116 @@ def linked(graph: Graph, queries: np.ndarray, own: np.ndarray, beam: int) -> tup
             wider.append(part[full])
             hits[full] = False
             row, at = np.nonzero(hits & (ids != own[part][:, None]))
-            left.append(part[row])
-            right.append(ids[row, at])
+            report(part[row], ids[row, at])
         todo, width = np.concatenate(wider), min(2 * width, size)
-    return np.concatenate([np.empty(0, int), *left]), np.concatenate([np.empty(0, int), *right]), nearest
+    compared(graph.x, queries, own, todo, report)
+    return nearest
 
 
-def compared(x: np.ndarray, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) places of all links, from the cosines of every query with every vector."""
-    left, right = [np.empty(0, int)], [np.empty(0, int)]
-    for i in range(0, len(queries), BATCH):
-        row, at = np.nonzero(queries[i : i + BATCH] @ x.T >= THRESHOLD)
-        other = at != own[i + row]
-        left.append(i + row[other])
-        right.append(at[other])
-    return np.concatenate(left), np.concatenate(right)
+def compared(x: np.ndarray, queries: np.ndarray, own: np.ndarray, places: np.ndarray, report: Report) -> None:
+    """Report the links of some queries, from their cosines with every vector."""
+    for i in range(0, len(places), BATCH):
+        part = places[i : i + BATCH]
+        row, at = np.nonzero(queries[part] @ x.T >= THRESHOLD)
+        other = at != own[part][row]
+        report(part[row[other]], at[other])
 
 
-def audited(graph: Graph, queries: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of all queries, with the first beam whose recall on the audited queries is enough.
-
-    A beam as wide as the shard reaches only what the graph connects; if it fails, all pairs are compared.
-    """
+def audited(graph: Graph, queries: np.ndarray, own: np.ndarray, report: Report) -> None:
+    """Report the links of all queries, with the first beam whose recall on the audited queries is enough."""
     size, beam = len(graph.x), BEAM
     picked = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
     truth = queries[picked] @ graph.x.T
     true_links = truth >= THRESHOLD
     true_links[np.arange(len(picked))[own[picked] >= 0], own[picked][own[picked] >= 0]] = False
     true_near = np.argsort(-truth, 1, kind="stable")[:, : min(NEAREST, size)]
-    while True:
-        left, right, nearest = linked(graph, queries, own, beam)
+    while beam <= CEILING:
         found = np.zeros(true_links.shape, bool)
-        place = np.full(len(queries), -1)
-        place[picked] = np.arange(len(picked))
-        inside = place[left] >= 0
-        found[place[left[inside]], right[inside]] = True
-        near = (true_near[:, :, None] == nearest[picked][:, None, :]).any(2).mean()
+
+        def note(left: np.ndarray, right: np.ndarray) -> None:
+            found[left, right] = True  # noqa: B023
+
+        nearest = linked(graph, queries[picked], own[picked], beam, note)
+        near = (true_near[:, :, None] == nearest[:, None, :]).any(2).mean()
         if (found & true_links).sum() >= LINK_RECALL * true_links.sum() and near >= NEAREST_RECALL:
-            return left, right
-        if beam >= size:
-            return compared(graph.x, queries, own)
+            linked(graph, queries, own, beam, report)
+            return
         beam *= 2
+    compared(graph.x, queries, own, np.arange(len(queries)), report)
+
+
+class Components:
+    """The smallest name reachable for each of some names, from links that arrive part by part."""
+
+    def __init__(self, size: int) -> None:
+        self.up = np.arange(size)
 
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.tops(a), self.tops(b)
+            apart = x != y
+            if not apart.any():
+                return
+            a, b = a[apart], b[apart]
+            x, y = x[apart], y[apart]
+            np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
 
-def smallest_in_block(n: int, a: np.ndarray, b: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest name in its component; names are distinct numbers."""
-    best = names.copy()
-    while len(a):
-        before = best.copy()
-        np.minimum.at(best, a, best[b])
-        np.minimum.at(best, b, best[a])
-        if (before == best).all():
-            break
-    return best
+    def tops(self, places: np.ndarray) -> np.ndarray:
+        while True:
+            higher = self.up[self.up]
+            if (higher == self.up).all():
+                return self.up[places]
+            self.up = higher
 
 
-def probe(shard: pa.Table, block: pa.Table) -> pa.Table:
+GRAPH = "label {kind}, dim int, shard long, node binary, copies binary, vector binary, links binary, levels int"
+
+
+def built(rows: pa.Table) -> pa.Table:
+    """One shard's nodes in order, their unit vectors, and the links of its graph, level by level."""
+    rows = rows.sort_by("node")
+    nodes = np.asarray(rows.column("node"))
+    x = unit(rows, "vector")
+    graph = Graph(x, heights(nodes))
+    first = rows.select(["label", "dim", "shard"]).slice(0, 1)
+    packed = {
+        "node": nodes.tobytes(), "copies": np.asarray(rows.column("copies")).tobytes(), "vector": x.tobytes(),
+        "links": b"".join(x.astype(np.int32).tobytes() for x in graph.links), "levels": len(graph.links),
+    }
+    for name, value in packed.items():
+        first = first.append_column(name, pa.array([value], pa.int32() if name == "levels" else pa.binary()))
+    return first
+
+
+def probe(nodes: np.ndarray, copies: np.ndarray, graph: Graph, asks: np.ndarray, queries: np.ndarray) -> pa.RecordBatch:
     """One block of queries against one shard."""
-    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("near", pa.int64())])
-    if not shard.num_rows or not block.num_rows:
-        return schema.empty_table()
-    shard, block = shard.sort_by("node"), block.sort_by("node")
-    nodes, asks = np.asarray(shard.column("node")), np.asarray(block.column("node"))
-    graph = Graph(unit(shard, "vector"), heights(nodes))
     at = np.searchsorted(nodes, asks).clip(max=len(nodes) - 1)
     own = np.where(nodes[at] == asks, at, -1)
-    left, right = audited(graph, unit(block, "vector"), own)
-    links = np.bincount(left, np.asarray(shard.column("copies"), np.float64)[right], minlength=len(asks)).astype(np.int64)
     # One numbering for queries and shard; a node that is both is one.
     names = np.unique(np.concatenate([nodes, asks]))
-    a, b = np.searchsorted(names, asks[left]), np.searchsorted(names, nodes[right])
-    best = smallest_in_block(len(names), a, b, names)
-    ends = np.unique(np.concatenate([a, b]))
-    out = [
-        pa.table([pa.array(asks), pa.array(links), pa.array(asks)], schema=schema),
-        pa.table([pa.array(names[ends]), pa.array(np.zeros(len(ends), np.int64)), pa.array(best[ends])], schema=schema),
-    ]
-    return pa.concat_tables(out)
+    ask_names, node_names = np.searchsorted(names, asks), np.searchsorted(names, nodes)
+    links, parts, met = np.zeros(len(asks), np.int64), Components(len(names)), np.zeros(len(names), bool)
+
+    def report(left: np.ndarray, right: np.ndarray) -> None:
+        np.add.at(links, left, copies[right])
+        a, b = ask_names[left], node_names[right]
+        met[a] = met[b] = True
+        parts.add(a, b)
+
+    audited(graph, queries, own, report)
+    ends = np.flatnonzero(met)
+    columns = [np.concatenate([asks, names[ends]]), np.concatenate([links, np.zeros(len(ends), np.int64)]), np.concatenate([asks, names[parts.tops(ends)]])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "links", "near"])
+
+
+def probed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a shard's graph beside a block of queries."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            value = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)  # noqa: E731, B023
+            nodes, asks, dim = value("node", np.int64), value("b_node", np.int64), batch.column("dim")[i].as_py()
+            graph = Graph.stored(value("vector", np.float64).reshape(-1, dim), heights(nodes), value("links", np.int32), batch.column("levels")[i].as_py())
+            yield probe(nodes, value("copies", np.int64), graph, asks, value("b_vector", np.float64).reshape(-1, dim))
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", shard: int = SHARD) -> DataFrame:
@@ -156,18 +197,21 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     found = rows.filter("node IS NOT NULL").groupBy("node", "check").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("copies"))
     found = cut_lineage(found.withColumn("dim", F.size("vector")), "nodes")
     sizes = found.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(shard)).cast("long").alias("shards"))
-    nodes = found.join(sizes, ["label", "dim"])
-    deal = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("shards"))
-    # Every shard once for each block of queries and every block once for each shard.
+    dealt = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("shards")).alias("shard")
+    nodes = found.join(sizes, ["label", "dim"]).select("label", "dim", dealt, "node", "copies", "vector")
+    kind = rows.schema["label"].dataType.simpleString()
+    graphs, graphs_at = written_table(nodes.groupBy("label", "dim", "shard").applyInArrow(built, GRAPH.format(kind=kind)), "graphs")
+    graphs = graphs.join(sizes, ["label", "dim"])
+    # Every shard meets every shard of its label and length; each pair is a key, so a hot label is spread.
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
-    columns = [F.col(c).alias(c) for c in ("label", "dim", "shard", "block", "node", "copies", "vector")]
-    stored = nodes.withColumn("shard", deal(1)).withColumn("block", every).select(columns)
-    asked = nodes.withColumn("block", deal(2)).withColumn("shard", every).select(columns)
-    group = ["label", "dim", "shard", "block"]
-    probed = stored.groupBy(*group).cogroup(asked.groupBy(*group)).applyInArrow(probe, "node long, links long, near long")
-    probed = cut_lineage(probed, "links")
-    roots = components(probed.select(F.col("node").alias("a"), F.col("near").alias("b")))
-    totals = probed.groupBy("node").agg(F.sum("links").alias("links"))
+    stored = graphs.withColumn("block", every).drop("shards")
+    asking = graphs.select("label", "dim", F.col("shard").alias("block"), F.col("node").alias("b_node"), F.col("vector").alias("b_vector"), every.alias("shard"))
+    met = stored.hint("merge").join(asking, ["label", "dim", "shard", "block"])
+    found_links = met.select("dim", "node", "copies", "vector", "links", "levels", "b_node", "b_vector").mapInArrow(probed, "node long, links long, near long")
+    probed_ = cut_lineage(found_links, "links")
+    remove_tables(vectors.sparkSession, [graphs_at])
+    roots = components(probed_.select(F.col("node").alias("a"), F.col("near").alias("b")))
+    totals = probed_.groupBy("node").agg(F.sum("links").alias("links"))
     marked = found.select("node", "check", "least", "copies").join(totals, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = marked.groupBy("root").agg(F.min("least").alias("component_id"))
     marked = marked.join(smallest, "root").select("node", "check", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
@@ -185,13 +229,14 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_sql() -> str:
     """The same rows in DuckDB by comparing all pairs."""
+    whole = lambda row: f"list_transform({row}.e, lambda x: coalesce(x, 0))"  # noqa: E731 - no row has a null here, but the engine looks
     return f"""
     WITH RECURSIVE v AS (
       SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
     ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
            AND len(list_filter(e, lambda x: x <> 0)) > 0),
     links AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
-              WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+              WHERE list_cosine_similarity({whole('a')}, {whole('b')}) >= {THRESHOLD}),
     reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
     least AS (SELECT a, min(vec_id) AS least FROM reach JOIN v ON v.r = reach.b GROUP BY a)
     SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = v.r)::BIGINT AS n_links,
