@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -145,31 +146,40 @@ def candidate_trials(
     """One trial record per candidate and fold, counted by fold and then complexity.
 
     The score is the validation fold's; training loss and holdout score are in the payload.
-    Counting in one window is safe: rows are no more than the given list times the folds.
+    Counting in one window is safe: rows are no more than the given list times the folds. They
+    are computed here and now, since a record tells its time: all candidates share the scans, so
+    ``wall_clock_s`` is what those took, ``cumulative_s`` the time from the start of the call.
     """
+    start = time.perf_counter()
     scores = score_candidates(df, candidates, features, target, folds, functions)
     losses = candidate_losses(df, candidates, features, target, folds, loss, functions)
-    texts = df.sparkSession.createDataFrame(
+    spark = df.sparkSession
+    texts = spark.createDataFrame(
         [(c.name, c.complexity, c.expression) for c in candidates],
         "candidate string, complexity int, expression string",
     )
-    joined = (
-        scores.join(losses, ["candidate", "fold"], "left")
-        .join(texts, "candidate")
-        .withColumn("log", F.lit(log))
-    )
-    in_order = Window.partitionBy("log").orderBy("fold", "complexity", "candidate")
-    counted = joined.withColumn(
-        "trial_index", (F.row_number().over(in_order) - 1).cast("long")
+    joined = scores.join(losses, ["candidate", "fold"], "left").join(texts, "candidate")
+    in_order = Window.partitionBy(F.lit(log)).orderBy("fold", "complexity", "candidate")
+    counted = joined.select(
+        (F.row_number().over(in_order) - 1).cast("long").alias("trial_index"),
+        F.to_json(F.struct("complexity", "expression")).alias("params"),
+        F.col("ap").alias("mean_score"),
+        F.to_json(F.struct("fold", "loss", "holdout_ap")).alias("payload"),
     )
-    return counted.select(
-        "log",
-        F.col("log").alias("arm"),
+    scan = time.perf_counter()
+    rows = counted.collect()
+    end = time.perf_counter()
+    schema = "trial_index long, params string, mean_score double, payload string"
+    return spark.createDataFrame(rows, schema).select(
+        F.lit(log).alias("log"),
+        F.lit(log).alias("arm"),
         "trial_index",
-        F.parse_json(F.to_json(F.struct("complexity", "expression"))).alias("params"),
-        F.array("ap").alias("fold_scores"),
-        F.col("ap").alias("mean_score"),
+        F.parse_json("params").alias("params"),
+        F.array("mean_score").alias("fold_scores"),
+        "mean_score",
         F.lit(0.0).alias("std_score"),
-        F.parse_json(F.to_json(F.struct("fold", "loss", "holdout_ap"))).alias("payload"),
+        F.lit(end - scan).alias("wall_clock_s"),
+        F.lit(end - start).alias("cumulative_s"),
+        F.parse_json("payload").alias("payload"),
         F.current_timestamp().alias("timestamp"),
     )

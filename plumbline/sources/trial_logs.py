@@ -105,8 +105,14 @@ def read_log_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def record_lines(trials: DataFrame, *keep: str) -> DataFrame:
-    """Records as lines of JSON, every field present, beside the log's name and other columns."""
-    fields = F.struct(*FIELDS)
+    """Records as lines of JSON beside the log's name and other columns; a field that ``trials`` lacks is null."""
+    given = set(trials.columns)
+    fields = F.struct(
+        *[
+            F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in TRIAL.fields
+        ]
+    )
     line = F.to_json(fields, {"ignoreNullFields": "false"}).alias("value")
     return trials.select(line, "log", *keep)
 
