@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import slices, table, texts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-SLICE_BYTES = 2 << 20
-KEPT_BYTES = 24 << 20  # of kept units and their ids
+SLICE_BYTES = 4 << 20
+KEPT_BYTES = 64 << 20  # of kept units and their ids
 LONGEST_KEPT = 64  # characters of a kept unit
 UNIT_BYTES = 160  # what a kept unit takes besides its characters and ids
 INSIDE_SPACES = re.compile(r"\s (?:\s|\Z)")
