@@ -195,7 +195,9 @@ def linked(sets, percent):
     return {n: find(n) for n in names}
 
 
-def test_jaccard_join_equals_brute_force(spark, hostile, empty):
+@pytest.mark.parametrize("sent", [jaccard.SENT_PLACES, 0])
+def test_jaccard_join_equals_brute_force(spark, hostile, empty, monkeypatch, sent):
+    monkeypatch.setattr(jaccard, "SENT_PLACES", sent)
     rng = random.Random(7)
     texts = {}
     for base in range(12):
@@ -376,7 +378,8 @@ def test_words_encoded_side_by_side():
     flat, many = encoder.encode(words)
     each = [encoder.library.encode_ordinary(" " + w) for w in words]
     assert many.tolist() == [len(x) for x in each] and flat.tolist() == [i for x in each for i in x]
-    found = lm_scoring.Words(pa.array(["A b\x0bA  ", None, "", " \x1c é\x0cÉ"]))
+    whole = pa.array(["Ünlü Ä " * 9, "A b\x0bA  ", None, "", " \x1c é\x0cÉ", "ß"])
+    found = lm_scoring.Words(whole.slice(1, 4))
     assert [[found.names[i] for i in found.at[found.text == t]] for t in range(4)] == [["a", "b", "a"], [], [], ["\x1c", "é", "É"]]
 
 
