@@ -6,7 +6,10 @@ the smaller one's size (at 90 percent), so when the hash space is cut into more
 they agree on whole parts: the digest of each part is a signature, and only sets that share one
 are compared. Sets of near sizes use the same number of parts; a set that may have a smaller
 partner in the next lower class signs there too. Empty parts count only in pairs, and there is
-one part more than needed, so that this loses nothing.
+one part more than needed, so that this loses nothing. Signatures travel once, packed: of each slice
+of texts and range of signatures one value with 32 bits of each in order and the number of its set.
+What reads a range of all slices reports only signatures of several sets, and of those that
+have the very same sets one. Two signatures taken for one cost a comparison and no more.
 
 Of the sets that share a signature the least is the pivot, and each set first meets the least of
 its pivots: in blocks of bounded size the sets form a trie that the pivot's set traverses. A signature
@@ -25,6 +28,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,12 +39,17 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import slices, table
 from plumbline.llm.components import components
 from plumbline.llm.trie import Trie
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, remove_tables, written_table
 
 WORDS, PERCENT = 3, 90
 SLICE_BYTES = 8 << 20
 BLOCK = 128
 STORED, ASKS, BOTH = 0, 1, 2
+#: Signatures in a range of them, about; the filter of wanted rows, in bits (the power of two).
+RANGE = 2_000_000
+FILTER_BITS = 26
+#: Places of sets in blocks that are sent to every task (28 bytes each); more are joined by a shuffle.
+SENT_PLACES = 500_000
 GROWTH = 1.4
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -93,32 +103,158 @@ def signatures(tokens: np.ndarray, percent: int, sizes: list[tuple[int, int, int
     return np.concatenate(out)
 
 
-def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Every row's set as ``node``, its size, and its signatures."""
+def name_of(tokens: np.ndarray) -> int | None:
+    """The number that stands for a set, none for an empty one."""
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
+
+
+def named(docs: DataFrame, words: int) -> DataFrame:
+    """Every row's set as ``node``, and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = classes(percent)
         for batch in slices(batches, "text", SLICE_BYTES):
             sets = [grams(t, words) for t in batch.column(2).to_pylist()]
-            node = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            lists = [signatures(s, percent, sizes) for s in sets]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32())
-            keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.uint64), *lists]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), keys], ["id", "copy", "node", "n", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "copy", "node", "n"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "copy", "text").mapInArrow(run, f"id {kind}, copy long, node long, n long, keys array<long>")
+    return docs.select("id", "copy", "text").mapInArrow(run, f"id {kind}, copy long, node long, n long")
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as compressed differences, byte plane by byte plane."""
+    steps = np.diff(keys, prepend=np.uint32(0)).astype("<u4")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """``node`` and its sorted set, from rows of node and text."""
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def packed_signatures(docs: DataFrame, words: int, percent: int, ranges: int) -> DataFrame:
+    """Of each slice and range of signatures the sets' numbers, and the packed signatures with the places of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = classes(percent)
         for batch in slices(batches, "text", SLICE_BYTES):
-            sets = [grams(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
+            sets = {name_of(s): s for s in (grams(t, words) for t in batch.column(0).to_pylist()) if len(s)}
+            nodes, lists = np.array(list(sets), np.int64), [signatures(s, percent, sizes) for s in sets.values()]
+            if not sum(map(len, lists)):
+                continue
+            key = np.concatenate(lists)
+            owner = np.repeat(np.arange(len(lists), dtype=np.uint32), [len(x) for x in lists])
+            part = (key >> np.uint64(32)) % np.uint64(ranges)
+            key = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            order = np.lexsort((owner, key, part))
+            key, owner, part = key[order], owner[order], part[order]
+            found, begin = np.unique(part, return_index=True)
+            for number, i, j in zip(found.tolist(), begin, [*begin[1:], len(part)]):
+                own, place = np.unique(owner[i:j], return_inverse=True)
+                small = "<u2" if len(own) <= 1 << 16 else "<u4"
+                columns = [pa.array([number], pa.int64())] + [pa.array([v], pa.binary()) for v in (nodes[own].tobytes(), packed(key[i:j]), place.astype(small).tobytes())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "nodes", "keys", "places"])
+
+    return docs.select("text").mapInArrow(run, "part long, nodes binary, keys binary, places binary")
+
+
+def shared_signatures(rows: pa.Table) -> pa.Table:
+    """Of one range the signatures that several sets have: ``key``, ``node`` and the least of the sets as ``pivot``."""
+    keys, nodes = [], []
+    for own, key, place in zip(*(rows.column(c).to_pylist() for c in ("nodes", "keys", "places"))):
+        key, own = unpacked(key), np.frombuffer(own, np.int64)
+        keys.append(key)
+        nodes.append(own[np.frombuffer(place, "<u2" if len(place) == 2 * len(key) else "<u4")])
+    key, node = np.concatenate(keys), np.concatenate(nodes)
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+    key, node = key[fresh], node[fresh]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(begin, len(key)))
+    # Signatures of the very same sets say the same; one of them is enough.
+    total = np.add.reduceat(mixed(node.view(np.uint64) * M1), begin)
+    several = np.flatnonzero(count > 1)
+    _, first = np.unique(np.stack([total[several], count[several].astype(np.uint64)]), axis=1, return_index=True)
+    taken = np.sort(several[first])
+    many = count[taken]
+    at = np.repeat(begin[taken], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    names = key[begin[taken]].astype(np.int64) + (rows.column("part")[0].as_py() << 32)
+    columns = [np.repeat(names, many), node[at], np.repeat(node[begin[taken]], many)]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["key", "node", "pivot"])
+
 
-    return docs.select("node", "text").mapInArrow(run, "node long, tokens array<long>")
+def packed_set(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of a set's hashes, in order: what sets are compared by."""
+    short = np.unique(tokens >> np.uint64(16)).astype("<u8")
+    return short.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+BLOCK_ROW = "block long, asks int, root long, node long, tokens binary"
+
+
+def row_filter(marks: DataFrame) -> np.ndarray:
+    """A filter of bounded size that every mark passes and few others."""
+    word = F.shiftrightunsigned("mark", 64 - FILTER_BITS)
+    bits = marks.select(F.shiftright(word, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(mark, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
+    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # a row for each word of the filter at most
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[np.asarray(found.column("at"))] = np.asarray(found.column("bits"))
+    return out
+
+
+class Sets:
+    """The sets of some rows' texts, made again where they are needed."""
+
+    def __init__(self, rows: DataFrame, marks: DataFrame, words: int) -> None:
+        self.rows, self.marks, self.words = rows, marks, words
+
+    def in_blocks(self, places: DataFrame) -> DataFrame:
+        """``places`` (node, block, asks, root) with the nodes' sets as ``tokens``.
+
+        One row stands for a set; a filter of bounded size holds back the others. Places go to the
+        rows if they are few, else both are shuffled by node.
+        """
+        places = cut_lineage(places.select("node", "block", F.col("asks").cast("int").alias("asks"), "root"), "places")
+        spark, words = places.sparkSession, self.words
+        wanted = spark.sparkContext.broadcast(row_filter(self.marks.join(places.select("node").distinct(), "node")))
+        sent = None
+        if places.count() <= SENT_PLACES:
+            table_ = places.orderBy("node").toArrow()
+            sent = spark.sparkContext.broadcast([np.asarray(table_.column(c)) for c in ("node", "block", "asks", "root")])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: set[int] = set()  # rows of this task, so that a row repeated in it counts once
+            for batch in slices(batches, "text", SLICE_BYTES):
+                mark = np.asarray(batch.column(0))
+                place = mark.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+                held = wanted.value[(place >> np.uint64(6)).astype(np.int64)].view(np.uint64)
+                passed = np.flatnonzero((held >> (place & np.uint64(63)) & np.uint64(1)).astype(bool))
+                passed = [i for i in passed if mark[i] not in done and not done.add(mark[i])]
+                sets = [grams(t, words) for t in batch.column(1).take(pa.array(passed, pa.int64())).to_pylist()]
+                node, tokens = np.array([name_of(s) or 0 for s in sets], np.int64), [packed_set(s) for s in sets]
+                if sent is None:
+                    some = [i for i, s in enumerate(sets) if len(s)]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array([tokens[i] for i in some], pa.binary())], ["node", "tokens"])
+                    continue
+                nodes, *columns = sent.value
+                first, last = np.searchsorted(nodes, node), np.searchsorted(nodes, node, side="right")
+                at = np.concatenate([np.arange(i, j) for i, j in zip(first, last)] or [np.empty(0, int)]).astype(int)
+                own = np.repeat(np.arange(len(node)), last - first)
+                out = [pa.array(c[at]) for c in columns] + [pa.array(node[own]), pa.array([tokens[i] for i in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, ["block", "asks", "root", "node", "tokens"])
+
+        read = self.rows.select(F.xxhash64("id", "copy").alias("mark"), "text")
+        if sent is not None:
+            return read.mapInArrow(run, BLOCK_ROW)
+        sets = read.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+        return places.hint("merge").join(sets, "node").select("block", "asks", "root", "node", "tokens")
 
 
 def join_blocks(rows: DataFrame, percent: int) -> DataFrame:
@@ -129,17 +265,16 @@ def join_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        current, held = None, []
+        current, held, seen = None, [], set()
         for batch in batches:
-            names, tokens = batch.column(0).to_pylist(), batch.column(4)
-            flat, offsets = np.asarray(tokens.flatten()).view(np.uint64), np.asarray(tokens.offsets)
-            offsets = offsets - offsets[0]
-            for i, (name, ask, root, node) in enumerate(zip(names, *(batch.column(j).to_pylist() for j in (1, 2, 3)))):
-                if name != current and held:
-                    yield held
-                    held = []
-                current = name
-                held.append((ask, root, node, flat[offsets[i] : offsets[i + 1]].copy()))
+            for name, ask, root, node, tokens in zip(*(batch.column(j).to_pylist() for j in range(5))):
+                if name != current:
+                    if held:
+                        yield held
+                    current, held, seen = name, [], set()
+                if (ask, node) not in seen:  # a set may come from several tasks
+                    seen.add((ask, node))
+                    held.append((ask, root, node, unpacked_set(tokens)))
         if held:
             yield held
 
@@ -165,7 +300,7 @@ def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def pivot_links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def pivot_links(shared: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """Links of each signature's sets with its least set, by rows of ``key``, ``node``, ``root``, ``pivot``, ``pivot_root``."""
     pairs = shared.select("node", "root", "pivot", "pivot_root").distinct()
     sizes = pairs.groupBy("pivot", "pivot_root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
@@ -175,10 +310,10 @@ def pivot_links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = members.select(name(F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).alias("block"), F.lit(STORED).alias("asks"), "root", "node")
     pivots = sizes.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pivots = pivots.select(name(F.col("number")).alias("block"), F.lit(ASKS).alias("asks"), F.col("pivot_root").alias("root"), F.col("pivot").alias("node"))
-    return cut_lineage(join_blocks(members.unionByName(pivots).join(sets, "node"), percent), "pivot-links")
+    return cut_lineage(join_blocks(sets.in_blocks(members.unionByName(pivots)), percent), "pivot-links")
 
 
-def grid_links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def grid_links(shared: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """Links among sets of different roots that share a signature, in pairs of bounded blocks.
 
     Sets that signatures connect are a cluster. Its blocks hold sets of one root if that has many,
@@ -202,7 +337,7 @@ def grid_links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     stored = pairs.select("block", F.coalesce(same, F.lit(STORED)).alias("asks"), F.col("a").alias("part"))
     asking = pairs.filter("a <> b").select("block", F.lit(ASKS).alias("asks"), F.col("b").alias("part"))
     rows = stored.unionByName(asking).join(dealt.select("part", "root", "node"), "part").drop("part")
-    return join_blocks(rows.join(sets, "node"), percent)
+    return join_blocks(sets.in_blocks(rows), percent)
 
 
 def unresolved(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -225,27 +360,36 @@ def nearest_pivots(shared: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """For every row the key, ``n_shingles`` and ``component_id``."""
+    used = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = written_table(df, name)
+        used.append(path)
+        return out
+
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
-    table_ = cut_lineage(signed(rows, words, percent), "signed")
-    nodes = table_.filter("size(keys) > 0").dropDuplicates(["node"])
-    signs = nodes.select("node", F.explode("keys").alias("key"))
-    groups = signs.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    shared = cut_lineage(signs.join(groups.select("key", "pivot"), "key").select("key", "node", "pivot"), "shared")
-    # One row stands for a set: its text is read again, and only for sets that share a signature.
-    needed = shared.select("node").distinct().join(table_.select("node", "id", "copy"), "node").groupBy("node").agg(F.min(F.struct("id", "copy")).alias("row"))
-    needed = needed.select(F.col("row.copy").alias("copy"), F.col("row.id").alias("wanted"), "node")
-    sets = rows.join(needed, (rows["copy"] == needed["copy"]) & rows["id"].eqNullSafe(needed["wanted"])).select("node", "text")
-    sets = cut_lineage(set_rows(sets.dropDuplicates(["node"]), words), "sets")
+    table_ = cut_lineage(named(rows, words), "named")
+    tokens = table_.agg(F.sum("n")).first()[0] or 0
+    ranges = max(1, -(-2 * tokens * (100 - percent) // percent // RANGE))
+    shared = packed_signatures(rows, words, percent, ranges).groupBy("part").applyInArrow(shared_signatures, "key long, node long, pivot long")
+    shared = kept(shared, "shared")
+    # One row stands for a set: its text is read again, and only for sets that are compared.
+    marks = table_.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "copy")).alias("row"))
+    marks = marks.select("node", F.xxhash64("row.id", "row.copy").alias("mark"))
+
+    sets = Sets(rows, marks, words)
     # First every set meets one pivot, which connects most of what there is to connect.
     links = pivot_links(nearest_pivots(shared), sets, percent)
     roots = components(links)
-    shared = cut_lineage(unresolved(shared, roots), "unresolved")
+    shared = kept(unresolved(shared, roots), "unresolved")
     if not shared.isEmpty():
-        links = links.unionByName(cut_lineage(grid_links(shared, sets, percent), "grid-links"))
+        links = links.unionByName(kept(grid_links(shared, sets, percent), "grid-links"))
         roots = components(links)
     least = with_roots(table_.select("id", "node").filter("node IS NOT NULL"), roots).groupBy("root").agg(F.min("id").alias("component_id"))
-    named = with_roots(table_.select("node").filter("node IS NOT NULL").distinct(), roots).join(least, "root").select("node", "component_id")
-    return table_.join(named, "node", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    named_ = with_roots(table_.select("node").filter("node IS NOT NULL").distinct(), roots).join(least, "root").select("node", "component_id")
+    named_ = cut_lineage(named_, "components")
+    remove_tables(docs.sparkSession, used)
+    return table_.join(named_, "node", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
