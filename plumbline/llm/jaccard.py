@@ -313,15 +313,31 @@ def pivot_links(shared: DataFrame, sets: Sets, percent: int) -> DataFrame:
     return cut_lineage(join_blocks(sets.in_blocks(members.unionByName(pivots)), percent), "pivot-links")
 
 
+def groups_to_compare(shared: DataFrame) -> DataFrame:
+    """Sets that must meet, as ``cluster``, ``node``, ``root``: by signature, or by what signatures connect.
+
+    Two sets that link share a signature, so either grouping finds all links. A set is in one cluster
+    but with several signatures; clusters are larger. The grouping that places fewer sets in blocks is taken.
+    """
+    by_key = shared.select(F.col("key").alias("cluster"), "node", "root")
+    edges = shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    clusters = components(edges).withColumnRenamed("root", "cluster")
+    by_cluster = cut_lineage(shared.select("node", "root").distinct().join(clusters, "node").select("cluster", "node", "root"), "cluster-nodes")
+
+    def places(nodes: DataFrame) -> int:
+        each = nodes.groupBy("cluster").agg(F.count("*").alias("n"))
+        return each.agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.lit(BLOCK)))).first()[0] or 0
+
+    return by_key if places(by_key) < places(by_cluster) else by_cluster
+
+
 def grid_links(shared: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """Links among sets of different roots that share a signature, in pairs of bounded blocks.
 
-    Sets that signatures connect are a cluster. Its blocks hold sets of one root if that has many,
-    else of several; two blocks meet unless both are of one and the same root.
+    The blocks of a group hold sets of one root if that has many, else of several; two blocks meet
+    unless both are of one and the same root.
     """
-    clusters = components(shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    nodes = shared.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
-    nodes = cut_lineage(nodes, "cluster-nodes")
+    nodes = groups_to_compare(shared)
     sizes = nodes.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     small = sizes.filter(F.col("n") <= BLOCK).groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("long").alias("pools"))
     dealt = nodes.join(sizes, ["cluster", "root"]).join(small, "cluster", "left")
