@@ -3,14 +3,17 @@
 Input tables carry the feature columns, a 0/1 target, ``is_holdout`` and ``fold``. Logistic models
 of all folds and configurations are fitted together, one pass over the table for each Newton step.
 Other classifiers are Spark ML estimators whose fits are independent jobs; a few run at a time,
-each of them spread over the whole cluster. The scored rows of all fits are written once and ranked
-by one keyed job.
+each of them spread over the whole cluster. A forest that may be too large for the driver is fitted some
+trees at a time: each piece adds its votes to the written scores and is dropped. The scored rows of
+all fits are ranked by one keyed job.
 """
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -46,6 +49,10 @@ LEAST_PARTITIONS = 8
 # Rows that one Spark ML fit takes; a larger fit part is sampled evenly by class. The trees of a
 # forest grow with their rows and are gathered on the driver, so they need a bound.
 MAX_FIT_ROWS = 2_000_000
+# Tree nodes that all fits together hold on the driver, some 500 bytes each.
+MAX_NODES = 400_000
+SPARE = 1.25  # of a tree's nodes, as other trees of the forest may have more
+SEED_STEP = 1_000_003  # between pieces of a forest; Spark adds the number of a partition to a seed
 
 
 @dataclass(frozen=True)
@@ -153,6 +160,27 @@ def default_forest(seed: int = 0) -> Model:
     )
 
 
+class Room:
+    """So many at a time over all threads; who asks for more than there is waits for all of it."""
+
+    def __init__(self, size: int) -> None:
+        self.size = self.free = size
+        self.changed = threading.Condition()
+
+    @contextmanager
+    def taken(self, wanted: int) -> Iterator[None]:
+        wanted = min(wanted, self.size)
+        with self.changed:
+            self.changed.wait_for(lambda: self.free >= wanted)
+            self.free -= wanted
+        try:
+            yield
+        finally:
+            with self.changed:
+                self.free += wanted
+                self.changed.notify_all()
+
+
 class Evaluation:
     """A split table prepared once and scored by many models.
 
@@ -166,6 +194,7 @@ class Evaluation:
         row_id: Column that tells rows apart; needed only to sample fit parts beyond the bound.
         max_fit_rows: Rows that one Spark ML fit takes at most; joint fits take all.
         fit_partitions: Partitions of such a fit, by default one for ``ROWS_PER_PARTITION`` rows.
+        max_nodes: Nodes of trees that the driver holds at a time, except that one tree is whole.
     """
 
     def __init__(
@@ -178,6 +207,7 @@ class Evaluation:
         row_id: str | None = None,
         max_fit_rows: int = MAX_FIT_ROWS,
         fit_partitions: int | None = None,
+        max_nodes: int = MAX_NODES,
     ) -> None:
         self.features, self.target, self.folds = list(features), target, folds
         self.row_id, self.max_fit_rows, self.fit_partitions = row_id, max_fit_rows, fit_partitions
@@ -198,6 +228,7 @@ class Evaluation:
         }
         self.joint = JointFits(self.table, self.features, target, self._statistics)
         self._concurrent = CONCURRENT_FITS
+        self._room = Room(max_nodes)
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         table, path = written_table(df, name)
@@ -254,43 +285,80 @@ class Evaluation:
             count = self.max_fit_rows
         return self._laid_out(rows, count)
 
-    def _fitted(self, model: Model, scaler_fold: int):
-        """A Spark ML model fitted on a fold's fit part, or on the whole search part."""
+    def _estimator(self, model: Model, scaler_fold: int):
         rows = self._statistics[scaler_fold]["fit_rows"]
         estimator = model.estimator(min(rows, self.max_fit_rows))
-        estimator = estimator.copy(
+        return estimator.copy(
             {
                 estimator.featuresCol: "features",
                 estimator.labelCol: self.target,
                 estimator.weightCol: "weight",
             }
         )
+
+    def _pieces(self, model: Model, scaler_fold: int) -> Iterator[tuple[Any, float]]:
+        """Spark ML models fitted one after the other, each with its share of the score.
+
+        A forest whose trees could have too many nodes together begins with one tree, whose nodes
+        tell how many trees are fitted next.
+        """
+        estimator = self._estimator(model, scaler_fold)
         search = self.table.where(~F.col("is_holdout"))
         if scaler_fold != WHOLE_SEARCH:
             search = search.where(F.col("fold") != scaler_fold)
-        return estimator.fit(self._prepared(model, self._fit_part(search, scaler_fold), scaler_fold))
-
-    def _scored(self, model: Model, fitted, scaler_fold: int) -> DataFrame:
-        """``_y, score`` on the fold's own rows, or on the holdout."""
+        rows = self._prepared(model, self._fit_part(search, scaler_fold), scaler_fold)
+        if not isinstance(estimator, RandomForestClassifier):
+            yield estimator.fit(rows), 1.0
+            return
+        trees, seed, done = estimator.getNumTrees(), estimator.getSeed(), 0
+        count = min(self._statistics[scaler_fold]["fit_rows"], self.max_fit_rows)
+        most = min(2 ** (estimator.getMaxDepth() + 1) - 1, 2 * count // estimator.getMinInstancesPerNode() + 1)
+        share = self._room.size // self._concurrent
+        size, nodes = (trees, most) if trees * most <= share else (1, most)
+        largest = 0
+        while done < trees:
+            size = min(size, trees - done)
+            with self._room.taken(int(size * nodes)):
+                piece = estimator.copy({estimator.numTrees: size, estimator.seed: seed + done * SEED_STEP})
+                fitted = piece.fit(rows)
+                largest = max(largest, *(t.numNodes for t in fitted.trees))
+                yield fitted, size / trees
+                del fitted
+            done += size
+            nodes = SPARE * largest
+            size = max(1, int(share / nodes))
+
+    def _scores(self, model: Model, scaler_fold: int) -> DataFrame:
+        """``_y, score``, written, on the fold's own rows or on the holdout, by a Spark ML model fitted on the others."""
         held = F.col("is_holdout")
         part = held if scaler_fold == WHOLE_SEARCH else ~held & (F.col("fold") == scaler_fold)
-        prepared = self._prepared(model, self.table.where(part), scaler_fold)
-        probability = vector_to_array("probability")[1].alias("score")
-        return fitted.transform(prepared).select(F.col(self.target).alias("_y"), probability)
+        rows = self._prepared(model, self.table.where(part), scaler_fold)
+        rows, path = rows.select(F.col(self.target).alias("_y"), "features", F.lit(0.0).alias("score")), None
+        for fitted, share in self._pieces(model, scaler_fold):
+            votes = F.col("score") + vector_to_array("probability")[1] * F.lit(share)
+            scored = fitted.transform(rows).select("_y", "features", votes.alias("score"))
+            rows, made = written_table(scored, "votes")
+            del fitted, scored
+            self._written.append(made)
+            if path:
+                remove_tables(self.spark, [path])
+                self._written.remove(path)
+            path = made
+        return rows.select("_y", "score")
 
     def fold_scores(self, model: Model, fold: int) -> DataFrame:
         """Scores of the validation rows of a fold by a Spark ML model fitted on the other folds."""
-        return self._scored(model, self._fitted(model, fold), fold)
+        return self._scores(model, fold)
 
     def holdout_scores(self, model: Model) -> DataFrame:
         """Scores of the holdout by a Spark ML model fitted on the whole search part."""
-        return self._scored(model, self._fitted(model, WHOLE_SEARCH), WHOLE_SEARCH)
+        return self._scores(model, WHOLE_SEARCH)
 
     def _ranked(self, models: Sequence[Model], parts: Sequence[int]) -> list[tuple[int, int, float, float, float]]:
         """Average precision of every model on every part: ``model, part, ap, start, end``.
 
         Joint fits first, all of them pass by pass, then the others a few at a time. Scored rows
-        are written once and ranked together. A fit's time runs from its start to its end; that
+        are written and ranked together. A fit's time runs from its start to the end of its scores; that
         of a joint fit from the first pass to the last, as it takes part in all of them.
         """
         jobs = [(i, k) for i in range(len(models)) for k in parts]
@@ -304,10 +372,10 @@ class Evaluation:
             held = parts == [WHOLE_SEARCH]
             scored.append(self.joint.scores(fits, found, held).withColumnRenamed("fit", "job"))
             times |= {job: (start, time.perf_counter()) for job in together}
-        tasks = [lambda i=i, k=k: self._fitted(models[i], k) for i, k in alone]
+        tasks = [lambda i=i, k=k: self._scores(models[i], k) for i, k in alone]
         results = run_all(self.spark, tasks, self._concurrent)
-        for n, ((i, k), (fitted, start, end)) in enumerate(zip(alone, results), len(together)):
-            scored.append(self._scored(models[i], fitted, k).select(F.lit(n).alias("job"), "_y", "score"))
+        for n, ((i, k), (rows, start, end)) in enumerate(zip(alone, results), len(together)):
+            scored.append(rows.select(F.lit(n).alias("job"), "_y", "score"))
             times[i, k] = start, end
         if not scored:
             return []

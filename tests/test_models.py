@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from plumbline.operators import logistic
@@ -265,3 +266,29 @@ def test_configurations_outside_the_space_are_not_refitted(spark, evaluation):
         reports.parametric_entries(evaluation, best(wrong))
     kept = reports.parametric_entries(evaluation, best(LOGISTIC | {"note": [1, "x"]}))
     assert json.loads(kept.select(F.to_json("best_params")).first()[0]) == LOGISTIC | {"note": [1, "x"]}
+
+
+def test_forests_are_fitted_in_pieces_that_the_driver_can_hold(table, monkeypatch):
+    fitted = []
+    fit = RandomForestClassifier.fit
+
+    def counted(self, rows):
+        made = fit(self, rows)
+        fitted.append((self.getNumTrees(), self.getSeed(), made.totalNumNodes))
+        return made
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", counted)
+    model, most = forest_model(FOREST), 1500
+    with Evaluation(table, FEATURES, "y", row_id="id", max_nodes=5 * most) as e:
+        pieces = average_precision(e.fold_scores(model, 1), "_y", "score").first()
+        own = list(fitted)
+        records = e.cross_validate([model]).first()
+    assert sum(n for n, _, _ in own) == FOREST["n_estimators"] and len(own) > 2
+    assert len({seed for _, seed, _ in own}) == len(own)
+    assert all(nodes <= most for _, _, nodes in own)
+    assert records["fold_scores"][1] == pieces["ap"] and sum(n for n, _, _ in fitted) == 6 * FOREST["n_estimators"]
+    with Evaluation(table, FEATURES, "y") as e:
+        fitted.clear()
+        whole = average_precision(e.fold_scores(model, 1), "_y", "score").first()
+    assert [n for n, _, _ in fitted] == [FOREST["n_estimators"]]
+    assert whole["n"] == pieces["n"] and pieces["ap"] == pytest.approx(whole["ap"], abs=0.05)
