@@ -482,3 +482,24 @@ def test_packing_takes_white_space_beyond_the_library():
     assert encoder.encode(text) == np.array(encoder.library.encode_ordinary(text), "<u4").tobytes()
     longer = "x" + " " * 1_200_000 + "y"
     assert encoder.library.decode(np.frombuffer(encoder.encode(longer), "<u4").tolist()) == longer
+
+
+def test_attention_learns_from_all_training_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 40))) for i in range(150)], "doc_id long, text string")
+    train = [i for i in range(150) if zlib.crc32(str(i).encode()) % 7 != 2]
+    given, learned = [], lm_scoring.learned
+
+    def seen(rows, parts, *rest):
+        given.append((rows.count(), parts, sorted(r["part"] for r in rows.select("part").distinct().collect())))
+        return learned(rows, parts, *rest)
+
+    monkeypatch.setattr(lm_scoring, "learned", seen)
+    whole = lm_scoring.score_texts(docs).collect()
+    monkeypatch.setattr(lm_scoring, "FIT_BYTES", 3000)  # several parts a round
+    dealt = lm_scoring.score_texts(docs).collect()
+    assert given[0][:2] == (len(train), 1)
+    assert given[1][0] == len(train) and given[1][1] >= 2 * lm_scoring.ROUNDS and len(given[1][2]) == given[1][1]
+    for rows in whole, dealt:
+        assert len(rows) == 150 and all(r["score"] < 0 for r in rows)
+    few = lm_scoring.score_texts(docs, share=64).collect()
+    assert sum(r["score"] for r in whole) > sum(r["score"] for r in few)
