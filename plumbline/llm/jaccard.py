@@ -5,12 +5,19 @@ all tries. Documents with equal sets are one node. Two linked sets differ in at
 the smaller one's size (at 90 percent), so when the hash space is cut into more parts than that,
 they agree on whole parts: the digest of each part is a signature, and only sets that share one
 are compared. Sets of near sizes use the same number of parts; a set that may have a smaller
-partner in the next lower class signs there too. Empty parts count only in pairs, and there is
-one part more than needed, so that this loses nothing. Signatures travel once, packed: of each slice
-of texts and range of signatures one value with 32 bits of each in order and the number of its set.
+partner in the next lower class signs there too. A set that fills more parts than it may have
+differences shares a filled part with each set it links with, so only filled parts sign. In the few
+sets that don't, empty parts count as well, in pairs; there are more parts than needed, so that this
+loses nothing. Signatures travel once, packed: of each slice of texts and range of signatures one
+value with 32 bits of each in order and the number of its set.
 What reads a range of all slices reports only signatures of several sets, and of those that
 have the very same sets one. Two signatures taken for one cost a comparison and no more.
 
+A set that fills several parts more than its differences shares that many signatures at least, and
+leaves out as many, less one, of those it has: the ones that most sets have, in one order for all. The
+last in this order of the signatures that two sets share is then left out by neither. So a passage
+that many unlike texts hold brings few of them together.
+
 Of the sets that share a signature the least is the pivot, and each set first meets the least of
 its pivots: in blocks of bounded size the sets form a trie that the pivot's set traverses. A signature
 whose sets are all connected then needs no more comparisons. The sets of the other signatures, in
@@ -33,7 +40,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import slices, table
@@ -51,6 +58,8 @@ FILTER_BITS = 26
 #: Places of sets in blocks that are sent to every task (28 bytes each); more are joined by a shuffle.
 SENT_PLACES = 500_000
 GROWTH = 1.4
+#: One more part for so many differences, so that nearly all sets fill more parts than they may have differences.
+FILLED = 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -73,23 +82,24 @@ def grams(text: str | None, words: int) -> np.ndarray:
 
 
 def classes(percent: int, limit: int = 1 << 40) -> list[tuple[int, int, int]]:
-    """Lowest size, highest size and number of parts of each class of sizes."""
+    """Lowest size, highest size and number of parts of each class of sizes; none where only equal sets link."""
     out, low = [], 1
     while low < limit:
         high = max(low, int(low * GROWTH))
-        out.append((low, high, high * (100 - percent) // percent + 2))
+        differences = high * (100 - percent) // percent
+        out.append((low, high, differences + 3 + differences // FILLED if differences else 0))
         low = high + 1
     return out
 
 
-def signatures(tokens: np.ndarray, percent: int, sizes: list[tuple[int, int, int]]) -> np.ndarray:
-    """The signatures of a set for each class that its smaller partner may lie in."""
-    n, out = len(tokens), [np.empty(0, np.uint64)]
+def signatures(tokens: np.ndarray, percent: int, sizes: list[tuple[int, int, int]]) -> tuple[np.ndarray, int]:
+    """The signatures of a set for each class that its smaller partner may lie in, and how many it may leave out."""
+    n, out, spare = len(tokens), [np.empty(0, np.uint64)], []
     for number, (low, high, parts) in enumerate(sizes):
         if low > n:
             break
-        # Up to two parts no difference is allowed: only equal sets link, and those are one node.
-        if 100 * high < percent * n or parts <= 2:
+        # Without differences only equal sets link, and those are one node.
+        if 100 * high < percent * n or not parts:
             continue
         part = (mixed(tokens) >> np.uint64(32)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
@@ -97,10 +107,17 @@ def signatures(tokens: np.ndarray, percent: int, sizes: list[tuple[int, int, int
         sums = np.add.reduceat(mixed(tokens[order] * M1), begin)
         salt = np.uint64(number << 48)
         out.append(mixed(sums ^ mixed((filled + salt) * M1)))
+        # Each difference changes one part; those of this set that stay are shared.
+        differences = n * (100 - percent) // percent if n <= high else (n + high) * (100 - percent) // (100 + percent)
+        shared = len(filled) - differences
+        # One more is held in reserve: two signatures of a set may be taken for one.
+        spare.append(max(0, shared - 2))
+        if shared > 0:
+            continue
         empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
         for i in range(len(empty) - 1):
             out.append(mixed((mixed(empty[i + 1 :] + salt) ^ np.uint64(7)) * M1 + empty[i]))
-    return np.concatenate(out)
+    return np.concatenate(out), min(spare, default=0)
 
 
 def name_of(tokens: np.ndarray) -> int | None:
@@ -139,7 +156,8 @@ def packed_signatures(docs: DataFrame, words: int, percent: int, ranges: int) ->
         sizes = classes(percent)
         for batch in slices(batches, "text", SLICE_BYTES):
             sets = {name_of(s): s for s in (grams(t, words) for t in batch.column(0).to_pylist()) if len(s)}
-            nodes, lists = np.array(list(sets), np.int64), [signatures(s, percent, sizes) for s in sets.values()]
+            signed = [signatures(s, percent, sizes) for s in sets.values()]
+            nodes, lists, spare = np.array(list(sets), np.int64), [x for x, _ in signed], np.array([x for _, x in signed], "<u4")
             if not sum(map(len, lists)):
                 continue
             key = np.concatenate(lists)
@@ -152,36 +170,57 @@ def packed_signatures(docs: DataFrame, words: int, percent: int, ranges: int) ->
             for number, i, j in zip(found.tolist(), begin, [*begin[1:], len(part)]):
                 own, place = np.unique(owner[i:j], return_inverse=True)
                 small = "<u2" if len(own) <= 1 << 16 else "<u4"
-                columns = [pa.array([number], pa.int64())] + [pa.array([v], pa.binary()) for v in (nodes[own].tobytes(), packed(key[i:j]), place.astype(small).tobytes())]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "nodes", "keys", "places"])
+                values = nodes[own].tobytes(), spare[own].tobytes(), packed(key[i:j]), place.astype(small).tobytes()
+                columns = [pa.array([number], pa.int64())] + [pa.array([v], pa.binary()) for v in values]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "nodes", "spares", "keys", "places"])
 
-    return docs.select("text").mapInArrow(run, "part long, nodes binary, keys binary, places binary")
+    return docs.select("text").mapInArrow(run, "part long, nodes binary, spares binary, keys binary, places binary")
 
 
 def shared_signatures(rows: pa.Table) -> pa.Table:
-    """Of one range the signatures that several sets have: ``key``, ``node`` and the least of the sets as ``pivot``."""
-    keys, nodes = [], []
-    for own, key, place in zip(*(rows.column(c).to_pylist() for c in ("nodes", "keys", "places"))):
+    """Of one range the signatures that several sets have, as ``key`` and ``node``.
+
+    ``sets`` have the signature, it stands for ``weight`` of the very same sets, and its set may leave out ``spare``.
+    """
+    keys, nodes, spares = [], [], []
+    for own, spare, key, place in zip(*(rows.column(c).to_pylist() for c in ("nodes", "spares", "keys", "places"))):
         key, own = unpacked(key), np.frombuffer(own, np.int64)
+        place = np.frombuffer(place, "<u2" if len(place) == 2 * len(key) else "<u4")
         keys.append(key)
-        nodes.append(own[np.frombuffer(place, "<u2" if len(place) == 2 * len(key) else "<u4")])
-    key, node = np.concatenate(keys), np.concatenate(nodes)
+        nodes.append(own[place])
+        spares.append(np.frombuffer(spare, "<u4")[place])
+    key, node, spare = np.concatenate(keys), np.concatenate(nodes), np.concatenate(spares)
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+    key, node, spare = key[order], node[order], spare[order]
     fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-    key, node = key[fresh], node[fresh]
+    key, node, spare = key[fresh], node[fresh], spare[fresh]
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     count = np.diff(np.append(begin, len(key)))
     # Signatures of the very same sets say the same; one of them is enough.
     total = np.add.reduceat(mixed(node.view(np.uint64) * M1), begin)
     several = np.flatnonzero(count > 1)
-    _, first = np.unique(np.stack([total[several], count[several].astype(np.uint64)]), axis=1, return_index=True)
-    taken = np.sort(several[first])
+    _, first, weight = np.unique(np.stack([total[several], count[several].astype(np.uint64)]), axis=1, return_index=True, return_counts=True)
+    order = np.argsort(first)
+    taken, weight = several[first[order]], weight[order]
     many = count[taken]
     at = np.repeat(begin[taken], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     names = key[begin[taken]].astype(np.int64) + (rows.column("part")[0].as_py() << 32)
-    columns = [np.repeat(names, many), node[at], np.repeat(node[begin[taken]], many)]
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["key", "node", "pivot"])
+    columns = [np.repeat(names, many), node[at], np.repeat(many, many), np.repeat(weight, many), spare[at]]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["key", "node", "sets", "weight", "spare"])
+
+
+def selective(shared: DataFrame) -> DataFrame:
+    """``key``, ``node`` and the least of the key's sets as ``pivot``, without the signatures that a set may leave out.
+
+    These are the ones that most sets have. A set's rows are no more than its signatures.
+    """
+    order = Window.partitionBy("node").orderBy(F.desc("sets"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    rows = shared.withColumn("before", F.sum("weight").over(order)).filter("before > spare").select("key", "node")
+    rows, path = written_table(rows, "selective")
+    groups = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    found = cut_lineage(rows.join(groups, "key"), "shared")
+    remove_tables(shared.sparkSession, [path])
+    return found
 
 
 def packed_set(tokens: np.ndarray) -> bytes:
@@ -387,8 +426,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     table_ = cut_lineage(named(rows, words), "named")
     tokens = table_.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-2 * tokens * (100 - percent) // percent // RANGE))
-    shared = packed_signatures(rows, words, percent, ranges).groupBy("part").applyInArrow(shared_signatures, "key long, node long, pivot long")
-    shared = kept(shared, "shared")
+    shared = packed_signatures(rows, words, percent, ranges).groupBy("part").applyInArrow(shared_signatures, "key long, node long, sets long, weight long, spare long")
+    shared = kept(shared, "signatures")
+    shared = selective(shared)
     # One row stands for a set: its text is read again, and only for sets that are compared.
     marks = table_.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "copy")).alias("row"))
     marks = marks.select("node", F.xxhash64("row.id", "row.copy").alias("mark"))
