@@ -34,6 +34,8 @@ KEYS_PER_LABEL = 100_000
 ROWS_PER_LABEL = 5_000
 KEPT_BUCKETS = 20_000
 SMOOTHING = 1.0
+#: Places of the regression's rows that are computed with at a time, about.
+PLACES_AT_ONCE = 1 << 19
 PENALTY = 1e-3
 
 
@@ -78,20 +80,47 @@ def statistic(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int)
     return out + term(n_clean - clean, (rows - total) * n_clean / rows) + term(n_toxic - toxic, (rows - total) * n_toxic / rows)
 
 
-def logistic(row: np.ndarray, value: np.ndarray, column: np.ndarray, label: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a penalised logistic regression on sparse rows, by accelerated gradient steps."""
+def logistic(ends: np.ndarray, value: np.ndarray, column: np.ndarray, label: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a penalised logistic regression on sparse rows, by accelerated gradient steps.
+
+    ``column`` has the columns of all rows, each row's up to its place in ``ends``; ``value`` is what a row that
+    has a column has there. Rows are taken some at a time, so that little is held besides the columns.
+    """
     n = len(label)
-    x = np.bincount(row, value * value, minlength=n)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, len(column), PLACES_AT_ONCE)))
+    blocks = [(int(i), int(j)) for i, j in zip(cuts, [*cuts[1:], n]) if i < j]
+    begins = np.append(0, ends)
+
+    def of(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(j - i), np.diff(begins[i : j + 1])), column[begins[i] : begins[j]]
+
+    def sums(by_column: np.ndarray) -> np.ndarray:
+        """Of each row over its columns."""
+        out = np.zeros(n)
+        for i, j in blocks:
+            row, own = of(i, j)
+            out[i:j] = np.bincount(row, by_column[own], minlength=j - i)
+        return out
+
+    def sums_back(by_row: np.ndarray) -> np.ndarray:
+        """Of each column over the rows that have it."""
+        out = np.zeros(width)
+        for i, j in blocks:
+            row, own = of(i, j)
+            out += np.bincount(own, by_row[i:j][row], minlength=width)
+        return out
+
+    x = sums(value * value)
     step = 1.0 / (0.25 * max(1.0, float(np.percentile(x, 99))) + PENALTY)
     prior = float(np.log((label.sum() + 1) / (n - label.sum() + 1)))
     w, bias, w_old, bias_old = np.zeros(width), prior, np.zeros(width), prior
     for i in range(400):
         ahead = i / (i + 3)
         v, c = w + ahead * (w - w_old), bias + ahead * (bias - bias_old)
-        margin = np.bincount(row, value * v[column], minlength=n) + c
+        margin = sums(value * v) + c
         error = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - label
         w_old, bias_old = w, bias
-        w = v - step * (np.bincount(column, value * error[row], minlength=width) / n * 20 + PENALTY * v)
+        w = v - step * (value * sums_back(error) / n * 20 + PENALTY * v)
         bias = c - step * error.mean() * 20
     return w, bias
 
@@ -114,10 +143,10 @@ def sampled_keys(labels: DataFrame, keys_per_label: int) -> DataFrame:
     found = []
     for y in (0, 1):
         own = labels.filter(F.col("label") == y).select("key").distinct()
-        own = own.orderBy(F.xxhash64("key"), "key").limit(keys_per_label).toPandas()
-        found.append(own.assign(label=y, rank=range(len(own))))
+        own = own.orderBy(F.xxhash64("key"), "key").limit(keys_per_label).toArrow()
+        found.append(own.append_column("label", pa.array(np.full(len(own), y))).append_column("rank", pa.array(np.arange(len(own)))))
     kind = labels.schema["key"].dataType.simpleString()
-    return labels.sparkSession.createDataFrame([tuple(r) for own in found for r in own.to_numpy().tolist()], f"key {kind}, label long, rank long")
+    return labels.sparkSession.createDataFrame(pa.concat_tables(found), f"key {kind}, label long, rank long")
 
 
 def train(docs: DataFrame, labels: DataFrame, keys_per_label: int | None = None, rows_per_label: int | None = None, kept_buckets: int = KEPT_BUCKETS) -> Model:
@@ -153,11 +182,12 @@ def train(docs: DataFrame, labels: DataFrame, keys_per_label: int | None = None,
     rows = rows.groupBy("key", "label").agg(F.min(F.struct("copy", "buckets")).alias("row")).select("label", "row.buckets").toArrow()
     label = np.asarray(rows.column("label"), float)
     lists = rows.column("buckets").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
-    row = np.repeat(np.arange(len(label)), np.diff(np.asarray(lists.offsets)))
-    place = np.zeros(1 << BITS, np.int64)
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    place = np.zeros(1 << BITS, np.int32)
     place[bucket] = np.arange(len(bucket))
-    column = place[np.asarray(lists.values)[lists.offsets[0].as_py() :]]
-    w, intercept = logistic(row, ratio[column], column, label, len(bucket))
+    column = place[np.asarray(lists.values)[offsets[0] : offsets[-1]]]
+    del rows, lists  # the columns are all that is needed
+    w, intercept = logistic(offsets[1:] - offsets[0], ratio, column, label, len(bucket))
     # The sample has more toxic rows than the table: the intercept goes back to the table's share.
     shares = np.log(n_toxic / n_clean) - np.log(max(1, label.sum()) / max(1, len(label) - label.sum()))
     weights[bucket] = w * ratio

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -114,3 +115,28 @@ def test_counts_ratios_and_score_of_toxicity(spark):
     for text, score in zip(texts, model.scores(texts)):
         margin = model.intercept + sum(model.weights[b] for b in set(plain_buckets(text, toxicity.ORDERS, toxicity.BITS)))
         assert score == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9)
+
+
+def test_regression_holds_little_besides_its_columns():
+    """The fit on sparse rows, some at a time, equals the one on a whole matrix; what it holds doesn't grow with the rows."""
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(0, 400, 6000)
+    lengths[[3, -1]] = 0
+    column = np.concatenate([rng.choice(2000, k, replace=False) for k in lengths]).astype(np.int32)
+    label, value = (rng.random(6000) < 0.3).astype(float), rng.standard_normal(2000)
+    tracemalloc.start()
+    weights, intercept = toxicity.logistic(np.cumsum(lengths), value, column, label, 2000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 * toxicity.PLACES_AT_ONCE + 2_000_000 < 32 * len(column)
+    x = np.zeros((6000, 2000))
+    x[np.repeat(np.arange(6000), lengths), column] = value[column]
+    step = 1.0 / (0.25 * max(1.0, float(np.percentile((x * x).sum(1), 99))) + toxicity.PENALTY)
+    bias = old_bias = float(np.log((label.sum() + 1) / (6000 - label.sum() + 1)))
+    w = old = np.zeros(2000)
+    for i in range(400):
+        v, c = w + i / (i + 3) * (w - old), bias + i / (i + 3) * (bias - old_bias)
+        error = 1 / (1 + np.exp(-np.clip(x @ v + c, -40, 40))) - label
+        old, old_bias = w, bias
+        w, bias = v - step * (x.T @ error / 6000 * 20 + toxicity.PENALTY * v), c - step * error.mean() * 20
+    assert np.allclose(weights, w, atol=1e-9) and abs(intercept - bias) < 1e-9
