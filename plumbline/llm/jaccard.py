@@ -34,6 +34,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import zlib
 
@@ -48,10 +49,13 @@ from plumbline.llm.components import components
 from plumbline.llm.trie import Trie
 from plumbline.session import cut_lineage, remove_tables, written_table
 
+NAMED_AND_SIGNED = ["id", "copy", "node", "n", "part", "nodes", "spares", "keys", "places"]
 WORDS, PERCENT = 3, 90
 SLICE_BYTES = 8 << 20
 BLOCK = 128
 STORED, ASKS, BOTH = 0, 1, 2
+#: Texts cut into n-grams at a time; bytes that a word has at least in most texts, by which signatures are foretold.
+TEXTS_AT_ONCE, WORD_BYTES = 64, 4
 #: Signatures in a range of them, about; the filter of wanted rows, in bits (the power of two).
 RANGE = 2_000_000
 FILTER_BITS = 26
@@ -68,17 +72,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def grams(text: str | None, words: int) -> np.ndarray:
-    """The sorted hashes of a text's distinct word n-grams."""
-    found = text.encode().lower().split() if text else []
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    n = min(words, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = mixed(out * M1 + h[i : len(h) - n + 1 + i])
-    return np.unique(out)
+def gram_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its distinct word n-grams, computed for a few texts at a time."""
+    out = []
+    for first in range(0, len(texts), TEXTS_AT_ONCE):
+        found = [t.encode().lower().split() if t else [] for t in texts[first : first + TEXTS_AT_ONCE]]
+        ends = np.cumsum([len(w) for w in found])
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(found)), np.uint64, ends[-1])
+        every = rolled(h, words)
+        for n, end in zip(map(len, found), ends.tolist()):
+            if n < words:
+                out.append(rolled(h[end - n : end], n))
+                continue
+            own = every[end - n : end - words + 1]
+            own.sort()
+            out.append(own[np.append(True, own[1:] != own[:-1])])
+    return out
+
+
+def rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of every n hashes in a row."""
+    count = max(0, len(h) - n + 1) if n else 0
+    out = np.full(count, n, np.uint64)
+    for i in range(n if count else 0):
+        out = mixed(out * M1 + h[i : count + i])
+    return out
 
 
 def classes(percent: int, limit: int = 1 << 40) -> list[tuple[int, int, int]]:
@@ -95,16 +113,19 @@ def classes(percent: int, limit: int = 1 << 40) -> list[tuple[int, int, int]]:
 def signatures(tokens: np.ndarray, percent: int, sizes: list[tuple[int, int, int]]) -> tuple[np.ndarray, int]:
     """The signatures of a set for each class that its smaller partner may lie in, and how many it may leave out."""
     n, out, spare = len(tokens), [np.empty(0, np.uint64)], []
+    place, value = (mixed(tokens) >> np.uint64(32)).astype(np.uint32), mixed(tokens * M1)
     for number, (low, high, parts) in enumerate(sizes):
         if low > n:
             break
         # Without differences only equal sets link, and those are one node.
         if 100 * high < percent * n or not parts:
             continue
-        part = (mixed(tokens) >> np.uint64(32)) % np.uint64(parts)
+        part = (place % np.uint32(parts) if parts < 1 << 32 else place % np.uint64(parts)).astype(np.min_scalar_type(parts))
         order = np.argsort(part, kind="stable")
-        filled, begin = np.unique(part[order], return_index=True)
-        sums = np.add.reduceat(mixed(tokens[order] * M1), begin)
+        part = part[order]
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        filled = part[begin].astype(np.uint64)
+        sums = np.add.reduceat(value[order], begin)
         salt = np.uint64(number << 48)
         out.append(mixed(sums ^ mixed((filled + salt) * M1)))
         # Each difference changes one part; those of this set that stay are shared.
@@ -125,19 +146,6 @@ def name_of(tokens: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
 
 
-def named(docs: DataFrame, words: int) -> DataFrame:
-    """Every row's set as ``node``, and its size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE_BYTES):
-            sets = [grams(t, words) for t in batch.column(2).to_pylist()]
-            columns = [batch.column(0), batch.column(1), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "copy", "node", "n"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "copy", "text").mapInArrow(run, f"id {kind}, copy long, node long, n long")
-
-
 def packed(keys: np.ndarray) -> bytes:
     """Ascending 32-bit numbers as compressed differences, byte plane by byte plane."""
     steps = np.diff(keys, prepend=np.uint32(0)).astype("<u4")
@@ -149,32 +157,47 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def packed_signatures(docs: DataFrame, words: int, percent: int, ranges: int) -> DataFrame:
-    """Of each slice and range of signatures the sets' numbers, and the packed signatures with the places of their sets."""
+def signed(sets: dict[int, np.ndarray], percent: int, sizes: list[tuple[int, int, int]], ranges: int) -> Iterator[tuple]:
+    """Of each range of signatures its number, the sets' numbers, what they may leave out, and the packed signatures with the places of their sets."""
+    found = [signatures(s, percent, sizes) for s in sets.values()]
+    nodes, lists, spare = np.array(list(sets), np.int64), [x for x, _ in found], np.array([x for _, x in found], "<u4")
+    if not sum(map(len, lists)):
+        return
+    key = np.concatenate(lists)
+    owner = np.repeat(np.arange(len(lists), dtype=np.uint32), [len(x) for x in lists])
+    part = (key >> np.uint64(32)) % np.uint64(ranges)
+    key = (key & np.uint64(0xFFFFFFFF)) | part << np.uint64(32)
+    order = np.argsort(key)
+    key, owner, part = key[order].astype(np.uint32), owner[order], part[order]
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    for i, j in zip(begin, [*begin[1:], len(part)]):
+        own, place = np.unique(owner[i:j], return_inverse=True)
+        small = "<u2" if len(own) <= 1 << 16 else "<u4"
+        yield int(part[i]), nodes[own].tobytes(), spare[own].tobytes(), packed(key[i:j]), place.astype(small).tobytes()
+
+
+def named_and_signed(docs: DataFrame, words: int, percent: int, ranges: int) -> DataFrame:
+    """Rows of two kinds, so that texts are cut into n-grams once.
+
+    Every row's set as ``node``, and its size ``n``; and with a ``part`` the signatures of each slice and range.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, copy long, node long, n long, part long, nodes binary, spares binary, keys binary, places binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = classes(percent)
+        sizes, types = classes(percent), [pa.int64()] * 3 + [pa.binary()] * 4
         for batch in slices(batches, "text", SLICE_BYTES):
-            sets = {name_of(s): s for s in (grams(t, words) for t in batch.column(0).to_pylist()) if len(s)}
-            signed = [signatures(s, percent, sizes) for s in sets.values()]
-            nodes, lists, spare = np.array(list(sets), np.int64), [x for x, _ in signed], np.array([x for _, x in signed], "<u4")
-            if not sum(map(len, lists)):
-                continue
-            key = np.concatenate(lists)
-            owner = np.repeat(np.arange(len(lists), dtype=np.uint32), [len(x) for x in lists])
-            part = (key >> np.uint64(32)) % np.uint64(ranges)
-            key = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            order = np.lexsort((owner, key, part))
-            key, owner, part = key[order], owner[order], part[order]
-            found, begin = np.unique(part, return_index=True)
-            for number, i, j in zip(found.tolist(), begin, [*begin[1:], len(part)]):
-                own, place = np.unique(owner[i:j], return_inverse=True)
-                small = "<u2" if len(own) <= 1 << 16 else "<u4"
-                values = nodes[own].tobytes(), spare[own].tobytes(), packed(key[i:j]), place.astype(small).tobytes()
-                columns = [pa.array([number], pa.int64())] + [pa.array([v], pa.binary()) for v in values]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "nodes", "spares", "keys", "places"])
-
-    return docs.select("text").mapInArrow(run, "part long, nodes binary, spares binary, keys binary, places binary")
+            sets = gram_sets(batch.column(2).to_pylist(), words)
+            names = [name_of(s) for s in sets]
+            columns = [batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            columns += [pa.nulls(batch.num_rows, t) for t in types[2:]]
+            yield pa.RecordBatch.from_arrays(columns, NAMED_AND_SIGNED)
+            distinct = {name: s for name, s in zip(names, sets) if name is not None}
+            for row in signed(distinct, percent, sizes, ranges):
+                columns = [pa.nulls(1, t) for t in (batch.column(0).type, *types[:3])] + [pa.array([v], t) for v, t in zip(row, types[2:])]
+                yield pa.RecordBatch.from_arrays(columns, NAMED_AND_SIGNED)
+
+    return docs.select("id", "copy", "text").mapInArrow(run, schema)
 
 
 def shared_signatures(rows: pa.Table) -> pa.Table:
@@ -276,7 +299,7 @@ class Sets:
                 held = wanted.value[(place >> np.uint64(6)).astype(np.int64)].view(np.uint64)
                 passed = np.flatnonzero((held >> (place & np.uint64(63)) & np.uint64(1)).astype(bool))
                 passed = [i for i in passed if mark[i] not in done and not done.add(mark[i])]
-                sets = [grams(t, words) for t in batch.column(1).take(pa.array(passed, pa.int64())).to_pylist()]
+                sets = gram_sets(batch.column(1).take(pa.array(passed, pa.int64())).to_pylist(), words)
                 node, tokens = np.array([name_of(s) or 0 for s in sets], np.int64), [packed_set(s) for s in sets]
                 if sent is None:
                     some = [i for i, s in enumerate(sets) if len(s)]
@@ -423,11 +446,12 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
         return out
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
-    table_ = cut_lineage(named(rows, words), "named")
-    tokens = table_.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, -(-2 * tokens * (100 - percent) // percent // RANGE))
-    shared = packed_signatures(rows, words, percent, ranges).groupBy("part").applyInArrow(shared_signatures, "key long, node long, sets long, weight long, spare long")
-    shared = kept(shared, "signatures")
+    foretold = 2 * (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // WORD_BYTES * (100 - percent) // percent
+    both, path = written_table(named_and_signed(rows, words, percent, max(1, -(-foretold // RANGE))), "signed")
+    table_ = cut_lineage(both.filter("part IS NULL").select(*NAMED_AND_SIGNED[:4]), "named")
+    shared = both.filter("part IS NOT NULL").select(*NAMED_AND_SIGNED[4:]).groupBy("part")
+    shared = kept(shared.applyInArrow(shared_signatures, "key long, node long, sets long, weight long, spare long"), "signatures")
+    remove_tables(docs.sparkSession, [path])
     shared = selective(shared)
     # One row stands for a set: its text is read again, and only for sets that are compared.
     marks = table_.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "copy")).alias("row"))

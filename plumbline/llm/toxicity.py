@@ -37,16 +37,30 @@ SMOOTHING = 1.0
 #: Places of the regression's rows that are computed with at a time, about.
 PLACES_AT_ONCE = 1 << 19
 PENALTY = 1e-3
+#: Marks of pairs of a text and a wanted bucket that are held at a time, a byte each.
+MARKS = 1 << 20
 
 
 def present(batch: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (text, bucket) pairs of a batch, of wanted buckets only."""
-    grams, found = Grams(batch, ORDERS, BITS), [np.empty(0, np.int64)]
-    for start, bucket in grams:
-        at = np.flatnonzero(wanted[bucket])
-        found.append(np.unique(grams.owners(at + start) << BITS | bucket[at]))
-    pairs = np.unique(np.concatenate(found))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    """The distinct (text, bucket) pairs of a batch, of wanted buckets only, in order.
+
+    A few texts at a time, each pair has a mark of its own, so that repeated n-grams need no sort.
+    """
+    kept = np.flatnonzero(wanted)
+    place, width = np.zeros(len(wanted), np.int32), max(1, len(kept))
+    place[kept] = np.arange(len(kept))
+    some, found = max(1, MARKS // width), [np.empty(0, np.int64)]
+    for first in range(0, len(batch), some):
+        grams = Grams(batch[first : first + some], ORDERS, BITS)
+        marks = np.zeros(len(grams.ends) * width, bool)
+        for start, bucket in grams:
+            at = np.flatnonzero(wanted[bucket])
+            begins = np.searchsorted(at, np.append(0, grams.ends) - start)
+            marks[np.repeat(np.arange(len(grams.ends)) * width, np.diff(begins)) + place[bucket[at]]] = True
+        found.append(np.flatnonzero(marks) + first * width)
+    pairs = np.concatenate(found)
+    owner = pairs // width
+    return owner, kept[pairs - owner * width]
 
 
 def bucket_counts(labelled: DataFrame) -> DataFrame:
@@ -84,31 +98,44 @@ def logistic(ends: np.ndarray, value: np.ndarray, column: np.ndarray, label: np.
     """Weights and intercept of a penalised logistic regression on sparse rows, by accelerated gradient steps.
 
     ``column`` has the columns of all rows, each row's up to its place in ``ends``; ``value`` is what a row that
-    has a column has there. Rows are taken some at a time, so that little is held besides the columns.
+    has a column has there. Places are held in the order of rows and, block by block, of columns, so that sums
+    need neither a group's number for each place nor much memory at once.
     """
-    n = len(label)
-    cuts = np.unique(np.searchsorted(ends, np.arange(0, len(column), PLACES_AT_ONCE)))
-    blocks = [(int(i), int(j)) for i, j in zip(cuts, [*cuts[1:], n]) if i < j]
-    begins = np.append(0, ends)
+    n, places = len(label), np.arange(0, len(column), PLACES_AT_ONCE)
+    lengths = np.diff(ends, prepend=0)
+    owner = np.repeat(np.arange(n, dtype=np.min_scalar_type(n)), lengths)
+    column = column.astype(np.min_scalar_type(width))
+    owner_back, column_back = owner.copy(), column.copy()
+    for i in places:
+        block = slice(i, i + PLACES_AT_ONCE)
+        order = np.argsort(column[block], kind="stable")
+        owner_back[block], column_back[block] = owner[block][order], column[block][order]
+
+    def parts(groups: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Where the places of a block begin and end, the groups in it, and where each begins."""
+        out = []
+        for i in places:
+            own = groups[i : i + PLACES_AT_ONCE]
+            begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            out.append((i, i + len(own), own[begin].astype(np.int64), begin))
+        return out
 
-    def of(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(j - i), np.diff(begins[i : j + 1])), column[begins[i] : begins[j]]
+    by_row, by_column = parts(owner), parts(column_back)
+    del owner, column_back
 
-    def sums(by_column: np.ndarray) -> np.ndarray:
-        """Of each row over its columns."""
-        out = np.zeros(n)
-        for i, j in blocks:
-            row, own = of(i, j)
-            out[i:j] = np.bincount(row, by_column[own], minlength=j - i)
+    def summed(values: np.ndarray, of: np.ndarray, blocks: list, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for i, j, groups, begin in blocks:
+            out[groups] += np.add.reduceat(values[of[i:j]], begin)
         return out
 
-    def sums_back(by_row: np.ndarray) -> np.ndarray:
+    def sums(of_columns: np.ndarray) -> np.ndarray:
+        """Of each row over its columns."""
+        return summed(of_columns, column, by_row, n)
+
+    def sums_back(of_rows: np.ndarray) -> np.ndarray:
         """Of each column over the rows that have it."""
-        out = np.zeros(width)
-        for i, j in blocks:
-            row, own = of(i, j)
-            out += np.bincount(own, by_row[i:j][row], minlength=width)
-        return out
+        return summed(of_rows, owner_back, by_column, width)
 
     x = sums(value * value)
     step = 1.0 / (0.25 * max(1.0, float(np.percentile(x, 99))) + PENALTY)

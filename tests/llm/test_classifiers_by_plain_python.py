@@ -140,3 +140,17 @@ def test_regression_holds_little_besides_its_columns():
         old, old_bias = w, bias
         w, bias = v - step * (x.T @ error / 6000 * 20 + toxicity.PENALTY * v), c - step * error.mean() * 20
     assert np.allclose(weights, w, atol=1e-9) and abs(intercept - bias) < 1e-9
+
+
+@pytest.mark.parametrize("marks", [1, 5_000, 1 << 20])
+def test_pairs_of_texts_and_buckets_need_no_sort(monkeypatch, marks):
+    """However many texts are marked at a time: each wanted bucket of a text once, in order."""
+    monkeypatch.setattr(toxicity, "MARKS", marks)
+    wanted = np.zeros((1 << toxicity.BITS) + 1, bool)
+    wanted[np.random.default_rng(3).choice(1 << toxicity.BITS, 1 << toxicity.BITS - 1, replace=False)] = True
+    monkeypatch.setattr(np, "unique", lambda *_, **__: pytest.fail("sorted"))
+    batch = [*TEXTS, "ab" * 700, "the cat sat the cat sat"]
+    owner, bucket = toxicity.present(batch, wanted)
+    plain = [(i, b) for i, text in enumerate(batch) for b in sorted(set(plain_buckets(text, toxicity.ORDERS, toxicity.BITS))) if wanted[b]]
+    assert list(zip(owner.tolist(), bucket.tolist())) == plain
+    assert [len(x) for x in toxicity.present([], wanted)] == [0, 0]

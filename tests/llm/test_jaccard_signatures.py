@@ -73,3 +73,27 @@ def test_linked_sets_share_more_signatures_than_one_may_leave_out(percent):
             continue
         (x, spare), (y, other) = jaccard.signatures(np.unique(a), percent, sizes), jaccard.signatures(np.unique(b), percent, sizes)
         assert len(np.intersect1d(x, y)) > max(spare, other)
+
+
+def test_one_pass_names_and_signs_sets(spark):
+    """Sets are those of single texts whatever lies beside them, and each distinct one is signed in the same pass."""
+    rng = random.Random(5)
+    texts = [None, "", " \n", "one", "One two", "a b c", "a b c a b c a"] + [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 60))) for _ in range(150)] * 2
+    sets = jaccard.gram_sets(texts, 3)
+    assert [s.tolist() for s in sets] == [jaccard.gram_sets([t], 3)[0].tolist() for t in texts]
+    for text, s in zip(texts, sets):
+        words = (text or "").lower().split()
+        plain = {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+        assert len(s) == len(plain) and (np.diff(s) > 0).all()
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, copy long, text string").coalesce(1)
+    found = jaccard.named_and_signed(rows, 3, 80, 4).collect()
+    named = {r["id"]: (r["node"], r["n"]) for r in found if r["part"] is None}
+    assert named == {i: (jaccard.name_of(s), len(s)) for i, s in enumerate(sets)}
+    signed, sizes = {}, jaccard.classes(80)
+    for r in (r for r in found if r["part"] is not None):
+        nodes, keys = np.frombuffer(r["nodes"], np.int64), jaccard.unpacked(r["keys"])
+        for key, place in zip(keys.tolist(), np.frombuffer(r["places"], "<u2").tolist()):
+            signed.setdefault(int(nodes[place]), []).append((r["part"], key))
+    for s in filter(len, sets):
+        keys, _ = jaccard.signatures(s, 80, sizes)
+        assert sorted(signed.get(jaccard.name_of(s), [])) == sorted((int(k >> np.uint64(32)) % 4, int(k) & 0xFFFFFFFF) for k in keys)
