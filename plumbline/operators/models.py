@@ -3,9 +3,10 @@
 Input tables carry the feature columns, a 0/1 target, ``is_holdout`` and ``fold``. Logistic models
 of all folds and configurations are fitted together, one pass over the table for each Newton step.
 Other classifiers are Spark ML estimators whose fits are independent jobs; a few run at a time,
-each of them spread over the whole cluster. A forest that may be too large for the driver is fitted some
-trees at a time: each piece adds its votes to the written scores and is dropped. The scored rows of
-all fits are ranked by one keyed job.
+each of them spread over the whole cluster. Forests of many rows, and deep ones too large for the driver, are
+grown in the tasks instead (``operators.forest``), from all rows and without gathering trees. Where a fit part
+has too many distinct rows for a task, Spark's forest is fitted some trees at a time: each piece adds its votes
+to the written scores and is dropped. The scored rows of all fits are ranked by one keyed job.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import Future
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,10 +25,11 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.params import CLASS_WEIGHTS, FOREST, LOGISTIC
+from plumbline.operators import forest
 from plumbline.operators.logistic import Fit, JointFits
 from plumbline.operators.ranking import average_precision
 from plumbline.operators.scaling import (
@@ -46,9 +49,8 @@ CONCURRENT_FITS = 5  # fits at a time
 # nothing else: not the cores, not the session, not how the rows arrive.
 ROWS_PER_PARTITION = 100_000
 LEAST_PARTITIONS = 8
-# Rows that one Spark ML fit takes; a larger fit part is sampled evenly by class. The trees of a
-# forest grow with their rows and are gathered on the driver, so they need a bound.
-MAX_FIT_ROWS = 2_000_000
+# From more rows than this Spark's forest chooses thresholds from a sample; it isn't used for them.
+SPARK_FOREST_ROWS = 10_000
 # Tree nodes that all fits together hold on the driver, some 500 bytes each.
 MAX_NODES = 400_000
 SPARE = 1.25  # of a tree's nodes, as other trees of the forest may have more
@@ -191,8 +193,9 @@ class Evaluation:
     the memory and delete what was written.
 
     Args:
-        row_id: Column that tells rows apart; needed only to sample fit parts beyond the bound.
-        max_fit_rows: Rows that one Spark ML fit takes at most; joint fits take all.
+        row_id: Column that tells rows apart; needed only with ``max_fit_rows``.
+        max_fit_rows: Rows that one Spark ML fit takes at most, evenly by class, for callers that ask for
+            a sample; by default a fit takes all rows, and joint fits do in any case.
         fit_partitions: Partitions of such a fit, by default one for ``ROWS_PER_PARTITION`` rows.
         max_nodes: Nodes of trees that the driver holds at a time, except that one tree is whole.
     """
@@ -205,7 +208,7 @@ class Evaluation:
         folds: int = 5,
         keep: Sequence[str] = (),
         row_id: str | None = None,
-        max_fit_rows: int = MAX_FIT_ROWS,
+        max_fit_rows: int | None = 2_000_000,
         fit_partitions: int | None = None,
         max_nodes: int = MAX_NODES,
     ) -> None:
@@ -229,6 +232,8 @@ class Evaluation:
         self.joint = JointFits(self.table, self.features, target, self._statistics)
         self._concurrent = CONCURRENT_FITS
         self._room = Room(max_nodes)
+        self._cells: dict[tuple, Future] = {}
+        self._lock = threading.Lock()
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         table, path = written_table(df, name)
@@ -275,10 +280,14 @@ class Evaluation:
         names = [*self.features, self.target]
         return rows.repartition(parts, *names).sortWithinPartitions(*names)
 
+    def _fit_rows(self, scaler_fold: int) -> int:
+        count = self._statistics[scaler_fold]["fit_rows"]
+        return count if self.max_fit_rows is None else min(count, self.max_fit_rows)
+
     def _fit_part(self, rows: DataFrame, scaler_fold: int) -> DataFrame:
-        """The rows of a fit, sampled evenly by class beyond the bound."""
+        """The rows of a fit: all of them, unless the caller has set a bound."""
         count = self._statistics[scaler_fold]["fit_rows"]
-        if count > self.max_fit_rows:
+        if count > self._fit_rows(scaler_fold):
             if self.row_id is None:
                 raise ValueError(f"{count} rows to fit, more than {self.max_fit_rows}: name a row_id to sample by")
             rows = stratified_sample(rows, self.row_id, self.target, self.max_fit_rows)
@@ -286,8 +295,7 @@ class Evaluation:
         return self._laid_out(rows, count)
 
     def _estimator(self, model: Model, scaler_fold: int):
-        rows = self._statistics[scaler_fold]["fit_rows"]
-        estimator = model.estimator(min(rows, self.max_fit_rows))
+        estimator = model.estimator(self._fit_rows(scaler_fold))
         return estimator.copy(
             {
                 estimator.featuresCol: "features",
@@ -296,6 +304,26 @@ class Evaluation:
             }
         )
 
+    def _search(self, scaler_fold: int) -> DataFrame:
+        """The rows to fit on."""
+        search = self.table.where(~F.col("is_holdout"))
+        return search if scaler_fold == WHOLE_SEARCH else search.where(F.col("fold") != scaler_fold)
+
+    def _held(self, scaler_fold: int) -> DataFrame:
+        """The rows to score: those of the fold, or the holdout."""
+        held = F.col("is_holdout")
+        return self.table.where(held if scaler_fold == WHOLE_SEARCH else ~held & (F.col("fold") == scaler_fold))
+
+    @property
+    def _share(self) -> int:
+        """Tree nodes on the driver that one of the concurrent fits may have."""
+        return self._room.size // self._concurrent
+
+    def _most_nodes(self, estimator: RandomForestClassifier, scaler_fold: int) -> int:
+        """The nodes that a tree may have."""
+        leaves = 2 * self._fit_rows(scaler_fold) // estimator.getMinInstancesPerNode()
+        return min(2 ** (estimator.getMaxDepth() + 1) - 1, leaves + 1)
+
     def _pieces(self, model: Model, scaler_fold: int) -> Iterator[tuple[Any, float]]:
         """Spark ML models fitted one after the other, each with its share of the score.
 
@@ -303,17 +331,12 @@ class Evaluation:
         tell how many trees are fitted next.
         """
         estimator = self._estimator(model, scaler_fold)
-        search = self.table.where(~F.col("is_holdout"))
-        if scaler_fold != WHOLE_SEARCH:
-            search = search.where(F.col("fold") != scaler_fold)
-        rows = self._prepared(model, self._fit_part(search, scaler_fold), scaler_fold)
+        rows = self._prepared(model, self._fit_part(self._search(scaler_fold), scaler_fold), scaler_fold)
         if not isinstance(estimator, RandomForestClassifier):
             yield estimator.fit(rows), 1.0
             return
         trees, seed, done = estimator.getNumTrees(), estimator.getSeed(), 0
-        count = min(self._statistics[scaler_fold]["fit_rows"], self.max_fit_rows)
-        most = min(2 ** (estimator.getMaxDepth() + 1) - 1, 2 * count // estimator.getMinInstancesPerNode() + 1)
-        share = self._room.size // self._concurrent
+        most, share = self._most_nodes(estimator, scaler_fold), self._share
         size, nodes = (trees, most) if trees * most <= share else (1, most)
         largest = 0
         while done < trees:
@@ -328,11 +351,60 @@ class Evaluation:
             nodes = SPARE * largest
             size = max(1, int(share / nodes))
 
+    def _forest_scores(self, model: Model, scaler_fold: int) -> DataFrame | None:
+        """``_y, score``, written, by a forest grown in the tasks; none where that isn't for this model or its rows."""
+        estimator, fit = self._estimator(model, scaler_fold), self._statistics[scaler_fold]
+        rows, ones = fit["fit_rows"], fit["fit_ones"]
+        if type(estimator) is not RandomForestClassifier or self._fit_rows(scaler_fold) < rows:
+            return None
+        too_large = estimator.getMaxDepth() > DEEP and estimator.getNumTrees() * self._most_nodes(estimator, scaler_fold) > self._share
+        if rows <= SPARK_FOREST_ROWS and not too_large:
+            return None
+        weights = (1.0, 1.0)
+        if model.balanced:
+            weights = tuple(rows / (2.0 * n) if n else 1.0 for n in (rows - ones, ones))
+        by = forest.settings(estimator, weights)
+        if by is None:
+            return None
+        key = (scaler_fold, by.bins, weights, model.scaled, model.interactions)
+        with self._lock:
+            first = key not in self._cells
+            made = self._cells.setdefault(key, Future())
+        if first:  # several models share the cells of a fit part
+            try:
+                made.set_result(self._in_cells(model, scaler_fold, by))
+            except BaseException as fault:
+                made.set_exception(fault)
+        own, held, width = made.result()
+        if own is None:
+            return None
+        return self._keep(forest.scored(own, held, width, by), "votes")
+
+    def _in_cells(self, model: Model, scaler_fold: int, by: forest.Settings) -> tuple[DataFrame | None, DataFrame | None, int]:
+        """The fit part and the rows to score as written cells, and the number of features; no cells if too many for a task."""
+        y = F.col(self.target)
+        known = F.when(y.isin(0, 1), y).otherwise(F.raise_error(F.lit(f"{self.target} is neither 0 nor 1")).cast("int"))
+
+        def prepared(rows: DataFrame, y: Column) -> DataFrame:
+            ready = self._prepared(model, rows, scaler_fold)
+            return ready.select(vector_to_array("features").alias("x"), y.alias("y"))
+
+        rows = prepared(self._search(scaler_fold), known)
+        held = prepared(self._held(scaler_fold).where(y.isNotNull()), known)
+        width = len(self.features) * (len(self.features) + 1) // 2 if model.interactions else len(self.features)
+        cut = forest.thresholds(rows, width, by.bins, by.weights)
+        count = self._statistics[scaler_fold]["fit_rows"]
+        own = self._keep(forest.slices(rows, count, cut), "cells")
+        if not forest.fits_a_task(forest.cell_count(own), width):
+            return None, None, width
+        return own, self._keep(forest.slices(held, count // max(1, self.folds - 1), cut), "cells"), width
+
     def _scores(self, model: Model, scaler_fold: int) -> DataFrame:
-        """``_y, score``, written, on the fold's own rows or on the holdout, by a Spark ML model fitted on the others."""
-        held = F.col("is_holdout")
-        part = held if scaler_fold == WHOLE_SEARCH else ~held & (F.col("fold") == scaler_fold)
-        rows = self._prepared(model, self.table.where(part), scaler_fold)
+        """``_y, score``, written, on the fold's own rows or on the holdout, by a classifier fitted on the others."""
+        grown = self._forest_scores(model, scaler_fold)
+        if grown is not None:
+            return grown
+        rows = self._prepared(model, self._held(scaler_fold), scaler_fold)
         rows, path = rows.select(F.col(self.target).alias("_y"), "features", F.lit(0.0).alias("score")), None
         for fitted, share in self._pieces(model, scaler_fold):
             votes = F.col("score") + vector_to_array("probability")[1] * F.lit(share)
