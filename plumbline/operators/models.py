@@ -208,7 +208,7 @@ class Evaluation:
         folds: int = 5,
         keep: Sequence[str] = (),
         row_id: str | None = None,
-        max_fit_rows: int | None = 2_000_000,
+        max_fit_rows: int | None = None,
         fit_partitions: int | None = None,
         max_nodes: int = MAX_NODES,
     ) -> None:

@@ -130,3 +130,14 @@ def test_missing_values_and_labels_are_refused(table):
     for faulty, message in ((table.withColumn("a", F.when(F.col("id") > 40, F.col("a"))), "null"), (table.withColumn("y", F.when(F.col("id") < 40, 2).otherwise(F.col("y"))), "neither 0 nor 1")):
         with Evaluation(faulty, ["a", "b", "c"], "y", row_id="id", max_nodes=5000) as e, pytest.raises(Exception, match=message):
             e.cross_validate([forest_model(DEEP)])
+
+
+def test_no_bound_on_fit_rows_unless_asked_for(table):
+    """A fit part of any size is taken whole: here the statistics count three million rows more than there are."""
+    with Evaluation(table, ["a", "b", "c"], "y", row_id="id", fit_partitions=2) as e:
+        search = e._search(1)
+        few = e.statistics[1].asDict()
+        e._statistics[1] = type(e.statistics[1])(**few | {"fit_rows": few["fit_rows"] + 3_000_000})
+        assert e._fit_rows(1) == few["fit_rows"] + 3_000_000
+        assert e._fit_part(search, 1).count() == search.count()
+        assert "left_semi" not in e._fit_part(search, 1)._jdf.queryExecution().toString().lower().replace("leftsemi", "left_semi")
